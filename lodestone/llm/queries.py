@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality, tokens
+from . import caps, langid, mixing, quality, secrets, simhash, tokens
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
+    "op4_simhash": simhash.op4_simhash,
     "op5_quality": quality.op5_quality,
     "op7_token_counts": tokens.op7_token_counts,
     "op8_language": langid.op8_language,
     "op9_source_mix": mixing.op9_source_mix,
+    "op10_spherical_caps": caps.op10_spherical_caps,
 }
 ORACLE_SQL = {"op9_source_mix": mixing.OP9_SQL}
