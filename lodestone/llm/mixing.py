@@ -38,7 +38,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), most:
     return per.withColumn("shared", shared).select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("shared") * F.col("w")), F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, seed: str = "mix", cell_rows: int = 50_000) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, seed: str = "mix", cell_rows: int = 1000) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for each row of ``docs`` (doc_id, source, text).
 
     Each document of a source is expected target / source_size times. Expected copies are summed along the source,
