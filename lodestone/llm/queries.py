@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import caps, langid, mixing, quality, secrets, simhash, tokens
+from . import caps, langid, mixing, quality, secrets, simhash, tiling, tokens
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op4_simhash": simhash.op4_simhash,
     "op5_quality": quality.op5_quality,
+    "op6_contamination": tiling.op6_contamination,
     "op7_token_counts": tokens.op7_token_counts,
     "op8_language": langid.op8_language,
     "op9_source_mix": mixing.op9_source_mix,
