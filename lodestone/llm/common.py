@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,3 +67,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     if labels is None:
         return e.select(F.col("a").alias("node"), F.col("a").alias("label"))
     return labels
+
+
+def write_shared(df: DataFrame) -> DataFrame:
+    """Like checkpoint(), but as a Parquet table in the same shared folder: a fraction of the bytes for long narrow tables."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
