@@ -134,3 +134,15 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3)
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels")))
+
+
+def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is ``threshold`` or more. No shuffle."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ind, m = Indicators(), shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([m.score(ind(t.as_py())) >= threshold for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import caps, langid, mixing, quality, secrets, simhash, suffixes, tiling, tokens
+from . import caps, langid, mixing, quality, quotes, secrets, simhash, suffixes, tiling, tokens
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op2_quotes": quotes.op2_quotes,
     "op3_repeats": suffixes.op3_repeats,
     "op4_simhash": simhash.op4_simhash,
     "op5_quality": quality.op5_quality,

@@ -144,49 +144,64 @@ def matches(bench: Bench, texts: pa.Array, k: int = TILE) -> Iterator[tuple[int,
             yield int(r), int(i), sum(t[2] for t in got), len(item)
 
 
+def _blocks(benchmark: DataFrame, k: int, block_chars: int) -> Iterator[Bench]:
+    """The benchmark's index in blocks of at most about ``block_chars`` characters; a longer item is a block of its own."""
+    sized = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    blocks = max(1, -(-(sized.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
+    for b in range(blocks):
+        some = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        rows = some.orderBy("item_id", "text").collect()
+        yield index([r.item_id for r in rows], [r.text for r in rows], k)
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, k: int = TILE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, n_covered, n_item, coverage for documents and items that share k words in a row.
 
-    The benchmark is the stated query set: it goes to every task in blocks of at most ``block_chars`` characters
-    (an item beyond that is a block of its own), and each block meets all documents. Documents are never shuffled.
-    Null texts have no words; rows with null ids take part. Repeated rows give repeated results.
+    The benchmark is the stated query set: it goes to every task in blocks of a bounded size, and each block meets
+    all documents. Documents are never shuffled. Null texts have no words; rows with null ids take part. Repeated
+    rows give repeated results.
     """
-    spark = docs.sparkSession
-    sized = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
     kind, name = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    item_type = pa.string() if name == "string" else pa.int64()
     out = None
-    for b in range(blocks):
-        some = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        rows = some.orderBy("item_id", "text").collect()  # at most about block_chars characters
-        shared = spark.sparkContext.broadcast(index([r.item_id for r in rows], [r.text for r in rows], k))
+    for bench in _blocks(benchmark, k, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(bench)
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             bench = shared.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    part = batch.slice(at, 1000)
-                    got = list(matches(bench, part.column(1), k))
-                    if got:
-                        r, i, n, m = (np.array(v) for v in zip(*got, strict=True))
-                        yield pa.RecordBatch.from_arrays(
-                            [part.column(0).take(pa.array(r)), pa.array([bench.names[j] for j in i]).cast(ITEM), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(n / m)], ["doc_id", "item_id", "n_covered", "n_item", "coverage"]
-                        )
-
-        ITEM = pa.string() if name == "string" else pa.int64()
+            for part in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+                got = list(matches(bench, part.column(1), k))
+                if got:
+                    r, i, n, m = (np.array(v) for v in zip(*got, strict=True))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array([bench.names[j] for j in i], item_type), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(n / m)], ["doc_id", "item_id", "n_covered", "n_item", "coverage"])
+
         found = docs.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, item_id {'string' if name == 'string' else 'long'}, n_covered long, n_item long, coverage double")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, k: int = TILE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs``, all columns, of which no benchmark item is covered to ``cover`` or more. No shuffle."""
+    at = docs.columns.index("text")
+    for bench in _blocks(benchmark, k, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(bench)
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for part in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+                bad = {r for r, _, n, m in matches(shared.value, part.column(at), k) if n >= cover * m}
+                yield part.filter(pa.array([r not in bad for r in range(part.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, **how: int) -> DataFrame:
     """One row per doc_id of ``docs``: doc_id, item_id, coverage, n_items, contaminated.
 
     item_id is the item of which tiles cover most (the smallest id of equals; null if no item shares k words),
     n_items how many items are covered to ``cover`` or more; with one or more the document is contaminated.
     """
-    best = F.max_by(F.struct("item_id", "coverage"), F.struct("coverage", -F.coalesce("item_id", F.lit(0))))
+    best = F.min_by(F.struct("item_id", "coverage"), F.struct(-F.col("coverage"), "item_id"))
     per = checkpoint(overlaps(docs, benchmark, **how)).groupBy("doc_id").agg(best.alias("b"), F.count_distinct(F.when(F.col("coverage") >= cover, F.col("item_id"))).alias("n_items"))
     per = per.select(F.col("doc_id").alias("_id"), "b.item_id", "b.coverage", "n_items")
     ids = docs.select("doc_id").distinct()
