@@ -311,22 +311,21 @@ def _occurrences(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         few = hot.limit(100_001).count() <= 100_000  # rows of two numbers
         one = one.join(F.broadcast(hot) if few else hot, "key", "left")
     one = one.withColumn("hot", F.col("n").isNotNull() if strings else F.lit(False))
-    wanted = one.groupBy(F.col("doc_id").alias("w_id"), F.col("rk").alias("w_rk")).agg(F.collect_list(F.struct("start", "runs", "key", "seg", "hot")).alias("wanted"))  # as many as a text has
-    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("rk") == F.col("w_rk"))).select("text", "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(w["key"], w["seg"], t[w["start"] : w["start"] + w["runs"] + LEAST - 1], w["hot"]) for t, ws in zip(((x.as_py() or "").encode() for x in batch.column(0)), batch.column(1).to_pylist(), strict=True) for w in ws]
+            rows = [(w["key"], w["seg"], t[w["start"] : w["start"] + w["runs"] + LEAST - 1]) for t, ws in zip(((x.as_py() or "").encode() for x in batch.column(0)), batch.column(1).to_pylist(), strict=True) for w in ws]
             for k in range(0, len(rows), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 5000], strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.bool_()), strict=True)], ["key", "seg", "bytes", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 5000], strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "seg", "bytes"])
 
-    pieces = found.mapInArrow(cut, "key long, seg long, bytes binary, hot boolean")
-    if strings:
-        pieces = write_shared(pieces)
-    cover = pieces.where("not hot").select("key", "seg", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(_trees, COVER)
+    def pieces(some: DataFrame) -> DataFrame:
+        """Bytes of segments. All of this stays in one plan, so that the texts are shuffled once for every use of them."""
+        wanted = some.groupBy(F.col("doc_id").alias("w_id"), F.col("rk").alias("w_rk")).agg(F.collect_list(F.struct("start", "runs", "key", "seg")).alias("wanted"))  # as many as a text has
+        return texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("rk") == F.col("w_rk"))).select("text", "wanted").mapInArrow(cut, "key long, seg long, bytes binary")
+
+    cover = pieces(one.where("not hot")).repartition("key").sortWithinPartitions("key").mapInArrow(_trees, COVER)
     if strings:
-        parts = max(1, strings // 500_000)
-        packed = pieces.where("hot").select("key", "seg", "bytes").mapInArrow(_pack(parts), "range int, strings binary")
+        packed = pieces(one.where("hot")).mapInArrow(_pack(max(1, strings // 500_000)), "range int, strings binary")
         met = packed.groupBy("range").applyInPandas(_meet, COVER)
         cover = cover.unionByName(met.groupBy("key", "seg").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("begin", "stop", "grp")]))
     # segments with an equal one repeat as a whole
