@@ -17,7 +17,7 @@ from .common import checkpoint, read, write_shared
 #: Bytes of a repeat, and of the seed that shards are made by.
 LEAST, SEED = 200, 64
 #: Bytes worked on at once, starts in one segment at most, and bytes of a seed's segments in one suffix array.
-CHUNK, RUN, HOT = 1 << 17, 4096, 1_500_000
+CHUNK, RUN, HOT = 1 << 17, 4096, 250_000
 #: Bits of a seed's hash that its place takes while the least is looked for.
 PLACE = 19
 SEGMENT = "start int, runs int, key long, seg long, own boolean"
