@@ -133,35 +133,31 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def suffix_array(data: np.ndarray, at: np.ndarray, left: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(order, lcp) of the suffixes that start at ``at`` and have ``left`` bytes, at least ``least`` each.
+    """(order, lcp) of the suffixes that start at ``at`` and have ``left`` symbols, at least ``least`` each.
 
-    Suffixes are sorted by their first 256 bytes, by ranks of blocks that double in length. lcp[i] is the length
-    that suffixes i - 1 and i of the order share, ends of suffixes minded.
+    Symbols are 1 to 256; a 0 stands behind each text, so that a suffix comes before all longer ones that begin with
+    it. Suffixes are sorted to their whole length by ranks of blocks that double. lcp[i] is the length that suffixes
+    i - 1 and i of the order share, ends minded.
     """
-    pad = np.concatenate([data, np.zeros(520, np.uint8)])
     n = len(data)
-    word = np.zeros(n + 512, np.uint64)
-    for j in range(8):
-        word |= pad[j : n + 512 + j].astype(np.uint64) << U(56 - 8 * j)
-    ranks = {8: np.unique(word, return_inverse=True)[1].astype(np.uint64)}
-    size = 8
-    while size < 128:
-        r = ranks[size]
-        both = (r << U(32)) | np.concatenate([r[size:], np.zeros(size, np.uint64)])
-        size *= 2
-        ranks[size] = np.unique(both, return_inverse=True)[1].astype(np.uint64)
-    top = ranks[128]
-    order = np.argsort((top[at] << U(32)) | top[at + 128], kind="stable")
+    pad = np.concatenate([data, np.zeros(8, data.dtype)]).astype(np.uint64)
+    word = np.zeros(n + 1, np.uint64)
+    for j in range(7):
+        word |= pad[j : n + 1 + j] << U(9 * (6 - j))
+    ranks, top = {7: np.unique(word, return_inverse=True)[1].astype(np.uint64)}, 7
+    while 2 * top < left.max():
+        r = ranks[top]
+        both = (r << U(32)) | np.concatenate([r[top:], np.zeros(min(top, n + 1), np.uint64)])
+        top *= 2
+        ranks[top] = np.unique(both, return_inverse=True)[1].astype(np.uint64)
+    order = np.argsort((ranks[top][at] << U(32)) | ranks[top][np.minimum(at + top, n)], kind="stable")
     a, b = at[order[:-1]], at[order[1:]]
     shared = np.zeros(len(a), np.int64)
-    for _ in range(3):  # 3 * 128 bytes cover the 256 sorted by
-        same = (top[np.minimum(a + shared, n)] == top[np.minimum(b + shared, n)]) & (shared % 128 == 0) & (shared < 384)
-        shared[same] += 128
-    for size in (64, 32, 16, 8):
+    for size in (top, *sorted(ranks, reverse=True)):  # two of the longest blocks, one of each other length
         r = ranks[size]
         same = r[np.minimum(a + shared, n)] == r[np.minimum(b + shared, n)]
         shared[same] += size
-    for _ in range(7):
+    for _ in range(6):
         shared[(pad[np.minimum(a + shared, n)] == pad[np.minimum(b + shared, n)]) & (shared < n)] += 1
     lcp = np.zeros(len(at), np.int64)
     lcp[1:] = np.minimum(shared, np.minimum(left[order[:-1]], left[order[1:]]))
@@ -200,15 +196,17 @@ def repeats(pieces: list[bytes], least: int = LEAST) -> list[list[tuple[int, int
     """
     out: list[list[tuple[int, int, int]]] = [[] for _ in pieces]
     sizes = np.array([len(p) for p in pieces], np.int64)
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    offset = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8)
+    offset = np.cumsum(sizes + 1) - (sizes + 1)
+    symbols = data.astype(np.uint16) + 1
+    symbols[offset + sizes] = 0
     runs = np.maximum(sizes - least + 1, 0)
     if not runs.sum():
         return out
     owner = np.repeat(np.arange(len(pieces)), runs)
     inside = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
     at = offset[owner] + inside
-    order, lcp = suffix_array(data, at, sizes[owner] - inside, least)
+    order, lcp = suffix_array(symbols, at, sizes[owner] - inside, least)
     before = np.where(inside > 0, data[at - 1].astype(np.int64), -1)[order]
     # groups of suffixes that share ``least`` bytes; where all are preceded by one byte, no interval below is maximal
     first = np.flatnonzero(lcp < least)

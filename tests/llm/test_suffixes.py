@@ -91,3 +91,24 @@ def test_suffix_array_and_intervals(text):
         if len(p) > 1 and len(left) > 1 and len(right) > 1:
             want.add(s)
     assert found == want
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_pieces_are_covered_where_a_string_starts_twice(seed):
+    """Two-letter and periodic pieces, longer than two of the blocks that suffixes are first sorted by."""
+    rng = random.Random(seed)
+    base = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(200, 420))) for _ in range(4)]
+    pieces = []
+    for _ in range(rng.randrange(2, 12)):
+        x, y = base[rng.randrange(4)], base[rng.randrange(4)]
+        kinds = [bytes([rng.choice(b"ab")]) * rng.randrange(200, 700), (x[:7] * 100)[: rng.randrange(200, 700)], x[rng.randrange(50) :] + y[: rng.randrange(300)]]
+        pieces.append(kinds[min(rng.randrange(5), 2)])
+    count = Counter(p[i : i + N] for p in pieces for i in range(len(p) - N + 1))
+    for p, found in zip(pieces, X.repeats(pieces), strict=True):
+        want, got_ = np.zeros(len(p), bool), np.zeros(len(p), bool)
+        for i in range(len(p) - N + 1):
+            if count[p[i : i + N]] > 1:
+                want[i : i + N] = True
+        for s, e, _ in found:
+            got_[s:e] = True
+        assert (want == got_).all()
