@@ -104,9 +104,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", fit
     sample = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").mapInArrow(indicators, f"doc_id {kind}, y int, ids binary").toPandas().sort_values(["doc_id", "y"]).head(2 * fit_rows)
     x = []
     for b in sample.ids:
-        i = np.frombuffer(b, np.uint16).astype(np.int64)
+        i = np.frombuffer(b, np.uint16)
         r = ratio[i]
-        x.append((i, r / (np.sqrt(r @ r) or 1.0)))
+        x.append((i, (r / (np.sqrt(r @ r) or 1.0)).astype(np.float32)))  # six bytes for each bucket of a row
     y = np.where(sample.y.to_numpy() > 0, 1.0, -1.0)
     away = np.arange(len(x)) % 5 == 4
     part = lambda keep: [r for r, k in zip(x, keep, strict=True) if k]
