@@ -35,7 +35,7 @@ def inventory_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def geojson_features(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(features with components and box, skipped with the reason): lines with two numeric points or more in every part."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     head = "struct<features:array<struct<id:string,properties:string,geometry:struct<type:string,coordinates:string>>>>"
     f = text.select(F.posexplode(F.from_json("value", head)["features"]).alias("source_index", "f"))
     one, many = F.from_json(F.col("f.geometry.coordinates"), "array<array<double>>"), F.from_json(F.col("f.geometry.coordinates"), "array<array<array<double>>>")
@@ -64,7 +64,7 @@ def _activities(rows: DataFrame) -> DataFrame:
 
 def gpx_activities(spark: SparkSession, path: str) -> DataFrame:
     """One activity per file: a component for each track segment that has two valid points."""
-    text = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     x = text.withColumn("g", F.from_xml("value", GPX))
     segs = F.flatten(F.transform("g.trk", lambda t: F.coalesce(t["trkseg"], F.array().cast("array<struct<trkpt:array<struct<_lon:string,_lat:string,ele:string,time:string>>>>"))))
     point = lambda p: F.struct(lenient_number(p["_lon"]).alias("lon"), lenient_number(p["_lat"]).alias("lat"), lenient_number(p["ele"]).alias("ele"), p["time"].alias("time"))
@@ -76,7 +76,7 @@ def gpx_activities(spark: SparkSession, path: str) -> DataFrame:
 
 def json_activities(spark: SparkSession, path: str) -> DataFrame:
     """Activities of documents that are an array, an object with ``activities``, or one activity."""
-    text = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     many = F.coalesce(F.from_json(F.get_json_object("value", "$.activities"), "array<string>"), F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>")), F.array("value"))
     a = text.select("file", F.explode(many).alias("a"))
     get = lambda *names: first_text(*[F.get_json_object("a", f"$.{n}") for n in names])
