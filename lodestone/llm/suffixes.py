@@ -245,7 +245,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for k, s, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if size >= 4 * CHUNK and k != keys[-1]:
+            if size >= 2 * CHUNK and k != keys[-1]:
                 yield flush()
                 keys, segs, pieces, size = [], [], [], 0
             keys.append(k)
