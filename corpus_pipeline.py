@@ -9,7 +9,7 @@ from lodestone.llm.common import read, write_shared
 from lodestone.llm.mixing import mix
 from lodestone.llm.quality import fit_quality, keep_good
 from lodestone.llm.secrets import redact
-from lodestone.llm.simhash import keep_one
+from lodestone.llm.shingles import keep_one
 from lodestone.llm.tiling import decontaminate
 
 
@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group whose fingerprints link."""
+    """One document, that of the smallest doc_id, of each group linked by Jaccard similarity 0.8 or more of five-word shingles."""
     return keep_one(docs).select(docs.columns)
 
 
