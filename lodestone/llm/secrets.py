@@ -34,13 +34,17 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]+", 0, 16),
 )
+#: A private key runs to its END line or, where that is missing, to the end of its base64 lines; lines may be joined by
+#: spaces or by escapes such as backslash n. Character classes repeat without bound, groups don't: Java's would use its stack.
+_HEADERS, _BASE64 = r"(?:\s*[A-Za-z-]+:[^\r\n]*){0,8}", r"[A-Za-z0-9+/=\s\\]*[A-Za-z0-9+/]{40,}={0,2}(?:[\s\\nr]+[A-Za-z0-9+/]*={1,2}|[\r\n]+[A-Za-z0-9+/]+(?![^\r\n]))?"
+_KEY_BODY = rf"(?:[^-]*(?:-(?!----)[^-]*){{0,100}}-----END [A-Z ]*PRIVATE KEY-----|{_HEADERS}{_BASE64})?"
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("code_host", r"gh[opsu]_[A-Za-z0-9]{36,255}"),
-    Rule("chat_bot", r"xox[abpr]-[A-Za-z0-9-]{20,255}"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----{_KEY_BODY}"),
+    Rule("code_host", r"gh[opsu]_[A-Za-z0-9]{36,}"),
+    Rule("chat_bot", r"xox[abpr]-[A-Za-z0-9-]{20,}"),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/@]{6,64}@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/@]{6,}@"),
 )
 RULES = BASE + MORE
 #: Longest class of characters that is spelled out, and most strings at once.

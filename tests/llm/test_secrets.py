@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import re
 
@@ -81,3 +82,32 @@ def test_trigram_queries():
     assert S.trigram_query("(abc|xyz)+") == frozenset([frozenset(["abc"]), frozenset(["xyz"])])
     assert S.trigram_query("[0-9a-f]+") == S.ANY
     assert S.trigram_query("a?b?") == S.ANY
+
+
+def bodies():
+    """(text, what must go, what must stay)."""
+    lines = [base64.b64encode(hashlib.sha512(str(n).encode()).digest()).decode()[:64] for n in range(500)]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    enc = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    key = [*lines[:5], "AbCdEfGh+/Q="]
+    for sep in ("\n", "\r\n", "\\n", " "):
+        yield f"before {sep.join([begin, *key, end])} after it", key, ["before ", " after it"]
+        yield f"before {sep.join([begin, *key])}\n\n, after it", key, ["before ", ", after it"]
+    yield f"{begin}\n{enc}" + "\n".join([*key, end]), key, []
+    yield f"{begin}\n{enc}" + "\n".join(key), key, []
+    yield "\n".join([begin, *lines, "Tail", end, "prose"]), [*lines, "Tail"], ["prose"]
+    yield "\n".join([begin, *lines, "Tail"]), [*lines, "Tail"], []
+    yield "\n".join([begin, *lines[:3], "", "some prose - here.", "-----BEGIN PRIVATE KEY-----", *lines[3:6], "-----END PRIVATE KEY-----"]), lines[:6], ["prose - here."]
+    yield f"the line {begin} opens a key. Prose follows.", [], [" opens a key. Prose follows."]
+    for n in (6, 64, 65, 500, 5000):
+        yield f"see https://user:{'p' * n}@host.example/ there", ["p" * 6], ["see ", "host.example/ there"]
+    yield f"see ftp://{'u' * 80}:hunter2222@host there", ["hunter2222"], ["host there"]
+    yield "gho_" + "a" * 300 + " xoxb-" + "1" * 300, ["a" * 20, "1" * 20], []
+
+
+def test_bodies_of_keys_and_long_logins_are_gone(spark):
+    rows = list(enumerate(bodies()))
+    got = {r.doc_id: r.text for r in S.redact(frame(spark, [(i, t) for i, (t, _, _) in rows])).collect()}
+    for i, (_, gone, stays) in rows:
+        assert [x for x in gone if x in got[i]] == []
+        assert all(x in got[i] for x in stays), got[i]
