@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, connected_components, read
 
-#: Cosine from which vectors link; blocks of the product code, words in each, and the cosine of a cap.
-COSINE, BLOCKS, WORDS, CAP = 0.93, 2, 64, 0.28
-#: These parameters were measured: of pairs at a cosine of 0.93, 0.99 share a filter.
+#: Cosine from which vectors link; blocks of the product code and words in each.
+COSINE, BLOCKS, WORDS = 0.93, 2, 64
+#: The cosine of a cap: a filter's cosine has about the deviation 1 / sqrt(dims), so WIDE deviations hold the same share
+#: of all filters (about 1 in 80) at any number of dimensions; MOST at few. A vector has LEAST filters, its nearest, at least.
+WIDE, MOST, LEAST = 2.24, 0.28, 16
 #: Vectors of one key and label in one block of a comparison.
 BUCKET = 1024
 
@@ -31,21 +33,43 @@ def code(dims: int, blocks: int, words: int, seed: int = 11) -> list[np.ndarray]
     return out
 
 
-def decode(unit: np.ndarray, book: list[np.ndarray], cap: float) -> list[np.ndarray]:
-    """For each unit vector the numbers of all filters whose direction is at a cosine of ``cap`` or more.
+@lru_cache(maxsize=8)
+def rotation(dims: int, seed: int = 12) -> np.ndarray:
+    """A random rotation, so that no pattern of the components, such as zeros in a block, falls together with the code's."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))
+    return q * np.where(np.diag(r) < 0, -1.0, 1.0)
+
+
+def cap_for(dims: int) -> float:
+    return min(MOST, WIDE / np.sqrt(dims))
+
+
+def nearest(dots: list[np.ndarray], n: int) -> np.ndarray:
+    """For each vector the ``n``-th best sum of one word a block, or the least of all if there are fewer."""
+    sums = np.zeros((len(dots[0]), 1))
+    for d in dots:
+        sums = (sums[:, :, None] + d[:, None, :]).reshape(len(d), -1)
+        sums = -np.partition(-sums, n - 1, axis=1)[:, :n] if sums.shape[1] > n else sums
+    return sums.min(axis=1)
+
+
+def decode(unit: np.ndarray, book: list[np.ndarray], cap: float, least: int = 0) -> list[np.ndarray]:
+    """For each unit vector the numbers of all filters whose direction is at a cosine of ``cap`` or more, and its ``least`` nearest ones.
 
     Words of a block are tried from the best on; a partial sum goes on only if the best words of the blocks to come
     can still lift it over the bar, so that the work follows the length of the list and not words ** blocks.
     """
     cuts = np.cumsum([0] + [b.shape[1] for b in book])
-    bar = cap * np.sqrt(len(book))
     dots = [unit[:, cuts[i] : cuts[i + 1]] @ b.T for i, b in enumerate(book)]
+    bar = np.full(len(unit), cap * np.sqrt(len(book)))
+    if least:
+        bar = np.minimum(bar, nearest(dots, least) - 1e-9)
     best = np.array([d.max(axis=1) for d in dots])
     rest = np.vstack([np.cumsum(best[::-1], axis=0)[::-1][1:], np.zeros(len(unit))])
     rows, ids, sums = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
     for i, d in enumerate(dots):
         s = sums[:, None] + d[rows]
-        keep, word = np.nonzero(s + rest[i][rows][:, None] >= bar)
+        keep, word = np.nonzero(s + rest[i][rows][:, None] >= bar[rows][:, None])
         rows, ids, sums = rows[keep], ids[keep] * d.shape[1] + word, s[keep, word]
     order = np.lexsort((ids, rows))
     return np.split(ids[order], np.searchsorted(rows[order], np.arange(1, len(unit))))
@@ -72,10 +96,10 @@ def depth_for(most: int, blocks: int, words: int, bucket: int) -> int:
     return d
 
 
-def links(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, words: int = WORDS, cap: float = CAP, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, words: int = WORDS, cap: float | None = None, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classes, counts, edges) of the vectors that link.
 
-    A class goes to every filter whose cap holds it; vectors of equal label and dimension meet in a filter, and the
+    A class goes to every filter whose cap (of ``cap`` or cap_for) holds its rotated vector, and to its LEAST nearest; vectors of equal label and dimension meet in a filter, and the
     cosine of what meets is verified in double precision. The key of the join is the filter's number or, while
     labels are small, its first words, which joins neighbouring filters and loses nothing. A pair counts at the
     first key that both share, so no pair is counted twice and none is sent anywhere: a task returns for each
@@ -98,7 +122,7 @@ def links(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, word
                     raw = np.array([e[i] for i in some], float)
                     x = raw / np.abs(raw).max(axis=1, keepdims=True)  # so that no square overflows
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    keys = [np.unique(f // words ** max(len(book) - depth, 0)).astype(np.int32) for f in decode(x, book, cap)]
+                    keys = [np.unique(f // words ** max(len(book) - depth, 0)).astype(np.int32) for f in decode(x @ rotation(dims), book, cap_for(dims) if cap is None else cap, LEAST)]
                     rep = np.repeat(np.arange(len(some)), [len(f) for f in keys])
                     unit = [v.tobytes() for v in (raw.astype(np.float32) if np.array_equal(raw.astype(np.float32).astype(float), raw) else raw)]
                     packed = [f.tobytes() for f in keys]

@@ -84,3 +84,27 @@ def test_decode_lists_every_filter_over_the_bar():
         parts = np.split(v, 3)
         want = [i * 64 + j * 8 + k for i in range(8) for j in range(8) for k in range(8) if parts[0] @ book[0][i] + parts[1] @ book[1][j] + parts[2] @ book[2][k] >= 0.3 * np.sqrt(3)]
         assert found.tolist() == want
+
+
+@pytest.mark.parametrize("dims, zeros, bucket", [(2, 0, 1024), (32, 0, 8), (64, 32, 8), (128, 0, 1024), (128, 0, 8), (768, 0, 8), (768, 700, 8)])
+def test_recall_at_any_width(spark, dims, zeros, bucket):
+    """Pairs at a cosine of about 0.935, a bucket of 8 for depth 2; the last ``zeros`` components are 0."""
+    rng, rows = np.random.default_rng(dims + zeros), []
+    for _ in range(150):
+        a, b = rng.standard_normal((2, dims - zeros))
+        a /= np.linalg.norm(a)
+        b -= a * (a @ b)
+        b = 0.935 * a + np.sqrt(1 - 0.935**2) * b / np.linalg.norm(b)
+        rows += [(len(rows) + k, [*v.tolist(), *[0.0] * zeros], 1) for k, v in enumerate((a, b))]
+    assert C.depth_for(len(rows), C.BLOCKS, C.WORDS, bucket) == (2 if bucket == 8 else 1)
+    links, _ = brute(rows)
+    out = got(frame(spark, rows), bucket=bucket)
+    assert len(links) >= 150 and sum(v[0] for v in out.values()) >= 0.95 * 2 * len(links)
+
+
+@pytest.mark.parametrize("dims", [1, 2, 64, 300])
+def test_every_vector_has_its_nearest_filters(dims):
+    x = np.random.default_rng(5).standard_normal((300, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    book = C.code(dims, min(2, dims), 64)
+    assert min(map(len, C.decode(x, book, 2.0, C.LEAST))) >= C.LEAST
