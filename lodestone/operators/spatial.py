@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +15,23 @@ def with_cells(df: DataFrame, box: Column, cell: float, margin: float = 0.0, dx:
     return df.withColumn("cx", F.explode(span(box["x1"], box["x2"], gx))).withColumn("cy", F.explode(span(box["y1"], box["y2"], F.lit(margin))))
 
 
-def box_join(left: DataFrame, right: DataFrame, metres: float, cell: float, latitude: float = 75.0) -> DataFrame:
+def own_margin(box: Column, metres: float) -> Column:
+    """``metres`` in degrees of longitude at the box's farthest latitude and as far again; a degree has a metre at least."""
+    far = F.least(F.greatest(F.abs(box["y1"]), F.abs(box["y2"])) + metres / DEGREE, F.lit(90.0))
+    return metres / F.greatest(DEGREE * F.cos(F.radians(far)), F.lit(1.0))
+
+
+def box_join(left: DataFrame, right: DataFrame, metres: float, cell: float) -> DataFrame:
     """Pairs of rows whose boxes (columns lbox and rbox) may be within ``metres``, each pair once.
 
-    Only the left side is grown, by the longitude of ``latitude``, the farthest from the equator that the data may
-    reach; that is a superset, so an exact test must follow. A pair comes out only in the cell of the lower left
-    corner of the overlap, which needs no distinct.
+    Each side is grown along the longitude by the margin of its own latitude, so that of the box farther from the
+    equator counts; that is a superset, so an exact test must follow. A pair comes out only in the cell of the lower
+    left corner of the overlap, which needs no distinct.
     """
     dy = metres / DEGREE
-    dx = metres / (DEGREE * max(0.02, math.cos(math.radians(latitude))))
-    a = with_cells(left, F.col("lbox"), cell, dy, F.lit(dx))
-    b = with_cells(right, F.col("rbox"), cell)
-    first_x = F.floor(F.greatest(F.col("lbox.x1") - dx, F.col("rbox.x1")) / cell)
+    lx, rx = own_margin(F.col("lbox"), metres), own_margin(F.col("rbox"), metres)
+    a = with_cells(left, F.col("lbox"), cell, dy, lx)
+    b = with_cells(right, F.col("rbox"), cell, dx=rx)
+    first_x = F.floor(F.greatest(F.col("lbox.x1") - lx, F.col("rbox.x1") - rx) / cell)
     first_y = F.floor(F.greatest(F.col("lbox.y1") - dy, F.col("rbox.y1")) / cell)
     return a.join(b, ["cx", "cy"]).where((F.col("cx") == first_x) & (F.col("cy") == first_y)).drop("cx", "cy")
