@@ -47,12 +47,12 @@ def band_keys(hashes: np.ndarray, seed: int = 42) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(r.tobytes(), n)).view(np.int64)) for n, r in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def forest(sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of all pairs of sets of that Jaccard similarity or more; what is linked isn't compared again."""
+def linked(sets: list[np.ndarray], similar: float) -> np.ndarray:
+    """For each set a member of its component by pairs of that Jaccard similarity or more; what is linked isn't compared again."""
     size = np.array([len(s) for s in sets], np.int64)
     names, ids = np.unique(np.concatenate(sets), return_inverse=True)
     parts = np.split(ids, np.cumsum(size)[:-1])
-    held, comp, edges = np.zeros(len(names), bool), np.arange(len(sets)), []
+    held, comp = np.zeros(len(names), bool), np.arange(len(sets))
     for i in range(len(sets) - 1):
         todo = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (np.minimum(size[i + 1 :], size[i]) >= similar * np.maximum(size[i + 1 :], size[i])))
         if not len(todo):
@@ -63,8 +63,7 @@ def forest(sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
         for j in todo[both >= similar * (size[todo] + size[i] - both)].tolist():
             if comp[j] != comp[i]:
                 comp[comp == comp[j]] = comp[i]
-                edges.append((i, j))
-    return edges
+    return comp
 
 
 def candidates(sets: DataFrame) -> DataFrame:
@@ -106,14 +105,18 @@ def near_copies(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR, block
     sizes = held.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / volume)).cast("int").alias("parts"))
     dealt = held.join(sizes, "label").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(F.col("part"), q).alias("p"), F.greatest(F.col("part"), q).alias("q")))
-    dealt = dealt.withColumn("pair", F.explode(pair)).select("label", "pair.p", "pair.q", "set", "hashes")
+    dealt = dealt.withColumn("pair", F.explode(pair)).select("label", "pair.p", "pair.q", "parts", "set", "hashes")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         ids = group["set"].tolist()
-        found = forest([np.frombuffer(h, np.uint64) for h in group.hashes], similar)
-        return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"], dtype=np.int64)
-
-    labels = connected_components(dealt.groupBy("label", "p", "q").applyInPandas(compare, "a long, b long"))
+        roots = linked([np.frombuffer(h, np.uint64) for h in group.hashes], similar)
+        found = [(ids[r], ids[i]) for i, r in enumerate(roots) if (roots == r).sum() > 1]
+        out = pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+        return out.assign(whole=bool(group.parts.iloc[0] == 1))
+
+    found = checkpoint(dealt.groupBy("label", "p", "q").applyInPandas(compare, "a long, b long, whole boolean"))
+    # a group in one block is done; blocks of the others still have to be joined
+    labels = connected_components(found.where("not whole")).unionByName(found.where("whole").select(F.col("b").alias("node"), F.col("a").alias("label")))
     of = sets.join(labels, sets.set == labels.node, "left").select("set", F.coalesce("label", "set").alias("label"), "least")
     ids = of.groupBy("label").agg(F.min("least").alias("component_id"))
     of = checkpoint(of.join(ids, "label").select("set", "component_id"))
