@@ -16,15 +16,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the folder named in spark.checkpoint.dir, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, which all executors share.
 
-    Only where the session names none (tests, a notebook on one machine) a folder of our own is set.
+    Only a session on one machine (tests, a notebook) may name none; it gets a folder of its own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -33,30 +41,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 200) -> DataFrame:
     """(node, label) for every node of ``edges``; nodes share a label iff a path joins them.
 
     Random-mate contraction: each round every node moves to its neighbour of least hash, and the edges are
     rewritten between the new labels. A constant fraction of labels goes in each round, so the number of
-    rounds grows with the logarithm of the graph. Minima are combined before the shuffle, and joins are
-    plain equi-joins that AQE can split, so one node may hold a large share of all edges.
-    Edges with a null end are ignored. An empty input gives an empty result.
+    rounds grows with the logarithm of the graph. The moves of a round shrink with its edges; they are put
+    together from the last round back, so no round touches all nodes again. Minima are combined before the
+    shuffle, and joins are plain equi-joins that AQE can split, so one node may hold a large share of all edges.
+    Edges with a null end are ignored. An empty input gives an empty result. RuntimeError if edges are left
+    after ``rounds`` rounds.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
-    labels = None
-    for step in range(200):
+    moves = []
+    for step in range(rounds + 1):
         e = checkpoint(e)
         if e.isEmpty():
             break
+        if step == rounds:
+            raise RuntimeError(f"components aren't complete after {rounds} rounds")
         order = lambda c: F.struct(F.xxhash64(c, F.lit(step)), c.alias("n"))
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(order(F.col("b"))).alias("m"))
         move = checkpoint(least.select("a", F.least(F.col("m"), order(F.col("a")))["n"].alias("to")))
-        if labels is None:
-            labels = move.select(F.col("a").alias("node"), F.col("to").alias("label"))
-        else:
-            labels = labels.join(move.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        labels = checkpoint(labels)
+        moves.append(move)
         e = (
             e.join(move.withColumnsRenamed({"to": "x"}), "a")
             .join(move.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
@@ -64,17 +72,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct()
         )
-    if labels is None:
+    if not moves:
         return e.select(F.col("a").alias("node"), F.col("a").alias("label"))
-    return labels
+    labels = moves[-1].withColumnsRenamed({"a": "node", "to": "label"})
+    for move in reversed(moves[:-1]):
+        later = labels.withColumnsRenamed({"node": "to"})
+        labels = move.join(later, "to", "left").select(F.col("a").alias("node"), F.coalesce("label", "to").alias("label"))
+    return checkpoint(labels)
 
 
 def write_shared(df: DataFrame) -> DataFrame:
     """Like checkpoint(), but as a Parquet table in the same shared folder: a fraction of the bytes for long narrow tables."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

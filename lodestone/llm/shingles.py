@@ -1,32 +1,75 @@
-"""Near copies by word shingles: min-hash bands bring candidates together, exact Jaccard similarity decides."""
+"""Near copies by word shingles: close fingerprints and min-hash bands bring candidates together, exact Jaccard similarity decides."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, connected_components
+from .simhash import link
 
 #: Words of a shingle, and the similarity from which documents are copies.
 WORDS, SIMILAR = 5, 0.8
+#: Bits in which fingerprints of candidates differ at most.
+REACH = 2
 #: A pair of similarity s shares a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9994 at 0.8, over 0.99999 at 0.85.
 BANDS, ROWS = 40, 8
 #: Sets, and hashes in them, in one block of a comparison.
 BLOCK, VOLUME = 2048, 2_000_000
-STEP = 1 << 12
-
-
-def shingles(text: str | None, k: int = WORDS, seed: int = 42) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct word k-shingles; words as in simhash.fingerprint, fewer than k make one shingle."""
-    words = (text or "").encode().lower().split()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[i : i + k]), seed) for i in range(max(len(words) - k + 1, 1))] if words else [], np.uint64))
+#: Hashes that min-hashes are taken of at once, and bytes of text that are cut into words at once.
+STEP, TEXT = 512, 4_000_000
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def _sets(texts: pa.Array, k: int, seed: int) -> list[np.ndarray]:
+    whole = pa.concat_arrays([texts.cast(pa.large_string())])  # ascii_lower misreads a cast slice
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(whole, "")))
+    flat = words.flatten()
+    some = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.cumsum(some)])[words.offsets.to_numpy() - words.offsets[0].as_py()]
+    coded = flat.filter(pa.array(some)).dictionary_encode()
+    of = np.array([xxhash.xxh64_intdigest(w, seed) for w in coded.dictionary.to_pylist()], np.uint64)
+    w = of[coded.indices.to_numpy()] if len(of) else np.zeros(0, np.uint64)
+    h = np.zeros(max(len(w) - k + 1, 0), np.uint64)
+    for j in range(k):
+        h = h * BASE + w[j : j + len(h)]
+    h, out = _mix(h), []
+    for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        if hi - lo >= k:
+            out.append(np.unique(h[lo : hi - k + 1]))
+        else:  # all words in one shingle
+            one = np.array([hi - lo], np.uint64)
+            for x in w[lo:hi]:
+                one = one * BASE + x
+            out.append(_mix(one) if hi > lo else np.zeros(0, np.uint64))
+    return out
+
+
+def shingle_sets(texts: pa.Array, k: int = WORDS, seed: int = 42) -> Iterator[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its distinct word k-shingles; fewer words than k make one shingle.
+
+    A-Z are lower-cased; words are what stands between space, tab, LF, VT, FF and CR. Each distinct word is hashed
+    once, and a shingle is the polynomial of its words' hashes.
+    """
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TEXT, "right")))
+        yield from _sets(texts.slice(at, to - at), k, seed)
+        at = to
 
 
 def name(hashes: np.ndarray) -> int:
@@ -34,19 +77,34 @@ def name(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
 
 
+@lru_cache(maxsize=4)
+def _orders(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.random.default_rng(seed).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
+    return a | np.uint32(1), b
+
+
 def band_keys(hashes: np.ndarray, seed: int = 42) -> list[int]:
-    """One signed long for each band of the set's min-hashes; none for the empty set."""
+    """One signed long for each band of the set's min-hashes, of 32 bits each; none for the empty set."""
     if not len(hashes):
         return []
-    rng = np.random.default_rng(seed)
-    a, b = rng.integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
-    a |= np.uint64(1)
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for at in range(0, len(hashes), STEP):
-        least = np.minimum(least, (a * hashes[at : at + STEP] + b).min(axis=1))
+    a, b = _orders(seed)
+    high, least = (hashes >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, ~np.uint32(0))
+    for at in range(0, len(high), STEP):
+        part = a * high[at : at + STEP]
+        part += b
+        np.minimum(least, part.min(axis=1), out=least)
     return [int(np.uint64(xxhash.xxh64_intdigest(r.tobytes(), n)).view(np.int64)) for n, r in enumerate(least.reshape(BANDS, ROWS))]
 
 
+def simhash(hashes: np.ndarray) -> int:
+    """64-bit SimHash of the set as a signed long: a bit is 1 if set in over half the hashes; 0 for the empty set."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype("<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def linked(sets: list[np.ndarray], similar: float) -> np.ndarray:
     """For each set a member of its component by pairs of that Jaccard similarity or more; what is linked isn't compared again."""
     size = np.array([len(s) for s in sets], np.int64)
@@ -66,35 +124,46 @@ def linked(sets: list[np.ndarray], similar: float) -> np.ndarray:
     return comp
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """node, label: the sets (columns ``set``, ``bands``) that shared bands join; every pair that shares one has one label."""
+def candidates(sets: DataFrame, reach: int = REACH) -> DataFrame:
+    """node, label: the sets (columns ``set``, ``fp``, ``bands``) that close fingerprints or shared bands join.
+
+    Every pair whose fingerprints differ in ``reach`` bits or fewer, found through vantage-point trees, and every
+    pair that shares a band has one label.
+    """
     keys = sets.select("set", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.min("set").alias("a"), F.max("set").alias("last")).where("a <> last").select("band", "a")
-    return connected_components(keys.join(shared, "band").select("a", F.col("set").alias("b")))
+    edges = keys.join(shared, "band").select("a", F.col("set").alias("b"))
+    # sets of equal fingerprint hang on the least of them, and trees link the fingerprints
+    prints = checkpoint(sets.groupBy("fp").agg(F.min("set").alias("a"), F.max("set").alias("last")))
+    equal = sets.select("fp", "set").join(prints.where("a <> last").select("fp", "a"), "fp").select("a", F.col("set").alias("b"))
+    near = link(prints.select("fp"), reach).withColumnsRenamed({"a": "x", "b": "y"})
+    of = prints.select(F.col("fp").alias("x"), "a"), prints.select(F.col("fp").alias("y"), F.col("a").alias("b"))
+    return connected_components(edges.unionByName(equal).unionByName(near.join(of[0], "x").join(of[1], "y").select("a", "b")))
 
 
-def near_copies(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR, block: int = BLOCK, volume: int = VOLUME) -> DataFrame:
+def near_copies(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR, reach: int = REACH, block: int = BLOCK, volume: int = VOLUME) -> DataFrame:
     """doc_id, component_id for each row of (doc_id, text); component_id is the smallest doc_id that links reach.
 
     Documents link where the Jaccard similarity of their sets of word shingles is ``similar`` or more; texts without
-    words link with each other. Equal sets count once, whatever the number of copies. Sets that bands join are
-    compared exactly; a group of them over ``block`` or ``volume`` is dealt out in blocks, and a task compares two.
-    Rows with a null doc_id take part; a component of such rows only has a null component_id.
+    words link with each other. Equal sets count once, whatever the number of copies. Candidates are what
+    ``candidates`` joins; they are compared exactly; a group of them over ``block`` or ``volume`` is dealt out in
+    blocks, and a task compares two. Rows with a null doc_id take part; a component of such rows only has a null
+    component_id. Repeated rows are repeated, an empty table gives an empty result, other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_ = [shingles(t.as_py(), k) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name(h) for h in all_], pa.int64()), pa.array([band_keys(h) for h in all_], pa.list_(pa.int64()))], ["doc_id", "set", "bands"])
+            got = [(name(h), simhash(h), band_keys(h)) for h in shingle_sets(batch.column(1), k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.list_(pa.int64()))], ["doc_id", "set", "fp", "bands"])
 
-    rows = checkpoint(docs.select("doc_id", "text").mapInArrow(signed, f"doc_id {kind}, set long, bands array<long>"))
-    sets = checkpoint(rows.groupBy("set").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
-    groups = checkpoint(candidates(sets).join(sets.select(F.col("set").alias("node"), "least"), "node"))
+    rows = checkpoint(docs.select("doc_id", "text").mapInArrow(signed, f"doc_id {kind}, set long, fp long, bands array<long>"))
+    sets = checkpoint(rows.groupBy("set").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    groups = checkpoint(candidates(sets, reach).join(sets.select(F.col("set").alias("node"), "least"), "node"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_ = [shingles(t.as_py(), k) for t in batch.column(0)]
+            all_ = list(shingle_sets(batch.column(0), k))
             yield pa.RecordBatch.from_arrays([pa.array([name(h) for h in all_], pa.int64()), pa.array([len(h) for h in all_], pa.int64()), pa.array([h.tobytes() for h in all_], pa.binary())], ["set", "n", "hashes"])
 
     # the texts of the sets that have candidates; a doc_id may repeat with other texts, and a set may have no doc_id

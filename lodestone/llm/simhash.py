@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, connected_components, read
 
-#: Fingerprints that the upper tree is built from, and how many a shard should hold.
+#: Fingerprints that trees are fitted on at once, and how many a shard should hold.
 SAMPLE, SHARD = 32_768, 2048
+#: A shard that trees don't bring under DEAL is compared in blocks of that size.
+DEAL, PASSES = 8192, 6
 STEP = 1 << 16
 
 
@@ -156,29 +158,80 @@ def forest(points: np.ndarray, reach: int) -> list[tuple[int, int]]:
     return [(int(signed[x]), int(signed[y])) for x, y in edges]
 
 
-def link(distinct: DataFrame, reach: int = 2, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
-    """a, b: fingerprints of a spanning forest of all pairs of distinct ``fp`` that differ in ``reach`` bits or fewer.
+def graft(node: Node, under: dict[int, Node]) -> Node:
+    """The tree with the leaves of the shards in ``under`` replaced."""
+    if node.shard >= 0:
+        return under.get(node.shard, node)
+    return Node(-1, node.vantage, node.radius, graft(node.inside, under), graft(node.outside, under))
+
+
+def shards(distinct: DataFrame, reach: int, sample: int, shard: int) -> tuple[DataFrame, DataFrame]:
+    """(shard, fp) rows of all fingerprints, and (shard, size) of the shards that hold over twice ``shard`` of them.
 
-    The upper tree is fitted on ``sample`` fingerprints of least hash (a bound on what reaches the driver), fine
-    enough that a shard gets about ``shard`` of all; all fingerprints then go through it. A dense cluster shows in
-    the sample by its share and is divided like the rest. Inside a shard the same tree goes on, in memory that
-    follows the shard. Exact copies count once here, so a group of copies is one point.
+    The upper tree is fitted on ``sample`` fingerprints of least hash (a bound on what reaches the driver). Where a
+    shard is still too large, which happens as the table grows, a sample of the fingerprints in such shards grows
+    the tree below them, pass after pass, until no split helps.
     """
-    n = distinct.count()
-    seen = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
-    count = [0]
-    tree = build(seen, reach, max(16, shard * len(seen) // max(n, 1)), count)
-    shared = distinct.sparkSession.sparkContext.broadcast(tree)
+    spark = distinct.sparkSession
+
+    def spread(tree: Node) -> DataFrame:
+        shared = spark.sparkContext.broadcast(tree)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for s, p in route(shared.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), reach):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), s, np.int32)), pa.array(p.view(np.int64))], ["shard", "fp"])
+
+        return distinct.mapInArrow(run, "shard int, fp long")
+
+    def seen(rows: DataFrame, n: int) -> np.ndarray:
+        return np.array([r.fp for r in rows.select("fp").distinct().orderBy(F.xxhash64("fp"), "fp").limit(n).collect()], np.int64).view(np.uint64)
+
+    n, points, count = distinct.count(), seen(distinct, sample), [0]
+    tree = build(points, reach, max(16, shard * len(points) // max(n, 1)), count)
+    for _ in range(PASSES):
+        rows = spread(tree)
+        large = checkpoint(rows.groupBy("shard").agg(F.count("*").alias("size")).where(F.col("size") > 2 * shard))
+        sizes = {r.shard: r.size for r in large.orderBy(F.desc("size")).limit(sample // 64).collect()}
+        if not sizes:
+            break
+        # the largest shards first; each gets points by its share, and at least 64
+        some = rows.where(F.col("shard").isin(list(sizes)))
+        bar = min(1.0, 2 * sample / sum(sizes.values()))
+        points, under = seen(some.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1 << 30)) < bar * (1 << 30)), 2 * sample), {}
+        for s, own in route(tree, points, reach):
+            if s in sizes:
+                at = count[0]
+                below = build(own, reach, max(16, shard * len(own) // sizes[s]), count)
+                if below.shard < 0:
+                    under[s] = below
+                else:
+                    count[0] = at
+        if not under:
+            break
+        tree = graft(tree, under)
+    return rows, large
+
+
+def link(distinct: DataFrame, reach: int = 2, sample: int = SAMPLE, shard: int = SHARD, deal: int = DEAL) -> DataFrame:
+    """a, b: fingerprints of a spanning forest of all pairs of distinct ``fp`` that differ in ``reach`` bits or fewer.
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s, p in route(shared.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), reach):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), s, np.int32)), pa.array(p.view(np.int64))], ["shard", "fp"])
+    Vantage-point trees of ``shards`` part the fingerprints; what is near a boundary goes to both sides. A cluster
+    so dense that no ball parts it stays one shard; over ``deal`` fingerprints it is dealt out in blocks, and a task
+    compares two. Inside a task the same tree goes on, in memory that follows its rows. Exact copies count once
+    here, so a group of copies is one point.
+    """
+    rows, large = shards(distinct, reach, sample, shard)
+    hot = large.where(F.col("size") > deal)
+    dealt = rows.join(hot, "shard", "left").withColumn("parts", F.coalesce(F.ceil(F.col("size") / deal), F.lit(1)).cast("int"))
+    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(part, q).alias("p"), F.greatest(part, q).alias("q")))
+    dealt = dealt.withColumn("pair", F.explode(pair)).select("shard", "pair.p", "pair.q", "fp")
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(forest(group.fp.to_numpy(np.int64).view(np.uint64), reach), columns=["a", "b"], dtype=np.int64)
 
-    return distinct.mapInArrow(spread, "shard int, fp long").groupBy("shard").applyInPandas(pairs, "a long, b long")
+    return dealt.groupBy("shard", "p", "q").applyInPandas(pairs, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, seed: int = 42, reach: int = 2) -> DataFrame:

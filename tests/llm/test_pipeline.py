@@ -1,9 +1,11 @@
 import corpus_pipeline as P
 import pytest
 
-from lodestone.llm import mixing, quality, secrets, simhash, tiling
+from lodestone.llm import mixing, quality, secrets, tiling
 from lodestone.llm.common import read
 
+from .test_shingles import brute as jaccard_components
+
 BIG = "/root/testdata/sf0.01"
 
 
@@ -37,12 +39,10 @@ def test_quality_keeps_what_scores_well(spark):
 
 
 def test_one_of_each_group_stays(stages):
+    """Groups by brute-force Jaccard similarity of five-word shingles."""
     before, after = stages["near_duplicates"]
-    fp = {r.doc_id: simhash.fingerprint(r.text) for r in before.collect()}
-    root = {i: min(j for j in fp if (fp[i] ^ fp[j]).bit_count() <= 2) for i in fp}
-    while any(root[root[i]] != root[i] for i in root):
-        root = {i: root[root[i]] for i in root}
-    assert ids(after) == sorted({root[i] for i in root})
+    comp = jaccard_components([(r.doc_id, r.text) for r in before.collect()])
+    assert ids(after) == sorted(set(comp.values()))
 
 
 def test_no_kept_document_covers_an_item(spark, sf, stages):

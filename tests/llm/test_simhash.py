@@ -60,6 +60,39 @@ def test_trees_find_every_close_pair(spark):
     assert components(points, edges) == components(points, links)
 
 
+def close_links(points):
+    flips = [1 << i for i in range(64)] + [1 << i | 1 << j for i, j in combinations(range(64), 2)]
+    return [(p, p ^ f) for p in points for f in flips if p < p ^ f and p ^ f in points]
+
+
+def signed(points):
+    return [(p - (1 << 64) if p >> 63 else p,) for p in points]
+
+
+def test_a_dense_cluster_is_dealt_out_in_blocks(spark):
+    """Fingerprints within 5 bits of one centre, which no ball parts well, beside others."""
+    rng, centre = random.Random(5), 0x0123456789ABCDEF
+    points = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 6))) for _ in range(6000)} | {rng.getrandbits(64) for _ in range(2000)}
+    df = spark.createDataFrame(signed(points), "fp long")
+    rows, large = S.shards(df, 2, 1024, 200)
+    assert large.count() > 0
+    edges = [(r.a % (1 << 64), r.b % (1 << 64)) for r in S.link(df, sample=1024, shard=200, deal=700).collect()]
+    assert all((a ^ b).bit_count() <= 2 for a, b in edges)
+    assert components(points, edges) == components(points, close_links(points))
+
+
+def test_trees_grow_below_shards_that_are_too_large(spark):
+    rng = random.Random(6)
+    points = {rng.getrandbits(64) for _ in range(12_000)}
+    points |= {p ^ 1 << rng.randrange(64) for p in list(points)[:3000]}
+    df = spark.createDataFrame(signed(points), "fp long")
+    rows, large = S.shards(df, 2, 512, 100)
+    biggest = rows.groupBy("shard").count().agg({"count": "max"}).first()[0]
+    assert biggest < 2000  # a tree of 512 points alone has leaves of 16 of them, some 500 of all and their borders
+    edges = [(r.a % (1 << 64), r.b % (1 << 64)) for r in S.link(df, sample=512, shard=100).collect()]
+    assert components(points, edges) == components(points, close_links(points))
+
+
 def test_keep_one(spark):
     body = " ".join(f"word{i % 97}" for i in range(400))
     rows = [(3, body), (1, body), (2, body + " x"), (9, "quite another text, about other things"), (9, "quite another text, about other things"), (None, body)]
