@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the session's checkpoint folder; a folder of our own only where the session names none."""
+    """Cut lineage into the session's checkpoint folder. Only a session on one machine may name none; it gets one of its own."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
@@ -21,20 +24,25 @@ def connected_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, label) of all nodes of (a, b): equal labels where a path joins two nodes.
 
     Each round a node moves to its neighbour of least hash and edges are rewritten between labels, which takes a
-    constant share of the labels away, so rounds follow the logarithm of the graph.
+    constant share of the labels away, so rounds follow the logarithm of the graph; the moves, which shrink with
+    the edges, are put together from the last round back. RuntimeError if edges are left after ``rounds`` rounds.
     """
     e = edges.select("a", "b").where("a <> b").distinct()
-    labels = None
-    for step in range(rounds):
+    moves = []
+    for step in range(rounds + 1):
         e = checkpoint(e)
         if e.isEmpty():
             break
+        if step == rounds:
+            raise RuntimeError(f"components aren't complete after {rounds} rounds")
         place = lambda c: F.struct(F.xxhash64(c, F.lit(step)), c.alias("n"))
         least = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min(place(F.col("b"))).alias("m"))
         move = checkpoint(least.select("a", F.least(F.col("m"), place(F.col("a")))["n"].alias("to")))
-        if labels is None:
-            labels = move.select(F.col("a").alias("node"), F.col("to").alias("label"))
-        else:
-            labels = checkpoint(labels.join(move.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        moves.append(move)
         e = e.join(move.withColumnRenamed("to", "x"), "a").join(move.select(F.col("a").alias("b"), F.col("to").alias("y")), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return labels if labels is not None else e.select(F.col("a").alias("node"), F.col("a").alias("label"))
+    if not moves:
+        return e.select(F.col("a").alias("node"), F.col("a").alias("label"))
+    labels = moves[-1].withColumnsRenamed({"a": "node", "to": "label"})
+    for move in reversed(moves[:-1]):
+        labels = move.join(labels.withColumnRenamed("node", "to"), "to", "left").select(F.col("a").alias("node"), F.coalesce("label", "to").alias("label"))
+    return checkpoint(labels)
