@@ -6,33 +6,44 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, connected_components, read
 
-#: Cosine from which vectors link; blocks of the product code and words in each.
-COSINE, BLOCKS, WORDS = 0.93, 2, 64
-#: The cosine of a cap: a filter's cosine has about the deviation 1 / sqrt(dims), so WIDE deviations hold the same share
-#: of all filters (about 1 in 80) at any number of dimensions; MOST at few. A vector has LEAST filters, its nearest, at least.
-WIDE, MOST, LEAST = 2.24, 0.28, 16
-#: Vectors of one key and label in one block of a comparison.
-BUCKET = 1024
+#: Cosine from which vectors link; blocks of the product code and words in each, which make WORDS ** BLOCKS filters.
+COSINE, BLOCKS, WORDS = 0.93, 2, 256
+#: Filters that hold a random vector on average, which fixes the cap at each number of dimensions, and filters that a
+#: vector goes to at least (its nearest).
+LISTED, LEAST = 16, 16
+#: Vectors of one filter and label in one block of a comparison, and vectors decoded at once.
+BUCKET, STEP = 1024, 256
 
 
 @lru_cache(maxsize=8)
 def code(dims: int, blocks: int, words: int, seed: int = 11) -> list[np.ndarray]:
-    """For each block of dimensions ``words`` random unit vectors; one word of each block makes a filter direction."""
+    """For each block of dimensions ``words`` random unit vectors; one word of each block makes a filter direction.
+
+    A block of one dimension has two directions, and one of two dimensions 32 words at most.
+    """
     rng = np.random.default_rng(seed)
     out = []
     for part in np.array_split(np.arange(dims), blocks):
-        w = rng.standard_normal((words, len(part)))
+        if len(part) == 1:
+            out.append(np.array([[1.0], [-1.0]]))
+            continue
+        w = rng.standard_normal((min(words, 8 ** min(len(part), 9) // 2), len(part)))
         out.append(w / np.linalg.norm(w, axis=1, keepdims=True))
     return out
 
 
+def few_of(book: list[np.ndarray], n: int) -> int:
+    """``n``, or less where the code has few filters: a sixteenth of them, two at least."""
+    return min(n, max(2, int(np.prod([len(b) for b in book])) // 16))
+
+
 @lru_cache(maxsize=8)
 def rotation(dims: int, seed: int = 12) -> np.ndarray:
     """A random rotation, so that no pattern of the components, such as zeros in a block, falls together with the code's."""
@@ -40,8 +51,19 @@ def rotation(dims: int, seed: int = 12) -> np.ndarray:
     return q * np.where(np.diag(r) < 0, -1.0, 1.0)
 
 
-def cap_for(dims: int) -> float:
-    return min(MOST, WIDE / np.sqrt(dims))
+@lru_cache(maxsize=32)
+def cap_for(dims: int, blocks: int = BLOCKS, words: int = WORDS, listed: int = LISTED) -> float:
+    """The cosine above which ``listed`` filters on average hold a random vector, measured on a fixed set of such vectors."""
+    book = code(dims, min(blocks, dims), words)
+    x = np.random.default_rng(13).standard_normal((64, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cuts, n = np.cumsum([0] + [b.shape[1] for b in book]), few_of(book, listed)
+    sums = np.zeros((len(x), 1))
+    for i, b in enumerate(book):  # the best of each vector are enough for the mean
+        sums = (sums[:, :, None] + (x[:, cuts[i] : cuts[i + 1]] @ b.T)[:, None, :]).reshape(len(x), -1)
+        sums = -np.sort(-sums, axis=1)[:, : 16 * n]
+    best = np.sort(sums, axis=None)[::-1]
+    return float(best[min(n * len(x), len(best)) - 1] / np.sqrt(len(book)))
 
 
 def nearest(dots: list[np.ndarray], n: int) -> np.ndarray:
@@ -88,101 +110,187 @@ def classes(vectors: DataFrame) -> DataFrame:
     return one.withColumn("class", F.xxhash64("label", "e"))
 
 
-def depth_for(most: int, blocks: int, words: int, bucket: int) -> int:
-    """How many words of a filter make the join key: as few as keep the filters of the largest label near ``bucket``."""
-    d = 1
-    while d < blocks and most * 0.2 ** d > 2 * bucket:  # a vector's list holds about a fifth of the words of each block
-        d += 1
-    return d
+def filters(unit: np.ndarray, blocks: int, words: int, cap: float | None, least: int) -> list[np.ndarray]:
+    """Sorted filter numbers of each unit vector, rotated first."""
+    dims = unit.shape[1]
+    book, bar = code(dims, min(blocks, dims), words), cap_for(dims, blocks, words) if cap is None else cap
+    out: list[np.ndarray] = []
+    for at in range(0, len(unit), STEP):
+        out += decode(unit[at : at + STEP] @ rotation(dims), book, bar, few_of(book, least))
+    return out
+
+
+def unit_rows(raw: np.ndarray) -> np.ndarray:
+    x = raw / np.abs(raw).max(axis=1, keepdims=True)  # so that no square overflows
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def close_pairs(x: np.ndarray, starts: np.ndarray, part: np.ndarray, p: np.ndarray, q: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one run whose cosine is ``cosine`` or more; run r is the rows from starts[r] to starts[r + 1].
+
+    In a run of blocks p < q the pairs are of one row from each, in all others of any two. Small runs are compared
+    many at a time.
+    """
+    size, found = np.diff(starts), []
+    small = (size <= 64) & (p[starts[:-1]] == q[starts[:-1]])
+    for s in np.unique(size[small & (size > 1)]).tolist():
+        first = starts[:-1][small & (size == s)]
+        upper = np.triu(np.ones((s, s), bool), 1)
+        step = max(1, 2_000_000 // (s * max(s, x.shape[1])))
+        for at in range(0, len(first), step):
+            rows = first[at : at + step, None] + np.arange(s)
+            r, i, j = np.nonzero((x[rows] @ x[rows].transpose(0, 2, 1) >= cosine) & upper)
+            found.append((rows[r, i], rows[r, j]))
+    for r in np.flatnonzero(~small):
+        rows = np.arange(starts[r], starts[r + 1])
+        two = p[rows[0]] != q[rows[0]]
+        a, b = (rows[part[rows] == p[rows[0]]], rows[part[rows] == q[rows[0]]]) if two else (rows, rows)
+        for at in range(0, len(a), 512):
+            i, j = np.nonzero(x[a[at : at + 512]] @ x[b].T >= cosine)
+            i, j = a[at + i], b[j]
+            found.append((i, j) if two else (i[i < j], j[i < j]))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+
+
+def at_first_filter(i: np.ndarray, j: np.ndarray, key: np.ndarray, lists: dict[int, np.ndarray]) -> np.ndarray:
+    """Whether no filter under ``key`` lists both rows of the pair."""
+    names = np.array(sorted(lists))
+    held = [lists[n] for n in names.tolist()]
+    size = np.array([len(h) for h in held])
+    start, flat = np.cumsum(size) - size, np.concatenate(held).astype(np.int64)
+    wide = int(flat.max()) + 1
+    member = np.repeat(np.arange(len(names)), size) * wide + flat  # sorted
+    a, b = np.searchsorted(names, i), np.searchsorted(names, j)
+    out = np.ones(len(i), bool)
+    for at in range(0, len(i), 50_000):
+        x, y, n = a[at : at + 50_000], b[at : at + 50_000], size[a[at : at + 50_000]]
+        pair = np.repeat(np.arange(len(x)), n)
+        k = flat[np.repeat(start[x] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        earlier = k < key[at : at + 50_000][pair]
+        pair, k = pair[earlier], k[earlier]
+        want = y[pair] * wide + k
+        spot = np.minimum(np.searchsorted(member, want), len(member) - 1)
+        out[at + pair[member[spot] == want]] = False
+    return out
+
+
+def spanning(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that a spanning forest of their graph on n nodes needs."""
+    root, kept = np.arange(n), []
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    for at in range(0, len(i), 4096):
+        x, y = i[at : at + 4096], j[at : at + 4096]
+        while True:  # roots of these nodes, at any depth
+            r = root[root[x]], root[root[y]]
+            if (r[0] == root[x]).all() and (r[1] == root[y]).all():
+                break
+            root[x], root[y] = r
+        for k in np.flatnonzero(root[x] != root[y]).tolist():
+            r, s = find(int(x[k])), find(int(y[k]))
+            if r != s:
+                root[max(r, s)] = min(r, s)
+                kept.append(at + k)
+    return i[kept], j[kept]
 
 
-def links(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, words: int = WORDS, cap: float | None = None, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, words: int = WORDS, cap: float | None = None, least: int = LEAST, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classes, counts, edges) of the vectors that link.
 
-    A class goes to every filter whose cap (of ``cap`` or cap_for) holds its rotated vector, and to its LEAST nearest; vectors of equal label and dimension meet in a filter, and the
-    cosine of what meets is verified in double precision. The key of the join is the filter's number or, while
-    labels are small, its first words, which joins neighbouring filters and loses nothing. A pair counts at the
-    first key that both share, so no pair is counted twice and none is sent anywhere: a task returns for each
-    class how many rows it links to, and of the links a spanning forest. A key with more than ``bucket`` classes
-    is dealt out in blocks, and a task compares two blocks; the rows of such a key are repeated as often as it
-    has blocks.
+    A class goes to every filter whose cap (of ``cap`` or cap_for) holds its rotated vector, and to its ``least``
+    nearest; vectors of equal label and dimension meet in a filter, and the cosine of what meets is verified in
+    double precision. A pair counts at the first filter that both share, so no pair is counted twice and none is
+    sent anywhere: a task returns for each class how many rows it links to, and of the links a spanning forest.
+    A filter with more than ``bucket`` classes is dealt out in blocks, and two blocks are compared at a time; the
+    rows of such a filter are repeated as often as it has blocks. Filters lie sorted one after the other in a
+    partition, and a task holds a few Arrow batches at once.
     """
     rows = checkpoint(classes(vectors))
-    most = rows.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    depth = depth_for(most, blocks, words, bucket)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             e = batch.column(2).to_pylist()
             for dims in sorted({len(v) for v in e}):
                 at = np.array([i for i, v in enumerate(e) if len(v) == dims])
-                book = code(dims, min(blocks, dims), words)
-                for k in range(0, len(at), 256):
-                    some = at[k : k + 256]
+                for k in range(0, len(at), STEP):
+                    some = at[k : k + STEP]
                     raw = np.array([e[i] for i in some], float)
-                    x = raw / np.abs(raw).max(axis=1, keepdims=True)  # so that no square overflows
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    keys = [np.unique(f // words ** max(len(book) - depth, 0)).astype(np.int32) for f in decode(x @ rotation(dims), book, cap_for(dims) if cap is None else cap, LEAST)]
+                    keys = filters(unit_rows(raw), blocks, words, cap, least)
                     rep = np.repeat(np.arange(len(some)), [len(f) for f in keys])
                     unit = [v.tobytes() for v in (raw.astype(np.float32) if np.array_equal(raw.astype(np.float32).astype(float), raw) else raw)]
-                    packed = [f.tobytes() for f in keys]
                     pick = pa.array(some[rep])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pick), batch.column(1).take(pick), batch.column(3).take(pick), pa.array(np.full(len(rep), dims, np.int32)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int32)), pa.array([unit[i] for i in rep], pa.binary()), pa.array([packed[i] for i in rep], pa.binary())],
-                        ["class", "label", "n", "dims", "key", "vector", "keys"],
+                        [batch.column(0).take(pick), batch.column(1).take(pick), batch.column(3).take(pick), pa.array(np.full(len(rep), dims, np.int32)), pa.array(np.concatenate(keys).astype(np.int64)), pa.array([unit[i] for i in rep], pa.binary())],
+                        ["class", "label", "n", "dims", "key", "vector"],
                     )
 
     kind = vectors.schema["label"].dataType.simpleString()
-    caps = rows.select("class", "label", "e", "n").mapInArrow(spread, f"class long, label {kind}, n long, dims int, key int, vector binary, keys binary")
+    caps = rows.select("class", "label", "e", "n").mapInArrow(spread, f"class long, label {kind}, n long, dims int, key long, vector binary")
     hot = checkpoint(caps.groupBy("label", "dims", "key").agg(F.count("*").alias("size")).where(F.col("size") > bucket))
-    few = hot.limit(100_001).count() <= 100_000  # rows of three numbers each
+    few = hot.limit(100_001).count() <= 100_000  # rows of four numbers each
     dealt = caps.join(F.broadcast(hot) if few else hot, ["label", "dims", "key"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("size") / bucket), F.lit(1)).cast("int"))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     # part p meets q in the pair (p, q) with p <= q
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(F.col("part"), q).alias("p"), F.greatest(F.col("part"), q).alias("q")))
-    dealt = dealt.withColumn("pair", F.explode(pair)).select("label", "dims", "key", "pair.p", "pair.q", "part", "class", "n", "vector", "keys")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        key, p, q, dims = (int(group[c].iloc[0]) for c in ("key", "p", "q", "dims"))
-        group = group.sort_values("class")
-        ids, n, part = group["class"].to_numpy(), group.n.to_numpy(), group.part.to_numpy()
-        x = np.array([np.frombuffer(v, np.float32 if len(v) == 4 * dims else np.float64) for v in group.vector], float)
-        x /= np.abs(x).max(axis=1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        left, right = (part == p, part == q) if p != q else (np.ones(len(ids), bool),) * 2
-        a, b = np.flatnonzero(left), np.flatnonzero(right)
-        i, j = np.nonzero(x[a] @ x[b].T >= cosine)
-        i, j = a[i], b[j]
-        if p == q:
-            i, j = i[i < j], j[i < j]
-        before = [f[f < key] for f in (np.frombuffer(f, np.int32) for f in group["keys"])]
-        names, at = np.unique(np.concatenate(before), return_inverse=True)
-        if len(i) and len(names):
-            # a pair that shares an earlier key has been counted there; keys as bits
-            member = np.zeros((len(ids), len(names)), bool)
-            member[np.repeat(np.arange(len(ids)), [len(f) for f in before]), at] = True
-            bits = np.packbits(member, axis=1)
-            first = np.concatenate([~(bits[i[k : k + 50_000]] & bits[j[k : k + 50_000]]).any(axis=1) for k in range(0, len(i), 50_000)])
-            i, j = i[first], j[first]
-        linked = np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))
-        root, edges = np.arange(len(ids)), []
-
-        def find(v: int) -> int:
-            while root[v] != v:
-                root[v] = root[root[v]]
-                v = root[v]
-            return v
-
-        for v, w in zip(i.tolist(), j.tolist(), strict=True):
-            r, s = find(v), find(w)
-            if r != s:
-                root[max(r, s)] = min(r, s)
-                edges.append((int(ids[v]), int(ids[w])))
+    run = ["dims", "key", "p", "q"]
+    dealt = dealt.withColumn("pair", F.explode(pair)).select("label", "dims", "key", "pair.p", "pair.q", "part", "class", "n", "vector")
+    sorted_ = dealt.repartition("label", *run).sortWithinPartitions("label", *run, "class")
+
+    def compare(table: pa.Table) -> pa.RecordBatch | None:
+        """What whole runs of one number of dimensions give."""
+        ids, n, key, part, p, q = (table[c].to_numpy() for c in ("class", "n", "key", "part", "p", "q"))
+        dims, raw = int(table["dims"][0].as_py()), table["vector"].to_pylist()
+        width = {len(v) for v in raw}
+        if width == {4 * dims}:
+            x = unit_rows(np.frombuffer(b"".join(raw), np.float32).reshape(-1, dims).astype(float))
+        else:
+            x = unit_rows(np.array([np.frombuffer(v, np.float32 if len(v) == 4 * dims else np.float64) for v in raw], float))
+        i, j = close_pairs(x, bounds(table), part, p, q, cosine)
+        if not len(i):
+            return None
+        some = np.unique(np.concatenate([i, j]))
+        lists = dict(zip(some.tolist(), filters(x[some], blocks, words, cap, least), strict=True))
+        first = at_first_filter(i, j, key[i], lists)
+        i, j = i[first], j[first]
+        names, of = np.unique(ids, return_inverse=True)
+        linked = np.bincount(of[i], n[j], len(names)) + np.bincount(of[j], n[i], len(names))
+        a, b = spanning(of[i], of[j], len(names))
         some = np.flatnonzero(linked)
-        out = [np.concatenate([ids[some], np.array([v for v, _ in edges], np.int64)]), np.concatenate([ids[some], np.array([w for _, w in edges], np.int64)]), np.concatenate([linked[some].astype(np.int64), np.zeros(len(edges), np.int64)])]
-        return pd.DataFrame(dict(zip(("a", "b", "linked"), out, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([names[some], names[a]])), pa.array(np.concatenate([names[some], names[b]])), pa.array(np.concatenate([linked[some].astype(np.int64), np.zeros(len(a), np.int64)]))], ["a", "b", "linked"])
+
+    def bounds(table: pa.Table) -> np.ndarray:
+        """Where runs begin, and the number of rows."""
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for c in ("label", *run):
+            codes = table[c].combine_chunks().dictionary_encode().indices.to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        return np.append(np.flatnonzero(new), table.num_rows)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
 
-    found = checkpoint(dealt.groupBy("label", "dims", "key", "p", "q").applyInPandas(compare, "a long, b long, linked long"))
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            for d in table["dims"].unique().to_pylist():
+                if (out := compare(table.filter(pc.equal(table["dims"], d)))) is not None:
+                    yield out
+
+        for batch in batches:
+            one = pa.Table.from_batches([batch])
+            held = one if held is None else pa.concat_tables([held, one])
+            last = int(bounds(held)[-2]) if held.num_rows else 0
+            if last:  # the last run may go on in the next batch
+                yield from done(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield from done(held)
+
+    found = checkpoint(sorted_.mapInArrow(meet, "a long, b long, linked long"))
     return rows, found.where("a = b").groupBy("a").agg(F.sum("linked").alias("linked")), found.where("a <> b").select("a", "b")
 
 

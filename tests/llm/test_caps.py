@@ -86,9 +86,9 @@ def test_decode_lists_every_filter_over_the_bar():
         assert found.tolist() == want
 
 
-@pytest.mark.parametrize("dims, zeros, bucket", [(2, 0, 1024), (32, 0, 8), (64, 32, 8), (128, 0, 1024), (128, 0, 8), (768, 0, 8), (768, 700, 8)])
-def test_recall_at_any_width(spark, dims, zeros, bucket):
-    """Pairs at a cosine of about 0.935, a bucket of 8 for depth 2; the last ``zeros`` components are 0."""
+@pytest.mark.parametrize("dims, zeros", [(2, 0), (16, 0), (64, 0), (64, 32), (256, 0), (768, 0), (768, 700)])
+def test_recall_at_any_width(spark, dims, zeros):
+    """Pairs at a cosine of about 0.935; the last ``zeros`` components are 0."""
     rng, rows = np.random.default_rng(dims + zeros), []
     for _ in range(150):
         a, b = rng.standard_normal((2, dims - zeros))
@@ -96,15 +96,44 @@ def test_recall_at_any_width(spark, dims, zeros, bucket):
         b -= a * (a @ b)
         b = 0.935 * a + np.sqrt(1 - 0.935**2) * b / np.linalg.norm(b)
         rows += [(len(rows) + k, [*v.tolist(), *[0.0] * zeros], 1) for k, v in enumerate((a, b))]
-    assert C.depth_for(len(rows), C.BLOCKS, C.WORDS, bucket) == (2 if bucket == 8 else 1)
     links, _ = brute(rows)
-    out = got(frame(spark, rows), bucket=bucket)
+    out = got(frame(spark, rows))
     assert len(links) >= 150 and sum(v[0] for v in out.values()) >= 0.95 * 2 * len(links)
 
 
-@pytest.mark.parametrize("dims", [1, 2, 64, 300])
+def test_few_random_pairs_meet_in_a_filter():
+    """The filters part random vectors: under 3 in 100 pairs share one at 64 dimensions."""
+    x = np.random.default_rng(8).standard_normal((400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    held = [set(f.tolist()) for f in C.filters(x, C.BLOCKS, C.WORDS, None, C.LEAST)]
+    assert sum(bool(a & b) for a, b in combinations(held, 2)) < 0.03 * 400 * 399 / 2
+    assert 10 < np.mean([len(h) for h in held]) < 40
+
+
+def test_a_large_label(spark):
+    """20,000 vectors of one label at 96 dimensions, some in pairs and one group of 500 near one centre."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((20_000, 96))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(0, 2000, 2):
+        other = x[k + 1] - x[k] * (x[k] @ x[k + 1])
+        x[k + 1] = 0.94 * x[k] + np.sqrt(1 - 0.94**2) * other / np.linalg.norm(other)
+    x[2000:2500] = x[2000] + rng.standard_normal((500, 96)) * 0.018
+    x = x.astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = np.zeros(len(x), int)
+    for at in range(0, len(x), 1000):
+        want[at : at + 1000] = (u[at : at + 1000] @ u.T >= C.COSINE).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    out = got(df, bucket=256)
+    n = np.array([out[i][0] for i in range(len(x))])
+    assert (n <= want).all() and n.sum() >= 0.97 * want.sum() and want.sum() > 10_000
+
+
+@pytest.mark.parametrize("dims", [1, 2, 3, 64, 300])
 def test_every_vector_has_its_nearest_filters(dims):
     x = np.random.default_rng(5).standard_normal((300, dims))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    book = C.code(dims, min(2, dims), 64)
-    assert min(map(len, C.decode(x, book, 2.0, C.LEAST))) >= C.LEAST
+    found = C.filters(x, C.BLOCKS, C.WORDS, 2.0, C.LEAST)
+    least = C.few_of(C.code(dims, min(2, dims), C.WORDS), C.LEAST)
+    assert min(map(len, found)) >= least and (dims == 1 or np.mean([len(f) for f in found]) < 2 * least)
