@@ -10,7 +10,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import checkpoint, read
 
 try:
     from re import _parser as sre
@@ -129,7 +129,7 @@ def candidates(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     them first. The table of queries has a row for each trigram of a rule; its size follows the rules alone.
     """
     spark = docs.sparkSession
-    rows = [(r.kind, f"{r.kind}{n}", t, 1 << i, (1 << len(a)) - 1) for r in rules for n, a in enumerate(sorted(trigram_query(r.pattern), key=sorted)) for i, t in enumerate(sorted(a))]
+    rows = [(r.kind, f"{r.kind}{n}", t, 1 << i, (1 << len(a)) - 1) for r in rules for n, a in enumerate(_ways(r)) for i, t in enumerate(a)]
     if not rows:
         return docs.select("doc_id", F.array().cast("array<string>").alias("rules")).limit(0)
     table = spark.createDataFrame(rows, "rule string, way string, trigram string, bit long, full long")
@@ -137,23 +137,56 @@ def candidates(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     return met.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
 
 
+def _ways(rule: Rule) -> list[list[str]]:
+    """The alternatives of the rule's trigram query; none for a rule without mandatory trigrams."""
+    query = trigram_query(rule.pattern)
+    return [] if frozenset() in query else sorted(sorted(a) for a in query)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _parts(items: Column) -> Column:
+    """An array cut in about the square root of its size parts of as many items, so that sums along it stay cheap."""
+
+    def cut(both: Column) -> Column:
+        items, step = both["items"], both["step"]
+        return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), step), lambda at: F.slice(items, at, step))).otherwise(F.array())
+
+    step = lambda x: F.greatest(F.ceil(F.sqrt(F.size(x).cast("double"))).cast("int"), F.lit(1))
+    return _let(items, lambda x: _let(F.struct(x.alias("items"), step(x).alias("step")), cut))
+
+
+def _before(totals: Column, start: Column, add) -> Column:
+    """For each total what ``add`` makes of ``start`` and the totals before it."""
+    return F.aggregate(totals, F.array(start), lambda acc, t: F.concat(acc, F.array(add(F.element_at(acc, -1), t))))
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Leftmost non-overlapping matches as structs of start, order, kind, end; code points, end exclusive.
 
-    The gaps between matches and the matches give the places.
+    The gaps between matches and the matches give the places: their lengths are summed up along parts of the array
+    first, so that the work doesn't grow with the square of the number of matches.
     """
     gaps, hits = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    size = F.length if not rule.group else None
-    values = hits if size else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+    values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else hits
     found = F.zip_with(F.slice(gaps, 1, F.size(hits)), F.arrays_zip(hits.alias("hit"), values.alias("value")), lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h["hit"]).alias("n"), F.length(h["value"]).alias("v")))
     span = "array<struct<start:int,order:int,kind:string,end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         one = F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), (acc["at"] + x["gap"] + x["n"]).alias("end"))
         return F.struct((acc["at"] + x["gap"] + x["n"]).alias("at"), F.when(x["v"] >= rule.least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).cast(span).alias("out"))
 
-    return F.aggregate(found, start, step, lambda acc: acc["out"])
+    def inside(part: Column, at: Column) -> Column:
+        return F.aggregate(part, F.struct(at.alias("at"), F.array().cast(span).alias("out")), step, lambda acc: acc["out"])
+
+    def along(parts: Column) -> Column:
+        totals = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + x["gap"] + x["n"]))
+        return F.flatten(F.zip_with(parts, F.slice(_before(totals, F.lit(0), lambda x, t: x + t), 1, F.size(parts)), inside))
+
+    return _let(_parts(found), along)
 
 
 def _likely(text: Column, rule: Rule) -> Column:
@@ -164,42 +197,81 @@ def _likely(text: Column, rule: Rule) -> Column:
     return text.rlike(rule.pattern)
 
 
-def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``docs`` with a column ``spans``: array of (start, order, kind, end), by start and then order of the rules.
 
-    Rules without mandatory trigrams are tried on every text; the others only on documents that the index gives.
-    Each rule's matches are leftmost and don't overlap, rules may overlap each other. Null and empty texts have
-    none. Rows that repeat a doc_id share candidates but are verified one by one; rows without doc_id are tried
-    with every rule. Other columns are carried along, unless named spans.
+    Rules without mandatory trigrams are tried on every text where it stands; the others only on documents that the
+    index gives. The candidates, ids and kinds only, are broadcast if there are ``broadcast_rows`` or fewer; beyond
+    that, rows whose text holds all trigrams of some rule are joined with them by a shuffle, and no other text
+    moves. Null and empty texts have none. Rows that repeat a doc_id share candidates but are verified one by one;
+    rows without doc_id are tried with every rule. An empty table gives an empty result. Other columns are carried
+    along whatever their names; one named spans is replaced.
     """
     none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
-    found = candidates(docs, rules).withColumnsRenamed({"doc_id": "_id", "rules": "_rules"})
-    both = docs.drop("spans").join(found, F.col("doc_id") == F.col("_id"), "left")
-    text = F.coalesce("text", F.lit(""))
-    parts = []
+    held = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns if c != "spans"]).alias("row"))
+    ways = [w for r in rules for w in _ways(r)]
+    if ways:
+        found = checkpoint(candidates(docs, rules).withColumnRenamed("doc_id", "_id"))
+        few = found.limit(broadcast_rows + 1).count() <= broadcast_rows
+        if few:
+            both = held.join(F.broadcast(found), F.col("doc_id") == F.col("_id"), "left")
+        else:
+            low = F.lower("text")
+            may = F.coalesce(F.col("doc_id").isNotNull() & F.exists(F.array(*[F.forall(F.array(*[F.contains(low, F.lit(t)) for t in w]), lambda x: x) for w in ways]), lambda x: x), F.lit(False))
+            rest = held.where(~may).select("*", F.lit(None).cast("array<string>").alias("rules"))
+            both = held.where(may).join(found, F.col("doc_id") == F.col("_id"), "left").drop("_id").unionByName(rest)
+    else:
+        both = held.withColumn("rules", F.lit(None).cast("array<string>"))
+    text, parts = F.coalesce("text", F.lit("")), []
     for n, r in enumerate(rules):
-        tried = F.lit(True) if frozenset() in trigram_query(r.pattern) else F.col("doc_id").isNull() | F.coalesce(F.array_contains("_rules", r.kind), F.lit(False))
+        tried = F.col("doc_id").isNull() | F.coalesce(F.array_contains("rules", r.kind), F.lit(False)) if _ways(r) else F.lit(True)
         parts.append(F.when(tried & _likely(text, r), _spans(text, r, n)).otherwise(none))
-    return both.withColumn("spans", F.array_sort(F.concat(*parts))).drop("_id", "_rules")
+    return both.select("row", F.array_sort(F.concat(*parts)).alias("spans")).select("row.*", "spans")
 
 
 def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of its text replaced by ``mark``; spans that overlap share one. Null texts stay null."""
-    done = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, mark: str = "[SECRET]", piece: int = 1024) -> DataFrame:
+    """``docs``, all columns, with every span of its text replaced by ``mark``; spans that overlap share one.
+
+    Null texts stay null, an empty table stays empty, repeated rows stay. The text is cut into pieces of ``piece``
+    code points first, and what is kept is read from the pieces, so that the work follows the text's length.
+    """
+    packed = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    spans, text = F.col("spans"), F.col("text")
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
+
+    def between(cut: Column, lo: Column, hi: Column) -> Column:
+        """Characters lo to hi of the text."""
+        first, last = F.floor(lo / piece).cast("int"), F.floor((hi - 1) / piece).cast("int")
+        return F.when(hi > lo, F.substring(F.array_join(F.slice(cut, first + 1, last - first + 1), ""), lo - first * piece + 1, hi - lo)).otherwise(F.lit(""))
+
+    def step(cut: Column):
+        def one(acc: Column, s: Column) -> Column:
+            kept = F.when(s["start"] >= acc["at"], F.array(F.concat(between(cut, acc["at"], s["start"]), F.lit(mark)))).otherwise(F.array().cast("array<string>"))
+            return F.struct(F.concat(acc["out"], kept).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+        return one
+
+    def inside(cut: Column):
+        return lambda part, at: F.aggregate(part, F.struct(F.array().cast("array<string>").alias("out"), at.alias("at")), step(cut), lambda acc: F.array_join(acc["out"], ""))
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit("")))
-        return F.struct(kept.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    def clean(both: Column) -> Column:
+        parts, cut = both["parts"], both["cut"]
+        ends = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda acc, s: F.greatest(acc, s["end"])))
+        at = _before(ends, F.lit(0), lambda x, e: F.greatest(x, e))
+        head = F.array_join(F.zip_with(parts, F.slice(at, 1, F.size(parts)), inside(cut)), "")
+        rest = F.element_at(at, -1)
+        return F.concat(head, between(cut, rest, F.greatest(rest, F.length(text))))
 
-    clean = F.aggregate("spans", done, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return scan(docs, rules).withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))).drop("spans")
+    done = scan(packed, rules).withColumn("clean", F.when(F.size(spans) > 0, _let(F.struct(_parts(spans).alias("parts"), pieces.alias("cut")), clean)).otherwise(text))
+    return done.select(*[F.col("clean").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest of the base rules' spans and all spans of every document, as ``scan`` finds them."""
     got = scan(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
     base = F.filter("spans", lambda s: s["order"] < len(BASE))
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
