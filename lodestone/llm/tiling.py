@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -74,39 +73,73 @@ def index(names: list, texts: list[str | None], k: int = TILE) -> Bench:
     return Bench(vocabulary, ids, starts, names, h[at], at, item[at])
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, seeds: np.ndarray, k: int = TILE) -> list[tuple[int, int, int]]:
+def _window_hashes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums that give the Karp-Rabin hash of any run: before each number, and the powers of BASE."""
+    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    power = np.ones(len(ids) + 1, np.uint64)
+    np.multiply.accumulate(np.full(len(ids), BASE, np.uint64), out=power[1:])
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * power[: len(ids)], dtype=np.uint64)]), power
+
+
+def _hashes_at(sums: np.ndarray, power: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    # each hash is lifted to the highest power, so that equal runs at different places are equal
+    return (sums[at + n] - sums[at]) * power[len(power) - 1 - at]
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, doc_places: np.ndarray, item_places: np.ndarray, k: int = TILE) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (start in doc, start in item, length) of non-overlapping common runs, longest first.
 
-    ``seeds`` are the pairs of places where k words are equal. Seeds that follow each other make the maximal
-    matches. Again and again the longest is marked if all its words are free; a match that marks have cut is put
-    back in the pieces that are free and still k words long. Ties go to the smaller place in the item, then in the
-    document.
+    ``doc_places`` and ``item_places`` are the sorted places where seeds of k words begin that both hold; every
+    match begins at one of each. Again and again the greatest length is sought at which a free run of either has
+    the same running Karp-Rabin hash (a shared run of n words has shared runs of all lengths from k to n, so
+    halving finds it), and matches of that length are marked in order of their place in the item, each with the
+    first free place in the document. Words are compared before a match is marked. Every length is gone through
+    once, in time that follows the places, however often words repeat.
     """
-    if not len(seeds):
+    if not len(doc_places) or not len(item_places):
         return []
-    seeds = np.unique(seeds, axis=0)
-    diagonal = seeds[:, 0] - seeds[:, 1]
-    order = np.lexsort((seeds[:, 0], diagonal))
-    a, b, d = seeds[order, 0], seeds[order, 1], diagonal[order]
-    cut = np.flatnonzero(np.concatenate([[True], (np.diff(d) != 0) | (np.diff(a) != 1)]))
-    lengths = np.diff(np.append(cut, len(a))) + k - 1
-    heap = [(-int(n), int(y), int(x)) for n, y, x in zip(lengths, b[cut], a[cut], strict=True)]
-    heapq.heapify(heap)
-    used_doc, used_item, out = np.zeros(len(doc), bool), np.zeros(len(item), bool), []
-    while heap:
-        n, y, x = heapq.heappop(heap)
-        n = -n
-        free = ~(used_doc[x : x + n] | used_item[y : y + n])
-        if free.all():
-            out.append((x, y, n))
-            used_doc[x : x + n] = used_item[y : y + n] = True
-            if used_item.all():
-                break
-            continue
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))
-        for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            if hi - lo >= k:
-                heapq.heappush(heap, (lo - hi, y + lo, x + lo))
+    skip = int(doc_places[0])  # matches lie between the first place and the end of the last
+    doc = doc[skip : int(doc_places[-1]) + k]
+    both, shift = np.concatenate([doc, [-1], item]), len(doc) + 1
+    here, there = doc_places - skip, item_places + shift
+    sums, power = _window_hashes(both)
+    used = np.zeros(len(both) + 1, bool)
+    used[[len(doc), -1]] = True
+    out, most = [], min(len(doc), len(item))
+
+    def shared(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        a, b = (p[stop[p] - p >= n] for p in (here, there))
+        ha, hb = _hashes_at(sums, power, a, n), _hashes_at(sums, power, b, n)
+        in_a, in_b = np.isin(ha, hb), np.isin(hb, ha)
+        return a[in_a], ha[in_a], b[in_b], hb[in_b]
+
+    while most >= k and not used[shift:].all():
+        taken = np.flatnonzero(used)
+        stop = taken[np.searchsorted(taken, np.arange(len(used)))]  # the first used word from each place on
+        lo, hi = k - 1, min(most, int((stop[here] - here).max()), int((stop[there] - there).max()))
+        while lo < hi:
+            n = (lo + hi + 1) // 2
+            lo, hi = (n, hi) if len(shared(n)[0]) else (lo, n - 1)
+        if lo < k:
+            break
+        n, most = lo, lo - 1
+        a, ha, b, hb = shared(n)
+        order = np.lexsort((a, ha))
+        a, ha = a[order].tolist(), ha[order]
+        next_of = dict(zip(hb.tolist(), np.searchsorted(ha, hb, "left").tolist(), strict=True))
+        end_of = dict(zip(hb.tolist(), np.searchsorted(ha, hb, "right").tolist(), strict=True))
+        for y, h in zip(b.tolist(), hb.tolist(), strict=True):
+            if used[y] or used[y + n - 1]:
+                continue
+            # marks of this length hide a place for good; a run of the same hash but other words only for this y
+            while next_of[h] < end_of[h] and (used[a[next_of[h]]] or used[a[next_of[h]] + n - 1]):
+                next_of[h] += 1
+            for x in a[next_of[h] : end_of[h]]:
+                if not (used[x] or used[x + n - 1]) and np.array_equal(both[x : x + n], both[y : y + n]):
+                    out.append((x + skip, y - shift, n))
+                    used[x : x + n] = used[y : y + n] = True
+                    break
     return out
 
 
@@ -126,21 +159,26 @@ def matches(bench: Bench, texts: pa.Array, k: int = TILE) -> Iterator[tuple[int,
     for j in range(k):
         h = h * BASE + x[at + j]
     row = np.searchsorted(starts, at, side="right") - 1
-    lo, hi = np.searchsorted(bench.seeds, h, "left"), np.searchsorted(bench.seeds, h, "right")
-    ok = (hi > lo) & (at + k <= starts[row + 1])
-    at, row, lo, hi = at[ok], row[ok], lo[ok], hi[ok]
+    seed = np.minimum(np.searchsorted(bench.seeds, h), len(bench.seeds) - 1)
+    ok = (bench.seeds[seed] == h) & (at + k <= starts[row + 1])
+    # words of the seed and of its first place in the benchmark; places of one hash are taken to hold the same words
+    ok[ok] = (ids[at[ok][:, None] + np.arange(k)] == bench.ids[bench.places[seed[ok]][:, None] + np.arange(k)]).all(axis=1)
+    at, row, h = at[ok], row[ok], h[ok]
     for r in np.unique(row):  # texts with seeds only
         own = slice(*np.searchsorted(row, [r, r + 1]))
-        n = hi[own] - lo[own]
-        hit = np.repeat(lo[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        place = np.repeat(at[own], n)
-        same = (ids[place[:, None] + np.arange(k)] == bench.ids[bench.places[hit][:, None] + np.arange(k)]).all(axis=1)
-        hit, place = hit[same], place[same]
+        mine, places = h[own], at[own] - starts[r]
+        # each seed once, however often the text repeats it
+        distinct = np.unique(mine)
+        lo, hi = np.searchsorted(bench.seeds, distinct, "left"), np.searchsorted(bench.seeds, distinct, "right")
+        n = hi - lo
+        hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hit = hit[np.argsort(bench.items[hit], kind="stable")]
         doc = ids[starts[r] : starts[r + 1]]
-        for i in np.unique(bench.items[hit]):
-            mine = bench.items[hit] == i
+        cut = np.flatnonzero(np.diff(bench.items[hit])) + 1
+        for some in np.split(hit, cut):
+            i = bench.items[some[0]]
             item = bench.ids[bench.starts[i] : bench.starts[i + 1]]
-            got = tiles(doc, item, np.stack([place[mine] - starts[r], bench.places[hit[mine]] - bench.starts[i]], axis=1), k)
+            got = tiles(doc, item, places[np.isin(mine, bench.seeds[some])], np.sort(bench.places[some]) - bench.starts[i], k)
             yield int(r), int(i), sum(t[2] for t in got), len(item)
 
 
@@ -181,7 +219,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, k: int = TILE, block_chars:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, k: int = TILE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs``, all columns, of which no benchmark item is covered to ``cover`` or more. No shuffle."""
+    """The rows of ``docs``, all columns, of which no benchmark item is covered to ``cover`` or more. No shuffle.
+
+    Null and empty texts hold no item and stay, repeated rows go or stay alike, and an empty table stays empty; with
+    an empty benchmark all rows stay.
+    """
     at = docs.columns.index("text")
     for bench in _blocks(benchmark, k, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(bench)
@@ -209,4 +251,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, *
 
 
 def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document the benchmark item of which its text covers most."""
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 
@@ -36,7 +37,7 @@ def brute(doc, item, k=G.TILE):
 
 
 def items(spark, *texts):
-    return spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "item_id long, text string, n int" if False else "item_id long, text string, key string")
+    return spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "item_id long, text string, key string")
 
 
 def test_tiles_cover_what_the_plain_algorithm_covers(spark):
@@ -93,3 +94,25 @@ def test_rolling_hashes_follow_the_words():
     h = G.rolling(ids, 3)
     assert h[0] == h[3] and len(set(h.tolist())) == 3
     assert len(G.rolling(ids, 7)) == 0
+
+
+def test_texts_of_one_word(spark):
+    """20,000 equal words against 20,000: as many places of one seed."""
+    docs = [(1, "word " * 20_000), (2, "word " * 30_000), (3, "word other " * 9_000), (4, "x " + "word " * 700)]
+    began = time.perf_counter()
+    got = {r.doc_id: r.n_covered for r in G.overlaps(frame(spark, docs), items(spark, "word " * 20_000)).collect()}
+    assert got == {1: 20_000, 2: 20_000, 4: 700} and time.perf_counter() - began < 30
+
+
+def test_tiles_of_runs_and_periods():
+    rng = random.Random(7)
+    for _ in range(150):
+        doc, item = (np.array([rng.randrange(2) for _ in range(rng.randrange(5, 60))]) for _ in range(2))
+        k = rng.randrange(2, 6)
+        grams = lambda w: [tuple(w[i : i + k].tolist()) for i in range(len(w) - k + 1)]
+        a, b = grams(doc), grams(item)
+        here, there = (np.array([i for i, g in enumerate(x) if g in set(y)], np.int64) for x, y in ((a, b), (b, a)))
+        got = G.tiles(doc, item, here, there, k)
+        assert sum(t[2] for t in got) == brute(doc.tolist(), item.tolist(), k)
+        assert all((doc[x : x + n] == item[y : y + n]).all() for x, y, n in got)
+        assert [n for _, _, n in got] == sorted((n for _, _, n in got), reverse=True)
