@@ -12,13 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, read
+from .common import checkpoint, held_out, read
 from .linear import Row, fit_hinge
 
 BITS = 15
 DIMS = 1 << BITS
-#: Labelled rows of each language that the SVMs are fitted on, and the languages at most (the most frequent ones).
-FIT_ROWS, LANGUAGES = 1500, 200
+#: Labelled rows of each language, and of all, that the SVMs are fitted on; each of many languages gets fewer rows.
+FIT_ROWS, ALL_ROWS = 1500, 60_000
+#: Languages of one family at most; a larger one is parted into families of languages with like 3-grams.
+FAMILY = 12
 STEP = 1 << 18
 FAMILIES = {
     **dict.fromkeys(("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb"), "germanic"),
@@ -77,21 +79,37 @@ class LanguageModel:
         return names[top], float(sure * votes[top] / (len(names) - 1))
 
 
-def fit_languages(docs: DataFrame, families: Mapping[str, str] = FAMILIES, fit_rows: int = FIT_ROWS, most: int = LANGUAGES) -> LanguageModel:
+def part_families(names: dict[str, list[str]], centres: dict[str, np.ndarray], most: int = FAMILY) -> dict[str, list[str]]:
+    """Families of ``most`` languages or fewer: a larger one is filled up from one language on with those of the nearest mean."""
+    out = {}
+    for family, all_ in names.items():
+        left = sorted(all_)
+        n = 0
+        while left:
+            near = sorted(left, key=lambda a: (-float(centres[a] @ centres[left[0]]), a))[:most] if len(left) > most else left
+            out[family if len(all_) <= most else f"{family} {n}"] = sorted(near)
+            left = [a for a in left if a not in set(near)]
+            n += 1
+    return out
+
+
+def fit_languages(docs: DataFrame, families: Mapping[str, str] = FAMILIES, fit_rows: int = FIT_ROWS, all_rows: int = ALL_ROWS, family: int = FAMILY) -> LanguageModel:
     """Learn from text and lang of the rows whose crc32(doc_id) mod 5 is not 0 and whose lang is not null.
 
-    The SVMs are fitted on the ``fit_rows`` rows of least doc_id hash of each language, for the ``most`` most
-    frequent languages; both are bounds on what reaches the driver. Languages that ``families`` doesn't name form
-    one family. Without labelled rows every prediction is und.
+    Every value of lang is learned. The SVMs are fitted on the rows of least doc_id hash of each language, at most
+    ``fit_rows`` a language and about ``all_rows`` in all: with many languages each gives fewer, ten at least.
+    Languages that ``families`` doesn't name form one family; a family of over ``family`` languages is parted by
+    likeness, so that the pairs to fit grow in proportion to the languages. Rows that repeat a doc_id count once a
+    language. Without labelled rows every prediction is und.
     """
     may = docs.where(F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in may.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
-    langs = list(counts)
+    counts = checkpoint(may.groupBy("lang").agg(F.count("*").alias("n")))
+    languages = counts.count()
+    per = min(fit_rows, max(10, all_rows // max(languages, 1)))
     # hashes below a bar that lets about twice as many rows through as are wanted; so no window holds a whole language
-    bar = F.coalesce(*[F.when(F.col("lang") == a, F.lit(min(1.0, 2 * fit_rows / n))) for a, n in counts.items()], F.lit(0.0))
+    few = may.select("doc_id", "lang", "text").join(F.broadcast(counts) if languages <= 100_000 else counts, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.least(F.lit(1.0), 2 * per / F.col("n")) * (1 << 30))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = may.select("doc_id", "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bar * (1 << 30))
-    ids = few.withColumn("k", F.row_number().over(first)).where(F.col("k") <= fit_rows).select("doc_id").distinct()
+    few = few.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= per)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,26 +117,38 @@ def fit_languages(docs: DataFrame, families: Mapping[str, str] = FAMILIES, fit_r
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.astype(np.uint16).tobytes() for i, _ in x], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in x], pa.binary())], ["doc_id", "lang", "ids", "v"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = may.where(F.col("lang").isin(langs)).select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").mapInArrow(extract, f"doc_id {kind}, lang string, ids binary, v binary").toPandas().sort_values(["doc_id", "lang"])
+    sample = few.select("doc_id", "lang", "text").mapInArrow(extract, f"doc_id {kind}, lang string, ids binary, v binary").toPandas().sort_values(["doc_id", "lang"])
     x: list[Row] = [(np.frombuffer(i, np.uint16).astype(np.int64), np.frombuffer(v, np.float32).astype(float)) for i, v in zip(sample.ids, sample.v, strict=True)]
     lang = sample.lang.to_numpy()
-    of = np.array([families.get(a, "other") for a in lang], object)
-    names: dict[str, list[str]] = defaultdict(list)
+    known: dict[str, list[str]] = defaultdict(list)
     for a in sorted(set(lang)):
-        names[families.get(a, "other")].append(a)
+        known[families.get(a, "other")].append(a)
+    centres: dict[str, np.ndarray] = {}
+    for f in (f for f, names in known.items() if len(names) > family):
+        for a in known[f]:
+            centre = np.zeros(DIMS)
+            for k in np.flatnonzero(lang == a):
+                centre[x[k][0]] += x[k][1]
+            centres[a] = (centre / (np.sqrt(centre @ centre) or 1.0)).astype(np.float32)
+    names = part_families(known, centres, family)
+    family_of = {a: f for f, all_ in names.items() for a in all_}
+    of = np.array([family_of[a] for a in lang], object)
     order = sorted(names)
     family_w = np.array([fit_hinge(x, np.where(of == f, 1.0, -1.0), DIMS, c=4.0) if len(order) > 1 else np.append(np.zeros(DIMS), 1.0) for f in order]).reshape(len(order), DIMS + 1)
     pairs: dict[str, list[tuple[int, int, np.ndarray]]] = {f: [] for f in order}
     for f in order:
         for (i, a), (j, b) in combinations(enumerate(names[f]), 2):
-            own = [k for k in range(len(x)) if lang[k] in (a, b)]
+            own = np.flatnonzero((lang == a) | (lang == b))
             pairs[f].append((i, j, fit_hinge([x[k] for k in own], np.where(lang[own] == a, 1.0, -1.0), DIMS, c=4.0)))
     return LanguageModel(order, dict(names), family_w.astype(np.float32), {f: [(i, j, w.astype(np.float32)) for i, j, w in p] for f, p in pairs.items()})
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row of (doc_id, text); und with score 0 where the text is null or has no letter."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^15 numbers for each SVM, of a bounded number of languages
+    """doc_id, held_out, lang_pred, score for each row of (doc_id, text); und with score 0 where the text is null or has no letter.
+
+    Other columns are ignored, repeated rows are predicted alike, an empty table gives an empty result.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^15 numbers for each SVM, at most six SVMs a language
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -131,5 +161,6 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
     docs = read(spark, sf_dir, "documents")
     return predict_languages(docs, fit_languages(docs))

@@ -1,6 +1,7 @@
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -63,3 +64,51 @@ def test_languages_of_odd_rows(spark):
     empty = L.fit_languages(docs.limit(0))
     assert {r.lang_pred for r in L.predict_languages(docs, empty).collect()} == {"und"}
     assert L.predict_languages(docs.limit(0), empty).collect() == []
+
+
+def test_every_language_is_learned_however_many(spark):
+    """40 languages that no family names, 30 of them with a pair of letters of their own."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = lambda k: " ".join(f"{letters[k % 26]}{letters[(k * 7 + 3) % 26]}{letters[(k // 26 * 5 + j) % 26]}q{letters[k % 26]}" for j in range(6))
+    data = [(k * 25 + n, f"{words(k)} {n}", f"x{k:02}") for k in range(40) for n in range(25)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = L.fit_languages(docs, all_rows=600)
+    assert sorted(a for names in model.languages.values() for a in names) == [f"x{k:02}" for k in range(40)]
+    assert max(map(len, model.languages.values())) <= L.FAMILY and sum(map(len, model.pairs.values())) <= 40 * L.FAMILY / 2
+    got = L.predict_languages(docs, model).collect()
+    of = {i: a for i, _, a in data}
+    assert np.mean([r.lang_pred == of[r.doc_id] for r in got]) > 0.9
+
+
+def test_an_id_that_many_rows_repeat_counts_once(spark):
+    docs = spark.createDataFrame([(1 if i < 300 else i, f"some english words {i}", "en") for i in range(330)] + [(1000 + i, f"quelques mots {i}", "fr") for i in range(30)], "doc_id long, text string, lang string")
+    model = L.fit_languages(docs)
+    assert model.families == ["germanic", "romance"]
+    assert {r.lang_pred for r in L.predict_languages(docs.where("lang = 'fr'"), model).collect()} == {"fr"}
+
+
+def plain_features(text):
+    """Shares of 3-grams of bytes, one by one."""
+    data = f"  {text.lower()} ".encode()
+    n = Counter((int.from_bytes(data[i : i + 3], "little") * 2654435761 % (1 << 32)) >> (32 - L.BITS) for i in range(len(data) - 2))
+    v = {b: c**0.5 for b, c in n.items()}
+    size = sum(x * x for x in v.values()) ** 0.5
+    return {b: x / size for b, x in v.items()}
+
+
+def test_predictions_are_those_of_a_plain_vote(spark, sf):
+    """Family of the greatest margin, then one vote for each pair of its languages, worked out with dictionaries."""
+    docs = L.read(spark, sf, "documents")
+    model = L.fit_languages(docs)
+    rows = texts(spark, sf)
+    got = {r.doc_id: r.lang_pred for r in L.predict_languages(docs, model).collect()}
+    for i, t in rows[:60]:
+        if not t or not any(map(str.isalpha, t)):
+            assert got[i] == "und"
+            continue
+        x = plain_features(t)
+        margin = lambda w: sum(float(w[b]) * v for b, v in x.items()) + float(w[-1])
+        family = max(range(len(model.families)), key=lambda f: margin(model.family_w[f]))
+        names = model.languages[model.families[family]]
+        wins = Counter(names[a] if margin(w) >= 0 else names[b] for a, b, w in model.pairs[model.families[family]])
+        assert got[i] in ({a for a in names if wins[a] == max(wins.values())} if wins else set(names))
