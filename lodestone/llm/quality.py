@@ -101,13 +101,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", fit
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([ind(t.as_py()).astype(np.uint16).tobytes() for t in batch.column(1)], pa.binary())], ["doc_id", "y", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").mapInArrow(indicators, f"doc_id {kind}, y int, ids binary").toPandas().sort_values(["doc_id", "y"]).head(2 * fit_rows)
+    # one text for each id and label, so that an id that rows repeat doesn't flood the driver: 2 * fit_rows rows at most
+    few = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sample = few.select("doc_id", "text", "y").mapInArrow(indicators, f"doc_id {kind}, y int, ids binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     x = []
-    for b in sample.ids:
-        i = np.frombuffer(b, np.uint16)
+    for b in sample["ids"]:
+        i = np.frombuffer(b.as_buffer(), np.uint16)
         r = ratio[i]
         x.append((i, (r / (np.sqrt(r @ r) or 1.0)).astype(np.float32)))  # six bytes for each bucket of a row
-    y = np.where(sample.y.to_numpy() > 0, 1.0, -1.0)
+    y = np.where(sample["y"].to_numpy() > 0, 1.0, -1.0)
     away = np.arange(len(x)) % 5 == 4
     part = lambda keep: [r for r, k in zip(x, keep, strict=True) if k]
     share = max((y > 0).mean(), 1e-3), max((y < 0).mean(), 1e-3)
@@ -118,7 +120,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", fit
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of (doc_id, text). Null and empty texts have no n-grams and get the score of the bias."""
+    """doc_id, held_out, score, predicted for each row of (doc_id, text); other columns are ignored.
+
+    Null and empty texts have no n-grams and get the score of the bias. Repeated rows are scored alike, and an empty
+    table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two arrays of 2^16 numbers
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,12 +138,16 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, held-out ones too."""
     docs = read(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels")))
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is ``threshold`` or more. No shuffle."""
+    """The rows of ``docs``, all columns, whose score is ``threshold`` or more. No shuffle.
+
+    Null and empty texts get the score of the bias, repeated rows go or stay alike, an empty table stays empty.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
