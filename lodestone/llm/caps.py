@@ -315,4 +315,5 @@ def near_duplicates(vectors: DataFrame, **how: float) -> DataFrame:
 
 
 def op10_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and what is kept of every vector."""
     return near_duplicates(read(spark, sf_dir, "embeddings"))

@@ -124,4 +124,5 @@ def reply_order(linked: DataFrame) -> DataFrame:
 
 
 def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and reply order of every message."""
     return reply_order(link_quotes(read(spark, sf_dir, "conversations")))

@@ -262,4 +262,5 @@ def keep_one(docs: DataFrame, **how: int) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return near_duplicates(read(spark, sf_dir, "documents"))

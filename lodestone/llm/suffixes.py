@@ -373,4 +373,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeats."""
     return remove_repeats(read(spark, sf_dir, "documents"))

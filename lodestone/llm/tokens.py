@@ -81,6 +81,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, batch_b
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document."""
     import public_tokenizers
 
     return count_tokens(read(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))

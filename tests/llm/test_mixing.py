@@ -59,9 +59,21 @@ def test_what_a_small_source_cannot_fill_is_shared_again(spark):
 
 def test_emit_repeats_documents(spark):
     docs = frame(spark, [(i, "w " * (i + 1)) for i in range(30)], ("x", "y"))
-    plan = M.mix(docs)
-    want = {r.doc_id: r.copies for r in plan.collect() if r.copies}
+    want = {r.doc_id: r.copies for r in M.mix(docs).collect() if r.copies}
     got = defaultdict(int)
-    for r in M.emit(docs.drop("copies"), plan).collect():
+    out = M.emit(docs)
+    assert out.columns == docs.columns
+    for r in out.collect():
         got[r.doc_id] += 1
     assert dict(got) == want
+
+
+def test_mixed_keeps_rows_that_repeat_ids_apart(spark):
+    odd = [*ODD, (5, "five words are in here"), (None, "x"), (None, "a row without an id")]
+    docs = frame(spark, odd, SOURCES).withColumn("row", M.F.lit(1)).withColumn("copies", M.F.lit("y"))
+    out = M.mixed(docs)
+    rows_ = out.collect()
+    assert len(rows_) == len(odd) and set(out.columns) == set(docs.columns) | {"source_size", "target", "taken"}
+    assert sorted((r.doc_id or 0, r.text or "") for r in rows_) == sorted((i or 0, t or "") for i, t in odd)
+    assert all(r.size == len((r.text or "").split()) and r.taken == r.copies * r.size for r in rows_ if (r.text or "").isascii())
+    assert M.mixed(docs.limit(0)).collect() == [] and M.emit(docs.limit(0)).collect() == []
