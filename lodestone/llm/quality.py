@@ -68,8 +68,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", fit
     """Learn from (doc_id, text) and (doc_id, quality); rows whose crc32(doc_id) mod 5 is 0 are never looked at.
 
     Counts of buckets by class cover all labelled rows: each task adds them up before the shuffle, so no more than
-    2^16 rows leave it. The hinge-loss model is fitted on the ``fit_rows`` labelled rows of least hash: on four
-    fifths of them, and its sigmoid on the fifth left out. Without labels of both classes every score is the share
+    2^16 rows leave it. The hinge-loss model is fitted in one task on the ``fit_rows`` labelled rows of least hash: on
+    four fifths of them, and its sigmoid on the fifth left out. Without labels of both classes every score is the share
     of label 1 (0.5 if there are none).
     """
     rows = _labelled(docs, labels, target)
@@ -103,20 +103,31 @@ def fit_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", fit
     kind = docs.schema["doc_id"].dataType.simpleString()
     # one text for each id and label, so that an id that rows repeat doesn't flood the driver: 2 * fit_rows rows at most
     few = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    sample = few.select("doc_id", "text", "y").mapInArrow(indicators, f"doc_id {kind}, y int, ids binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
-    x = []
-    for b in sample["ids"]:
-        i = np.frombuffer(b.as_buffer(), np.uint16)
-        r = ratio[i]
-        x.append((i, (r / (np.sqrt(r @ r) or 1.0)).astype(np.float32)))  # six bytes for each bucket of a row
-    y = np.where(sample["y"].to_numpy() > 0, 1.0, -1.0)
-    away = np.arange(len(x)) % 5 == 4
-    part = lambda keep: [r for r, k in zip(x, keep, strict=True) if k]
-    share = max((y > 0).mean(), 1e-3), max((y < 0).mean(), 1e-3)
-    balance = np.where(y > 0, 0.5 / share[0], 0.5 / share[1])
-    w = fit_hinge(part(~away), y[~away], DIMS, weight=balance[~away])
-    slope, offset = fit_sigmoid(margins(part(away), w), y[away])
-    return QualityModel(w[:DIMS] * ratio, ratio, float(w[DIMS]), slope, offset)
+    sample = few.select("doc_id", "text", "y").mapInArrow(indicators, f"doc_id {kind}, y int, ids binary").repartition(1).sortWithinPartitions("doc_id", "y")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = [], []
+        for batch in batches:
+            y += batch.column(1).to_pylist()
+            for b in batch.column(2).to_pylist():
+                i = np.frombuffer(b, np.uint16)
+                r = ratio[i]
+                x.append((i, (r / (np.sqrt(r @ r) or 1.0)).astype(np.float32)))  # six bytes for each bucket of a row
+        if not x:
+            return
+        y = np.where(np.array(y) > 0, 1.0, -1.0)
+        away = np.arange(len(x)) % 5 == 4
+        part = lambda keep: [r for r, k in zip(x, keep, strict=True) if k]
+        share = max((y > 0).mean(), 1e-3), max((y < 0).mean(), 1e-3)
+        balance = np.where(y > 0, 0.5 / share[0], 0.5 / share[1])
+        w = fit_hinge(part(~away), y[~away], DIMS, weight=balance[~away])
+        slope, offset = fit_sigmoid(margins(part(away), w), y[away])
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()]), pa.array([slope]), pa.array([offset])], ["w", "slope", "offset"])
+
+    # the bounded sample goes to one task, the model to the driver
+    got = sample.mapInArrow(fit, "w binary, slope double, offset double").first()
+    w = np.frombuffer(got.w)
+    return QualityModel(w[:DIMS] * ratio, ratio, float(w[DIMS]), got.slope, got.offset)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:

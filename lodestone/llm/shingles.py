@@ -20,8 +20,8 @@ from .simhash import link
 WORDS, SIMILAR = 5, 0.8
 #: Bits in which fingerprints of candidates differ at most.
 REACH = 2
-#: A pair of similarity s shares a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9994 at 0.8, over 0.99999 at 0.85.
-BANDS, ROWS = 40, 8
+#: A pair of similarity s shares a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9993 at 0.8, over 0.99998 at 0.85.
+BANDS, ROWS = 24, 6
 #: Sets, and hashes in them, in one block of a comparison.
 BLOCK, VOLUME = 2048, 2_000_000
 #: Hashes that min-hashes are taken of at once, and bytes of text that are cut into words at once.
@@ -172,9 +172,14 @@ def near_copies(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR, reach
     held = some.mapInArrow(hashed, "set long, n long, hashes binary").join(groups.select(F.col("node").alias("set"), "label"), "set").dropDuplicates(["set"])
     held = checkpoint(held)
     sizes = held.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / volume)).cast("int").alias("parts"))
-    dealt = held.join(sizes, "label").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
+    # groups of one block need no entry; a group over it may hold many of all rows, so it is dealt by block, not by label
+    hot = checkpoint(sizes.where("parts > 1"))
+    few = hot.limit(100_001).count() <= 100_000
+    dealt = held.join(F.broadcast(hot) if few else hot, "label", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(F.col("part"), q).alias("p"), F.greatest(F.col("part"), q).alias("q")))
     dealt = dealt.withColumn("pair", F.explode(pair)).select("label", "pair.p", "pair.q", "parts", "set", "hashes")
+    dealt = dealt if few else dealt.repartition("label", "p", "q")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         ids = group["set"].tolist()

@@ -223,10 +223,12 @@ def link(distinct: DataFrame, reach: int = 2, sample: int = SAMPLE, shard: int =
     """
     rows, large = shards(distinct, reach, sample, shard)
     hot = large.where(F.col("size") > deal)
-    dealt = rows.join(hot, "shard", "left").withColumn("parts", F.coalesce(F.ceil(F.col("size") / deal), F.lit(1)).cast("int"))
+    few = hot.limit(100_001).count() <= 100_000
+    dealt = rows.join(F.broadcast(hot) if few else hot, "shard", "left").withColumn("parts", F.coalesce(F.ceil(F.col("size") / deal), F.lit(1)).cast("int"))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(part, q).alias("p"), F.greatest(part, q).alias("q")))
     dealt = dealt.withColumn("pair", F.explode(pair)).select("shard", "pair.p", "pair.q", "fp")
+    dealt = dealt if few else dealt.repartition("shard", "p", "q")  # by block, not by shard
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(forest(group.fp.to_numpy(np.int64).view(np.uint64), reach), columns=["a", "b"], dtype=np.int64)
