@@ -36,6 +36,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_shared(df: DataFrame) -> DataFrame:
+    """Like checkpoint(), but as a Parquet table in the same shared folder: a fraction of the bytes for long narrow tables.
+
+    Loops use it: a table read again has its true size, while a checkpoint carries the estimate of the plan before it,
+    which joins multiply round by round.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of documents that no model may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -55,7 +67,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
     moves = []
     for step in range(rounds + 1):
-        e = checkpoint(e)
+        e = write_shared(e)
         if e.isEmpty():
             break
         if step == rounds:
@@ -63,7 +75,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         order = lambda c: F.struct(F.xxhash64(c, F.lit(step)), c.alias("n"))
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(order(F.col("b"))).alias("m"))
-        move = checkpoint(least.select("a", F.least(F.col("m"), order(F.col("a")))["n"].alias("to")))
+        move = write_shared(least.select("a", F.least(F.col("m"), order(F.col("a")))["n"].alias("to")))
         moves.append(move)
         e = (
             e.join(move.withColumnsRenamed({"to": "x"}), "a")
@@ -78,12 +90,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     for move in reversed(moves[:-1]):
         later = labels.withColumnsRenamed({"node": "to"})
         labels = move.join(later, "to", "left").select(F.col("a").alias("node"), F.coalesce("label", "to").alias("label"))
-    return checkpoint(labels)
-
-
-def write_shared(df: DataFrame) -> DataFrame:
-    """Like checkpoint(), but as a Parquet table in the same shared folder: a fraction of the bytes for long narrow tables."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write_shared(labels)
