@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import boxes_near, closest_on_edge, distance, interpolate, line_length, point
 from ..functions.keys import match_key
 from ..functions.numbers import round_half_up
+from .graph import checkpoint
 from .spatial import box_join
 from .traces import gap_stats, longest_run, trusted_lines
 
@@ -133,7 +134,7 @@ def component_evidence(points: DataFrame, segments: DataFrame, config: MatchConf
     probe = pair.join(samples(segments, config.sample_interval), "segment_key")
     near = nearest(probe.select("activity_key", "segment_key", "sample_idx", "place"), points, ["segment_key", "sample_idx"], config.longest_edge)
     last = samples(segments, config.sample_interval).groupBy("segment_key").agg(F.max("sample_idx").alias("last"))
-    near = near.join(last, "segment_key")
+    near = checkpoint(near.join(last, "segment_key"))  # every branch below reads it; distances are found once
     ends = [F.min(F.when(F.col("sample_idx") == 0, F.col("distance"))).alias("start_distance"), F.min(F.when(F.col("sample_idx") == F.col("last"), F.col("distance"))).alias("end_distance")]
 
     def evidence(rows: DataFrame, keys: list[str]) -> DataFrame:
