@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ def own_margin(box: Column, metres: float) -> Column:
     return metres / F.greatest(DEGREE * F.cos(F.radians(far)), F.lit(1.0))
 
 
-def box_join(left: DataFrame, right: DataFrame, metres: float, cell: float) -> DataFrame:
-    """Pairs of rows whose boxes (columns lbox and rbox) may be within ``metres``, each pair once.
+def box_join(left: DataFrame, right: DataFrame, metres: float, cell: float, on: Sequence[str] = ()) -> DataFrame:
+    """Pairs of rows, equal in the columns ``on``, whose boxes (lbox and rbox) may be within ``metres``, each pair once.
 
     Each side is grown along the longitude by the margin of its own latitude, so that of the box farther from the
     equator counts; that is a superset, so an exact test must follow. A pair comes out only in the cell of the lower
@@ -34,4 +36,4 @@ def box_join(left: DataFrame, right: DataFrame, metres: float, cell: float) -> D
     b = with_cells(right, F.col("rbox"), cell, dx=rx)
     first_x = F.floor(F.greatest(F.col("lbox.x1") - lx, F.col("rbox.x1") - rx) / cell)
     first_y = F.floor(F.greatest(F.col("lbox.y1") - dy, F.col("rbox.y1")) / cell)
-    return a.join(b, ["cx", "cy"]).where((F.col("cx") == first_x) & (F.col("cy") == first_y)).drop("cx", "cy")
+    return a.join(b, [*on, "cx", "cy"]).where((F.col("cx") == first_x) & (F.col("cy") == first_y)).drop("cx", "cy")
