@@ -18,14 +18,20 @@ def constraints(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, Da
     return marked.where(F.size("failed") == 0).drop("failed"), marked.where(F.size("failed") > 0)
 
 
-def redact_paths(values: Column) -> Column:
-    """A map of text with absolute paths, and path-like keys' values that hold a slash, replaced."""
-    def clean(k: Column, v: Column) -> Column:
-        absolute = v.rlike(r"^([A-Za-z]:[\\/]|/|\\\\)")
-        keyed = F.lower(k).rlike("path|file|dir") & v.rlike(r"[\\/]")
-        return F.when(absolute | keyed, F.lit(PRIVATE)).otherwise(v)
+#: Roots of private absolute paths, and words in the names of keys that hold paths.
+PRIVATE_ROOTS = ("Users", "home", "private", "var", "tmp", "Volumes")
+PATH_WORDS = ("path", "filepath", "directory", "folder", "filename", "sourcefilename")
+
+
+def private_path(key: Column, value: Column) -> Column:
+    """Whether the text is an absolute path below a drive or a private root, or holds a slash under a key that names a path."""
+    absolute = value.rlike(r"^[a-zA-Z]:[\\/]") | value.rlike(rf"^/({'|'.join(PRIVATE_ROOTS)})\b")
+    return absolute | (F.lower(key).rlike("|".join(PATH_WORDS)) & value.rlike(r"[\\/]"))
 
-    return F.transform_values(values, clean)
+
+def redact_paths(values: Column) -> Column:
+    """A map of text with private paths replaced. Nulls stay."""
+    return F.transform_values(values, lambda k, v: F.when(F.coalesce(private_path(k, v), F.lit(False)), F.lit(PRIVATE)).otherwise(v))
 
 
 def validate_inventory(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -81,5 +81,6 @@ def page(df: DataFrame, order: list[str], size: int) -> DataFrame:
 
 
 def public_profile(df: DataFrame) -> DataFrame:
-    """Profiles with a valid user name and display name."""
-    return df.where(F.coalesce(F.col("username").rlike("^[a-z0-9][a-z0-9_-]{2,29}$"), F.lit(False)) & (F.length(F.coalesce("display_name", F.lit(""))) <= 120))
+    """Profiles with no user name or a valid one, of 3 to 32 characters, and a display name that is not too long."""
+    valid = F.col("username").isNull() | F.col("username").rlike("^[a-z0-9][a-z0-9_-]{2,31}$")
+    return df.where(valid & (F.length(F.coalesce("display_name", F.lit(""))) <= 120))

@@ -264,4 +264,4 @@ ORACLE_SQL["json_extract"] = "SELECT event_id, (props->>'$.k')::BIGINT AS k, (pr
 ORACLE_SQL["coerce_numbers"] = f"SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 0e0 WHEN 1 THEN (p_size || '.50')::DOUBLE WHEN 2 THEN NULL ELSE p_size::DOUBLE END AS number, {NUM('(p_retailprice / 7e0)', 3)} AS text FROM part"
 ORACLE_SQL["validate_rows"] = "SELECT c_custkey, concat_ws(',', CASE WHEN NOT c_acctbal >= 0 THEN 'balance' END, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') THEN 'segment' END, CASE WHEN NOT regexp_matches(c_name, '^Customer#[0-9]{9}$') THEN 'name' END) AS failed FROM customer WHERE failed <> ''"
 ORACLE_SQL["timestamp_valid"] = "SELECT o_orderkey, o_orderkey % 7 <> 0 AS ok FROM orders"
-ORACLE_SQL["redact_paths"] = "SELECT s_suppkey, 'private path omitted' AS sourcePath, 'a/b ' || s_name AS note, 'private path omitted' AS home, 'private path omitted' AS disk FROM supplier"
+ORACLE_SQL["redact_paths"] = "SELECT s_suppkey, 'private path omitted' AS sourcePath, 'private path omitted' AS folder, 'a/b ' || s_name AS note, 'private path omitted' AS home, '/data/' || s_name AS root, 'x/' || s_name AS profile, 'private path omitted' AS disk FROM supplier"

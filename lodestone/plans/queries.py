@@ -469,5 +469,6 @@ def timestamp_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def redact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = I.table(spark, sf_dir, "supplier")
-    m = F.create_map(F.lit("sourcePath"), F.concat(F.lit("data/"), F.col("s_name")), F.lit("note"), F.concat(F.lit("a/b "), F.col("s_name")), F.lit("home"), F.concat(F.lit("/home/"), F.col("s_name")), F.lit("disk"), F.concat(F.lit("C:\\x\\"), F.col("s_name")))
-    return s.select("s_suppkey", cleaning.redact_paths(m).alias("m")).select("s_suppkey", *[F.col("m")[k].alias(k) for k in ("sourcePath", "note", "home", "disk")])
+    value = {"sourcePath": F.concat(F.lit("data/"), F.col("s_name")), "folder": F.concat(F.lit("b\\"), F.col("s_name")), "note": F.concat(F.lit("a/b "), F.col("s_name")), "home": F.concat(F.lit("/home/"), F.col("s_name")), "root": F.concat(F.lit("/data/"), F.col("s_name")), "profile": F.concat(F.lit("x/"), F.col("s_name")), "disk": F.concat(F.lit("C:\\x\\"), F.col("s_name"))}
+    m = F.create_map(*[c for k, v in value.items() for c in (F.lit(k), v)])
+    return s.select("s_suppkey", cleaning.redact_paths(m).alias("m")).select("s_suppkey", *[F.col("m")[k].alias(k) for k in value])

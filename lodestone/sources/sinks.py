@@ -44,14 +44,21 @@ def preview(points: DataFrame, width: float, height: float) -> DataFrame:
 def upsert_table(incoming: DataFrame, path: str, keys: list[str], order: list[str]) -> int:
     """Put rows into the Parquet table at ``path``, the last of each key; returns the number of incoming rows.
 
-    The new table is written beside the old one and then takes its place, so a lost run leaves the old one whole.
+    The new table is written beside the old one, which steps aside to ``path``.old before the new one takes its
+    place. A run that is lost between the two leaves the old table there, and the next run puts it back first.
     """
     spark = incoming.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    here, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    here, new, aside = (jvm.org.apache.hadoop.fs.Path(f"{path}{end}") for end in ("", ".new", ".old"))
     fs = here.getFileSystem(conf)
-    old = spark.read.parquet(path) if fs.exists(here) else incoming.limit(0)
+    if not fs.exists(here) and fs.exists(aside):
+        fs.rename(aside, here)
+    n, known = incoming.count(), fs.exists(here)
+    old = spark.read.parquet(path) if known else incoming.limit(0)
     upsert(old, incoming, keys, order).write.mode("overwrite").parquet(f"{path}.new")
-    fs.delete(here, True)
+    fs.delete(aside, True)
+    if known:
+        fs.rename(here, aside)
     fs.rename(new, here)
-    return incoming.count()
+    fs.delete(aside, True)
+    return n
