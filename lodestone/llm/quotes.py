@@ -17,6 +17,10 @@ QUOTE = re.compile(r"^((?:[ \t]*>)+)[ \t]?")
 ANNOUNCES = re.compile(r"^\s*(?:on\b.{1,200}\bwrote|le\b.{1,200}\ba écrit|am\b.{1,200}\bschrieb\b.{0,80}|el\b.{1,200}\bescribió)\s*:\s*$", re.I)
 
 
+#: Sentences end here, once blanks are made one; shorter ones than LEAST_WORDS are too common to tell where they are from.
+SENTENCE, LEAST_WORDS = re.compile(r"(?<=[.!?…。！？])\s+"), 3
+
+
 def normalise(text: str) -> str:
     return " ".join(text.lower().split())
 
@@ -58,14 +62,25 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, list[str]]]]:
     return ("\n".join(own).strip("\n") if removed else (text or "")), passages
 
 
+def sentences(text: str) -> list[str]:
+    """Sentences of LEAST_WORDS words or more, normalised; line breaks inside them don't count."""
+    return [s for s in SENTENCE.split(normalise(text)) if s.count(" ") >= LEAST_WORDS - 1]
+
+
 def originals(own: str) -> set[int]:
-    """Hashes that a quote of this message may have: the whole text, its paragraphs, its lines."""
-    parts = [own, *re.split(r"\n\s*\n", own), *own.split("\n")]
-    return {digest(n) for p in parts if (n := normalise(p))}
+    """Hashes that a quote of this message may have: the whole text, its paragraphs, its lines, its sentences."""
+    paragraphs = re.split(r"\n\s*\n", own)
+    parts = {normalise(p) for p in (own, *paragraphs, *own.split("\n"))} | {s for p in paragraphs for s in sentences(p)}
+    return {digest(p) for p in parts if p}
+
+
+def parts_of(lines: list[str]) -> set[str]:
+    """What a quoted passage is looked up by if it isn't found as a whole: its lines and its sentences."""
+    return {normalise(x) for x in lines} | set(sentences(" ".join(lines)))
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """The messages with text (without quotes), n_quotes, max_level, said (hashes) and quoted (level, whole, lines)."""
+    """The messages with text (without quotes), n_quotes, max_level, said (hashes) and quoted (level, whole, parts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,19 +91,20 @@ def parsed(messages: DataFrame) -> DataFrame:
                 counts.append(len(passages))
                 levels.append(max((v for v, _ in passages), default=0))
                 said.append(sorted(originals(text)))
-                quoted.append([{"level": v, "whole": digest(normalise(" ".join(p))), "lines": sorted({digest(normalise(x)) for x in p})} for v, p in passages])
-            kind = pa.list_(pa.struct([("level", pa.int32()), ("whole", pa.int64()), ("lines", pa.list_(pa.int64()))]))
+                quoted.append([{"level": v, "whole": digest(normalise(" ".join(p))), "parts": sorted(digest(x) for x in parts_of(p))} for v, p in passages])
+            kind = pa.list_(pa.struct([("level", pa.int32()), ("whole", pa.int64()), ("parts", pa.list_(pa.int64()))]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.string()), pa.array(counts, pa.int32()), pa.array(levels, pa.int32()), pa.array(said, pa.list_(pa.int64())), pa.array(quoted, kind)], ["conv_id", "turn", "role", "text", "n_quotes", "max_level", "said", "quoted"])
 
     kinds = {c: messages.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
-    return messages.select("conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, n_quotes int, max_level int, said array<long>, quoted array<struct<level:int,whole:long,lines:array<long>>>")
+    return messages.select("conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, n_quotes int, max_level int, said array<long>, quoted array<struct<level:int,whole:long,parts:array<long>>>")
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, n_quotes, n_linked, max_level, parent_turn, thread_root, depth: one row per message.
 
     A quoted passage comes from the first message of its conversation that says it outside of quotes, in an earlier
-    turn: as its whole text, a paragraph or a line; a passage found as no whole counts by its lines. A message
+    turn: as its whole text, a paragraph, a line or a sentence; a passage found as no whole counts by its lines and
+    by its sentences, so one that was wrapped anew or cut to some sentences is found. A message
     answers the latest message that its first-level passages come from; the chain of answers leads to thread_root,
     depth steps up. n_linked counts the passages found, of any level. Messages that answer none are their own root.
 
@@ -102,9 +118,9 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     if empty:
         return rows.select("conv_id", "turn", "role", "text", "n_quotes", F.lit(0).alias("n_linked"), "max_level", F.lit(None).cast(rows.schema["turn"].dataType).alias("parent_turn"), F.col("turn").alias("thread_root"), F.lit(0).alias("depth"))
     first = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("said").alias("h")).groupBy("conv_id", "h").agg(F.min("turn").alias("origin"))
-    passages = quoting.select("conv_id", "turn", F.posexplode("quoted").alias("no", "q")).select("conv_id", "turn", "no", "q.level", F.explode(F.array_union(F.array("q.whole"), F.col("q.lines"))).alias("h"), (F.col("q.whole")).alias("whole")).distinct()
+    passages = quoting.select("conv_id", "turn", F.posexplode("quoted").alias("no", "q")).select("conv_id", "turn", "no", "q.level", F.explode(F.array_union(F.array("q.whole"), F.col("q.parts"))).alias("h"), (F.col("q.whole")).alias("whole")).distinct()
     found = passages.join(first, ["conv_id", "h"]).where("origin < turn")
-    # the whole passage counts before its lines
+    # the whole passage counts before its parts
     per = found.groupBy("conv_id", "turn", "no", "level").agg(F.coalesce(F.max(F.when(F.col("h") == F.col("whole"), F.col("origin"))), F.max("origin")).alias("origin"))
     answers = checkpoint(per.groupBy("conv_id", "turn").agg(F.count("*").cast("int").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("origin"))).alias("parent_turn")))
     up = answers.where("parent_turn is not null").select("conv_id", "turn", F.col("parent_turn").alias("root"), F.lit(1).alias("depth"))

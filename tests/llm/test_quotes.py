@@ -1,3 +1,6 @@
+import random
+import textwrap
+
 from lodestone.llm import quotes as Q
 
 SCHEMA = "conv_id long, turn long, role string, text string, said string, level int, origin long"
@@ -48,6 +51,69 @@ def test_answers_follow_what_they_answer(spark):
     assert order == [(1, 1), (1, 3), (2, 2), (2, 4)]
 
 
+def test_sentences_out_of_lines_and_wrapped_anew(spark):
+    long = "The build is broken since Monday. Nobody has looked at the linker yet! Should we go back to the old compiler, or is there a flag that helps us out here? I am away."
+    rows = [
+        (1, 1, "hello all of you"),
+        (1, 2, long),
+        (1, 3, "> Nobody has looked at the linker yet!\nI have."),
+        (1, 4, "\n".join("> " + x for x in textwrap.wrap(long[34:], 30)) + "\nThere is one."),
+        (1, 5, "> There is one.\nWhich?"),
+        (1, 6, "> Nobody has\nmid-sentence cuts aren't found"),
+    ]
+    assert {k[1]: r.parent_turn for k, r in link(spark, rows).items()} == {1: None, 2: None, 3: 2, 4: 2, 5: 4, 6: None}
+
+
+def plain(rows):
+    """Links by comparing texts themselves, message after message."""
+    said, out = {}, {}
+    for c, t, text in sorted(rows):
+        own, passages = Q.parse(text)
+        origins = []
+        for level, lines in passages:
+            whole = [u for u in sorted(said.get(c, {})) if Q.normalise(" ".join(lines)) in said[c][u]]
+            parts = [next(u for u in sorted(said[c]) if p in said[c][u]) for p in Q.parts_of(lines) if any(p in said[c][u] for u in said.get(c, {}))]
+            if whole or parts:
+                origins.append((level, whole[0] if whole else max(parts)))
+        parent = max((o for level, o in origins if level == 1), default=None)
+        up = out.get((c, parent))
+        out[c, t] = (len(passages), len(origins), parent, up[3] if up else t, up[4] + 1 if up else 0)
+        blocks = own.split("\n\n")
+        said.setdefault(c, {})[t] = {Q.normalise(p) for p in (own, *blocks, *own.split("\n"))} | {s for b in blocks for s in Q.sentences(b)}
+    return out
+
+
+def threads(n, seed, hot=0.4):
+    """Messages that quote earlier ones at levels 1 to 4: whole, cut to a sentence, wrapped, never said, or common."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split())
+    sentence = lambda: " ".join(word() for _ in range(rng.randrange(2, 9))).capitalize() + rng.choice(".!?")
+    turn, owns, rows = {}, {}, []
+    for _ in range(n):
+        c = 0 if rng.random() < hot else rng.randrange(1, 12)
+        t = turn[c] = turn.get(c, 0) + 1
+        lines = []
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            source = rng.choice(owns[c]) if c in owns and rng.random() < 0.8 else sentence()
+            kind = rng.randrange(4)
+            body = source if kind == 0 else rng.choice(source.replace("\n", " ").split(". ")) if kind == 1 else "\n".join(textwrap.wrap(source, 25)) if kind == 2 else source.split("\n")[0]
+            mark = rng.choice(["> ", ">> ", "> > > ", ">>>> "]) if rng.random() < 0.5 else "> "
+            lines += [(mark + x).rstrip() for x in body.split("\n")] + [rng.choice(["", "Agreed."])]
+        own = "\n".join(" ".join(sentence() for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 3)))
+        owns.setdefault(c, []).append(own)
+        rows.append((c, t, "\n".join([*lines, own])))
+    return rows
+
+
+def test_generated_threads_against_plain_comparison(spark):
+    for seed in range(3):
+        rows = threads(400, seed)
+        got = {k: (r.n_quotes, r.n_linked, r.parent_turn, r.thread_root, r.depth) for k, r in link(spark, rows).items()}
+        want = plain(rows)
+        assert got == want
+        assert sum(w[1] for w in want.values()) > 150 and max(w[4] for w in want.values()) > 3
+
+
 def test_odd_rows(spark):
     rows = [(None, 1, "x"), (1, None, "> x"), (1, 1, None), (1, 2, ""), (1, 3, ">"), (1, 3, ">"), (1, 4, "> " + "word " * 20000), (1, 5, ">>>\n>> a\n>"), (None, 2, "> x\ny")]
     assert Q.link_quotes(frame(spark, rows)).count() == len(rows)
