@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -189,10 +189,10 @@ def maximal_intervals(lcp: list[int], before: list[int], least: int) -> Iterator
             stack.clear()
 
 
-def repeats(pieces: list[bytes], least: int = LEAST) -> list[list[tuple[int, int, int]]]:
+def repeats(pieces: list[bytes], least: int = LEAST, nested: bool = False) -> list[list[tuple[int, int, int]]]:
     """For each piece the maximal repeats that start in it and have another start among the pieces: (start, end, group).
 
-    Of nested intervals a suffix takes the longest. Group is a hash of the repeated string.
+    Of nested intervals a suffix takes the longest, or all with ``nested``. Group is a hash of the repeated string.
     """
     out: list[list[tuple[int, int, int]]] = [[] for _ in pieces]
     sizes = np.array([len(p) for p in pieces], np.int64)
@@ -217,7 +217,10 @@ def repeats(pieces: list[bytes], least: int = LEAST) -> list[list[tuple[int, int
         lo, hi = int(first[g]), int(first[g] + count[g])
         longest = np.zeros(hi - lo, np.int64)
         for length, a, b in maximal_intervals([0, *lcp[lo + 1 : hi].tolist()], before[lo:hi].tolist(), least):
-            longest[a : b + 1] = np.maximum(longest[a : b + 1], length)
+            if nested:
+                hits += [(int(k), length) for k in order[lo + a : lo + b + 1]]
+            else:
+                longest[a : b + 1] = np.maximum(longest[a : b + 1], length)
         hits += [(int(k), int(n)) for k, n in zip(order[lo:hi][longest > 0], longest[longest > 0], strict=True)]
     if hits:
         k, n = np.array([x for x, _ in hits]), np.array([x for _, x in hits])
@@ -231,7 +234,7 @@ COVER = "key long, seg long, begin array<int>, stop array<int>, grp array<long>"
 COVER_TYPES = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _trees(batches: Iterator[pa.RecordBatch], nested: bool = False) -> Iterator[pa.RecordBatch]:
     """A suffix array for every few seeds: rows come sorted by key, and a key is not parted."""
     keys: list[int] = []
     segs: list[int] = []
@@ -239,7 +242,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def flush() -> pa.RecordBatch:
-        rows = [(k, s, *map(list, zip(*r, strict=True))) for k, s, r in zip(keys, segs, repeats(pieces), strict=True) if r]
+        rows = [(k, s, *map(list, zip(*r, strict=True))) for k, s, r in zip(keys, segs, repeats(pieces, nested=nested), strict=True) if r]
         columns = zip(*rows, strict=True) if rows else [[]] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, COVER_TYPES, strict=True)], ["key", "seg", "begin", "stop", "grp"])
 
@@ -278,10 +281,10 @@ def _pack(parts: int):
     return run
 
 
-def _meet(group: pd.DataFrame) -> pd.DataFrame:
+def _meet(group: pd.DataFrame, least: int = 2) -> pd.DataFrame:
     rec = np.concatenate([np.frombuffer(b, [("h", "u8"), ("key", "i8"), ("seg", "i8"), ("at", "i4")]) for b in group.strings])
     _, back, n = np.unique(rec["h"], return_inverse=True, return_counts=True)
-    rec = rec[n[back] > 1]
+    rec = rec[n[back] >= least]
     rec = rec[np.lexsort((rec["at"], rec["seg"], rec["key"]))]
     new = np.flatnonzero(np.concatenate([[True], (np.diff(rec["key"]) != 0) | (np.diff(rec["seg"]) != 0)])) if len(rec) else np.zeros(0, int)
     rows = [(int(r["key"][0]), int(r["seg"][0]), r["at"].astype(np.int32), (r["at"] + LEAST).astype(np.int32), r["h"].view(np.int64)) for r in (np.split(rec, new[1:]) if len(rec) else [])]
@@ -293,8 +296,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "text")
 
 
-def _occurrences(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(segments whose seed occurs again, repeats in the distinct ones of them)."""
+def _occurrences(docs: DataFrame, nested: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(segments whose seed occurs again, repeats in the distinct ones of them, all or the longest of each suffix)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = _keyed(docs)
     segs = write_shared(texts.mapInArrow(_cut, f"doc_id {kind}, rk long, {SEGMENT}"))
@@ -321,25 +324,50 @@ def _occurrences(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         wanted = some.groupBy(F.col("doc_id").alias("w_id"), F.col("rk").alias("w_rk")).agg(F.collect_list(F.struct("start", "runs", "key", "seg")).alias("wanted"))  # as many as a text has
         return texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("rk") == F.col("w_rk"))).select("text", "wanted").mapInArrow(cut, "key long, seg long, bytes binary")
 
-    cover = pieces(one.where("not hot")).repartition("key").sortWithinPartitions("key").mapInArrow(_trees, COVER)
+    cover = pieces(one.where("not hot")).repartition("key").sortWithinPartitions("key").mapInArrow(partial(_trees, nested=nested), COVER)
     if strings:
         packed = pieces(one.where("hot")).mapInArrow(_pack(max(1, strings // 500_000)), "range int, strings binary")
-        met = packed.groupBy("range").applyInPandas(_meet, COVER)
+        # for groups also strings that equal segments alone repeat; the rest has one occurrence and goes later
+        met = packed.groupBy("range").applyInPandas(lambda g: _meet(g, 1 if nested else 2), COVER)
         cover = cover.unionByName(met.groupBy("key", "seg").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("begin", "stop", "grp")]))
     # segments with an equal one repeat as a whole
-    whole = one.where("copies > 1").select("key", "seg", F.array(F.lit(0)).alias("begin"), F.array((F.col("runs") + LEAST - 1).cast("int")).alias("stop"), F.array("seg").alias("grp"))
+    whole = one.where("copies > 1 and not hot" if nested else "copies > 1").select("key", "seg", F.array(F.lit(0)).alias("begin"), F.array((F.col("runs") + LEAST - 1).cast("int")).alias("stop"), F.array("seg").alias("grp"))
     return segs, cover.unionByName(whole)
 
 
 def repeat_groups(docs: DataFrame) -> DataFrame:
-    """group, doc_id, start, length: all occurrences of the maximal repeats of LEAST bytes or more; offsets in bytes.
+    """group, doc_id, start, length: the maximal repeats of LEAST bytes or more with all their occurrences; offsets in bytes.
+
+    Every interval of the trees comes out with all its suffixes, nested ones too: a text in three documents that goes on
+    alike in two of them makes two groups. Intervals end where segments end (some 70 starts). One whose occurrences all
+    go on as the occurrences of another one, none more and none less, is joined with it, over any number of segments, so
+    a repeat whose 200-byte strings all occur equally often comes out in one piece and whole. A longer repeat that holds
+    a more frequent one is given in pieces, each with all its occurrences: before, within and after that one.
+    A repeat of over CHUNK bytes from a text's start may also show without the occurrence that is parted there.
 
-    A repeat reaches as far as its segment; longer ones show as overlapping pieces.
+    Null texts count as empty; a repeated row is an occurrence of its own; an empty table gives no group; other columns
+    are ignored. A text of one letter has a group for every length its segments allow.
     """
-    segs, cover = _occurrences(docs)
-    alike = segs.where("not differ").select("doc_id", "start", F.lit(0).alias("b"), (F.col("runs") + LEAST - 1).alias("e"), F.col("seg").alias("group"))
-    part = segs.where("differ").join(cover, ["key", "seg"]).select("doc_id", "start", F.explode(F.arrays_zip("begin", "stop", "grp")).alias("x")).select("doc_id", "start", F.col("x.begin").alias("b"), F.col("x.stop").alias("e"), F.col("x.grp").alias("group"))
-    return alike.unionByName(part).select("group", "doc_id", (F.col("start") + F.col("b")).alias("start"), (F.col("e") - F.col("b")).alias("length"))
+    segs, cover = _occurrences(docs, nested=True)
+    alike = segs.where("not differ").select("doc_id", "rk", "start", F.col("seg").alias("group"), (F.col("runs") + LEAST - 1).alias("length"))
+    # distinct, as an interval may be a whole segment too
+    inside = cover.select("key", "seg", F.explode(F.arrays_zip("begin", "stop", "grp")).alias("x")).select("key", "seg", "x.*").distinct()
+    part = segs.where("differ").join(inside, ["key", "seg"]).select("doc_id", "rk", (F.col("start") + F.col("begin")).alias("start"), F.col("grp").alias("group"), (F.col("stop") - F.col("begin")).alias("length"))
+    found = write_shared(alike.unionByName(part))
+    # what goes on alike: as many occurrences, and the same places; places are told by the sum of their hashes
+    after = F.col("start") + F.col("length") - (LEAST - 1)
+    place = lambda c: F.sum(F.xxhash64("doc_id", "rk", c).cast("decimal(20,0)"))
+    sums = write_shared(found.groupBy("group").agg(F.count("*").alias("n"), place(F.col("start")).alias("at"), place(after).alias("next"), (F.max("length") - (LEAST - 1)).alias("runs")).where("n > 1"))
+    follows = sums.select(F.col("group").alias("head"), "n", F.col("next").alias("at"), F.col("runs").alias("off"))
+    up = sums.select("group", "n", "at").join(follows, ["n", "at"]).where("head <> group").groupBy("group").agg(F.min_by("head", "off").alias("head"), F.min("off").alias("off"))
+    while True:  # pointers double, so rounds grow with the logarithm of a chain
+        higher = up.select(F.col("group").alias("head"), F.col("head").alias("top"), F.col("off").alias("more"))
+        step = write_shared(up.join(higher, "head", "left").select("group", F.coalesce("top", "head").alias("head"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off"), F.col("top").isNotNull().alias("moved")))
+        up = step.drop("moved")
+        if step.where("moved").isEmpty():
+            break
+    long = sums.join(up, "group", "left").groupBy(F.coalesce("head", "group").alias("group")).agg((F.max(F.coalesce("off", F.lit(0)) + F.col("runs")) + LEAST - 1).cast("int").alias("length"))
+    return found.drop("length").join(long, "group").select("group", "doc_id", "start", "length")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -62,13 +62,66 @@ def test_odd_rows(spark):
     assert X.remove_repeats(frame(spark, rows).limit(0)).collect() == []
 
 
-def test_groups_hold_every_occurrence(spark):
-    rows = planted(30)
-    data = {i: t.encode() for i, t in rows}
+def grouped(df):
     by = {}
-    for r in X.repeat_groups(frame(spark, rows)).collect():
-        by.setdefault(r.group, []).append(data[r.doc_id][r.start : r.start + r.length])
-    assert by and all(len(set(s)) == 1 and len(s[0]) >= N for s in by.values())
+    for r in X.repeat_groups(df).collect():
+        by.setdefault(r.group, []).append((r.doc_id, r.start, r.length))
+    return by
+
+
+def even_repeats(data):
+    """Places of the maximal repeats of which all strings of N bytes occur equally often, by looking at every string."""
+    where = {}
+    for k, d in enumerate(data):
+        for i in range(len(d) - N + 1):
+            where.setdefault(d[i : i + N], []).append((k, i))
+    out = set()
+    for k, d in enumerate(data):
+        i = 0
+        while i + N <= len(d):
+            places, n = where[d[i : i + N]], 1
+            while i + n + N <= len(d) and where[d[i + n : i + n + N]] == [(q, j + n) for q, j in places]:
+                n += 1
+            before = {(data[q][j - 1] if j else None, (q, j) if not j else 0) for q, j in places}
+            after = {(data[q][j + n + N - 1], 0) if j + n + N - 1 < len(data[q]) else (None, (q, j)) for q, j in places}
+            if len(places) > 1 and len(before) > 1 and len(after) > 1:
+                out.add((n + N - 1, tuple(places)))
+            i += n
+    return out
+
+
+@pytest.mark.parametrize("hot", [X.HOT, 500])
+def test_groups_are_maximal_and_hold_every_occurrence(spark, monkeypatch, hot):
+    monkeypatch.setattr(X, "HOT", hot)
+    rng = random.Random(3)
+    noise = lambda k: "".join(rng.choice("abcdefghij éß") for _ in range(k))
+    a, b, c = noise(1500), noise(N), noise(330)
+    rows = [(i, noise(rng.randrange(50, 400)) + (a, b, c, a[:700], noise(300))[i % 5] + noise(90)) for i in range(40)]
+    rows += [(50, c + a), (51, a), (52, rows[3][1]), (53, noise(2500)), (54, None), (55, "")]
+    rows += [rows[-3], (56, "w" * 230)]  # a repeated row
+    data = [(t or "").encode() for _, t in rows]
+    by = grouped(frame(spark, rows))
+    texts_of = {}
+    for (doc, _), d in zip(rows, data, strict=True):
+        texts_of[doc] = d
+    found = {}
+    for places in by.values():
+        strings = {texts_of[d][s : s + n] for d, s, n in places}
+        assert len(strings) == 1
+        string = strings.pop()
+        assert len(string) >= N and len(string) == places[0][2]
+        every = sorted((doc, i) for (doc, _), d in zip(rows, data, strict=True) for i in range(len(d) - len(string) + 1) if d.startswith(string, i))
+        assert sorted((d, s) for d, s, _ in places) == every
+        found[len(string), tuple(every)] = string
+    want = {(n, tuple(sorted((rows[k][0], i) for k, i in places))) for n, places in even_repeats(data)}
+    assert max(n for n, _ in want) >= 1500 and want <= set(found)
+
+
+def test_groups_of_odd_tables(spark):
+    rows = [(i, t[:3000] if t else t) for i, t in ODD]
+    by = grouped(frame(spark, rows))
+    assert all(len(places) > 1 for places in by.values())
+    assert X.repeat_groups(frame(spark, rows).limit(0)).collect() == []
 
 
 @pytest.mark.parametrize("text", [b"banana", b"mississippi", b"aaaa", b"abcabcabc"])
