@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.publication import upsert
@@ -23,8 +23,7 @@ def write_stage(tables: dict[str, DataFrame], root: str, metadata: dict[str, str
     """A folder of Parquet tables, and a table of one row of metadata; generated_at is given, never read from a clock."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}")
-        spark = df.sparkSession
-    spark.createDataFrame([tuple(metadata.values())], ", ".join(f"{k} string" for k in metadata)).coalesce(1).write.mode("overwrite").parquet(f"{root}/metadata")
+    SparkSession.active().createDataFrame([tuple(metadata.values())], ", ".join(f"{k} string" for k in metadata)).coalesce(1).write.mode("overwrite").parquet(f"{root}/metadata")
 
 
 def feature(line: Column, **properties: Column) -> Column:
