@@ -371,17 +371,26 @@ def eligibility_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # publication
 
 
+def _gate(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, published, issues): orders as trails, named by their priority; line items as their segments."""
+    c = I.candidates(spark, sf_dir).withColumn("segment_key", F.concat_ws("-", "l_orderkey", "seq")).withColumn("candidate_trail_key", F.col("l_orderkey").cast("string"))
+    end = lambda x, y: F.struct(x.cast("double").alias("lon"), y.cast("double").alias("lat"))
+    rows = c.select("l_orderkey", "seq", "miles", "segment_key", "candidate_trail_key", F.col("o_orderpriority").alias("display_name"), F.array(end(F.lit(0), F.lit(0)), end(F.lit(0), F.col("miles") / 69)).alias("line"))
+    own = c.select(F.lit("segment").alias("target_type"), F.col("segment_key").alias("target_key"), F.col("segment_decision").alias("decision"))
+    trail = c.where("trail_decision is not null").select(F.lit("trail").alias("target_type"), F.col("candidate_trail_key").alias("target_key"), F.col("trail_decision").alias("decision")).distinct()
+    return c, *publication.gate(rows, own.unionByName(trail))
+
+
 @query
 def gate_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = I.candidates(spark, sf_dir)
-    return c.where((F.col("segment_decision") == VERIFIED) & (F.col("trail_decision") == VERIFIED)).select("l_orderkey", "seq", "miles")
+    return _gate(spark, sf_dir)[1].select("l_orderkey", "seq", "miles")
 
 
 @query
 def gate_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = I.candidates(spark, sf_dir)
-    bad = (F.col("segment_decision") == VERIFIED) & ~F.coalesce(F.col("trail_decision") == VERIFIED, F.lit(False))
-    return c.where(bad).groupBy("trail_decision").agg(F.count("*").alias("n"))
+    c, _, wrong = _gate(spark, sf_dir)
+    keys_ = wrong.where("rule = 'trail_not_verified'").select(F.substring_index("message", ":", -1).alias("segment_key"))
+    return c.join(keys_, "segment_key").groupBy("trail_decision").agg(F.count("*").alias("n"))
 
 
 @query
