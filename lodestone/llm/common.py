@@ -48,6 +48,12 @@ def write_shared(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_shared(spark: SparkSession, path: str) -> None:
+    """Delete a table under the shared folder that no later plan reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of documents that no model may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
