@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import caps, langid, lloyd, mixing, quality, quotes, secrets, simhash, suffixes, tiling, tokens
+from . import caps, langid, lloyd, mixing, quality, quotes, repair, secrets, simhash, suffixes, tiling, tokens
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_source_mix": mixing.op9_source_mix,
     "op10_spherical_caps": caps.op10_spherical_caps,
     "op12_delta_lloyd": lloyd.op12_delta_lloyd,
+    "op13_conversation_repair": repair.op13_conversation_repair,
 }
-ORACLE_SQL = {"op9_source_mix": mixing.OP9_SQL, "op12_delta_lloyd": lloyd.OP12_SQL}
+ORACLE_SQL = {"op9_source_mix": mixing.OP9_SQL, "op12_delta_lloyd": lloyd.OP12_SQL, "op13_conversation_repair": repair.OP13_SQL}
