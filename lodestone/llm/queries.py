@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import caps, langid, lloyd, mixing, quality, quotes, repair, secrets, simhash, suffixes, tiling, tokens
+from . import caps, langid, lloyd, mixing, pii, quality, quotes, repair, secrets, simhash, suffixes, tiling, tokens
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language": langid.op8_language,
     "op9_source_mix": mixing.op9_source_mix,
     "op10_spherical_caps": caps.op10_spherical_caps,
+    "op11_context_pii": pii.op11_context_pii,
     "op12_delta_lloyd": lloyd.op12_delta_lloyd,
     "op13_conversation_repair": repair.op13_conversation_repair,
 }
