@@ -7,12 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import boxes_near, closest_on_edge, distance, interpolate, line_length, point
+from ..functions.geo import boxes_near, distance, interpolate, line_length
 from ..functions.keys import match_key
 from ..functions.numbers import round_half_up
 from .graph import checkpoint
+from .nearest import nearest
 from .spatial import box_join
-from .traces import gap_stats, longest_run, trusted_lines
+from .traces import gap_stats
 
 
 @dataclass(frozen=True)
@@ -74,35 +75,33 @@ def samples(segments: DataFrame, interval: float = 20.0) -> DataFrame:
     return both.withColumn("sample_idx", F.row_number().over(v) - 1).select("segment_key", "sample_idx", "place")
 
 
-def nearest(probe: DataFrame, points: DataFrame, keys: list[str], longest: float = 120.0) -> DataFrame:
-    """For each probe (activity_key, *keys, place) and component the nearest evidence: component_idx, distance, at.
+def evidence(near: DataFrame, keys: list[str], config: MatchConfig = MatchConfig()) -> DataFrame:
+    """Metrics of each group of ``keys`` from its samples' distances (sample_idx, distance).
 
-    All edges of the activity's trusted lines are tried, each line's least distance is rounded to millimetres, and
-    the points after that unrounded; the smallest is rounded again. The join is on the activity, as the answer has
-    no bound, and minima combine before the shuffle.
+    A group is a segment's samples, one in 20 m, in one array: as long as the segment's own line, never as a trace.
+    One aggregation, no windows: order statistics and runs are read from the array.
     """
-    lines = trusted_lines(points, longest)
-    e = lines.where(F.col("gap") <= longest).select("activity_key", "component_idx", "line_idx", "point_idx", "a", "b")
-    on_edge = probe.join(e, "activity_key").withColumn("c", closest_on_edge(F.col("place"), F.col("a"), F.col("b")))
-    key = ["activity_key", *keys, "component_idx"]
-    by_line = on_edge.groupBy(*key, "line_idx").agg(F.min(F.struct(F.col("c.distance").alias("d"), "point_idx", F.struct("c.lon", "c.lat").alias("at"))).alias("m"))
-    by_line = by_line.select(*key, round_half_up(F.col("m.d"), 3).alias("d"), F.lit(0).alias("kind"), F.col("line_idx").cast("long").alias("o"), "m.at")
-    p = points.select("activity_key", "component_idx", F.col("point_idx").cast("long").alias("o"), point(F.col("lon"), F.col("lat")).alias("at"))
-    by_point = probe.join(p, "activity_key").withColumn("d", distance(F.col("place"), F.col("at"))).groupBy(*key).agg(F.min(F.struct("d", "o", "at")).alias("m")).select(*key, "m.d", F.lit(1).alias("kind"), "m.o", "m.at")
-    best = by_line.unionByName(by_point).groupBy(*key).agg(F.min(F.struct("d", "kind", "o", "at")).alias("m"))
-    return best.select(*key, round_half_up(F.col("m.d"), 3).alias("distance"), "m.at")
-
-
-def _metrics(config: MatchConfig) -> list[Column]:
-    covered = F.col("distance") <= config.point_tolerance
-    return [
-        F.count("*").alias("samples"),
-        F.count_if(covered).alias("covered"),
-        round_half_up(F.count_if(covered) / F.count("*"), 4).alias("coverage"),
-        round_half_up(F.median("distance"), 3).alias("median_distance"),
-        round_half_up(F.expr("percentile_disc(0.95) within group (order by distance)"), 3).alias("p95_distance"),
-        round_half_up(F.max("distance"), 3).alias("max_distance"),
-    ]
+    d, ranked = F.col("s.distance"), F.col("ranked")
+    far = lambda x: x > config.point_tolerance
+    step = lambda acc, x: F.when(far(x), F.struct((acc["now"] + 1).alias("now"), F.greatest(acc["best"], acc["now"] + 1).alias("best"))).otherwise(F.struct(F.lit(0).alias("now"), acc["best"].alias("best")))
+    g = near.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("sample_idx", "distance"))).alias("s"))
+    g = g.select(*keys, d.alias("d"), F.array_sort(d).alias("ranked"), F.size("s").cast("long").alias("samples"))
+    g = g.withColumn("covered", F.size(F.filter("d", lambda x: ~far(x))).cast("long")).withColumn("longest_run", F.aggregate("d", F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), step)["best"].cast("long"))
+    at = lambda n: F.element_at(ranked, n.cast("int"))
+    half = F.floor((F.col("samples") + 1) / 2)
+    return g.select(
+        *keys,
+        "samples",
+        "covered",
+        round_half_up(F.col("covered") / F.col("samples"), 4).alias("coverage"),
+        round_half_up((at(half) + at(F.col("samples") + 1 - half)) / 2, 3).alias("median_distance"),
+        round_half_up(at(F.greatest(F.lit(1), F.ceil(F.col("samples") * 0.95))), 3).alias("p95_distance"),
+        round_half_up(F.element_at(ranked, -1), 3).alias("max_distance"),
+        F.element_at("d", 1).alias("start_distance"),
+        F.element_at("d", -1).alias("end_distance"),
+        "longest_run",
+        round_half_up(F.col("longest_run") / F.col("samples"), 4).alias("gap_ratio"),
+    )
 
 
 def is_strong(config: MatchConfig, p: str = "") -> Column:
@@ -131,22 +130,13 @@ def component_evidence(points: DataFrame, segments: DataFrame, config: MatchConf
     Distances are found once by component; those of the pair are the smallest of its components.
     """
     pair = pairs(points, segments, config) if pair is None else pair
-    probe = pair.join(samples(segments, config.sample_interval), "segment_key")
-    near = nearest(probe.select("activity_key", "segment_key", "sample_idx", "place"), points, ["segment_key", "sample_idx"], config.longest_edge)
-    last = samples(segments, config.sample_interval).groupBy("segment_key").agg(F.max("sample_idx").alias("last"))
-    near = checkpoint(near.join(last, "segment_key"))  # every branch below reads it; distances are found once
-    ends = [F.min(F.when(F.col("sample_idx") == 0, F.col("distance"))).alias("start_distance"), F.min(F.when(F.col("sample_idx") == F.col("last"), F.col("distance"))).alias("end_distance")]
-
-    def evidence(rows: DataFrame, keys: list[str]) -> DataFrame:
-        flagged = rows.withColumn("ok", F.col("distance") <= config.point_tolerance)
-        runs = longest_run(flagged, keys, "sample_idx", "ok")
-        m = rows.groupBy(*keys).agg(*_metrics(config), *ends).join(runs, keys)
-        return m.withColumn("gap_ratio", round_half_up(F.col("longest_run") / F.col("samples"), 4))
-
-    by_component = evidence(near, ["activity_key", "segment_key", "component_idx"])
-    union = near.groupBy("activity_key", "segment_key", "sample_idx", "last").agg(F.min(F.struct("distance", "component_idx", "at")).alias("m")).select("activity_key", "segment_key", "sample_idx", "last", "m.distance", "m.at")
-    first_last = union.where(F.col("distance") <= config.point_tolerance).groupBy("activity_key", "segment_key").agg(F.min_by("at", "sample_idx").alias("first_matched"), F.max_by("at", "sample_idx").alias("last_matched"))
-    by_pair = evidence(union, ["activity_key", "segment_key"]).join(first_last, ["activity_key", "segment_key"], "left")
+    near = checkpoint(nearest(pair, samples(segments, config.sample_interval), points, config.longest_edge))  # three branches read it
+    by_component = evidence(near, ["activity_key", "segment_key", "component_idx"], config)
+    union = near.groupBy("activity_key", "segment_key", "sample_idx").agg(F.min("distance").alias("distance"))
+    # the nearest place of the first and of the last sample that is covered
+    place = lambda i: F.min(F.struct(i.alias("i"), "distance", "component_idx", "at"))["at"]
+    first_last = near.where(F.col("distance") <= config.point_tolerance).groupBy("activity_key", "segment_key").agg(place(F.col("sample_idx")).alias("first_matched"), place(-F.col("sample_idx")).alias("last_matched"))
+    by_pair = evidence(union, ["activity_key", "segment_key"], config).join(first_last, ["activity_key", "segment_key"], "left")
     return by_component, by_pair
 
 

@@ -136,6 +136,24 @@ ORACLE_SQL["match_diagnostics"] = f"""{FULL}, n AS (
 SELECT n.*, activities, segments, activities * segments AS considered, activities * segments - scored AS box_rejected, activities - matched_activities AS unmatched_activities FROM n, a, s"""
 ORACLE_SQL["unmatched_activities"] = f"{FULL} SELECT DISTINCT activity_key FROM pts WHERE activity_key NOT IN (SELECT activity_key FROM matches WHERE classification <> 'insufficient_coverage')"
 ORACLE_SQL["component_metrics"] = f"{CHAIN}, {EVIDENCE} SELECT activity_key, segment_key, component_idx, samples, covered, coverage, start_distance, end_distance, median_distance, p95_distance, max_distance, gap_ratio FROM cm"
+#: The place of a covered sample: its component's, where the distance is least (ties: the smaller component); there the line's if it is as near as the nearest point (ties: the first line), else the first point's.
+PLACES = f"""
+cov AS (SELECT activity_key, segment_key, sample_idx, component_idx, distance FROM near WHERE distance <= 25
+), pick AS (
+  SELECT activity_key, segment_key, arg_min(component_idx, (sample_idx, distance, component_idx)) AS c1, min(sample_idx) AS i1, arg_min(component_idx, (-sample_idx, distance, component_idx)) AS c2, max(sample_idx) AS i2 FROM cov GROUP BY 1, 2
+), seek AS (
+  SELECT activity_key, segment_key, 'first' AS which, i1 AS sample_idx, c1 AS component_idx FROM pick UNION ALL SELECT activity_key, segment_key, 'last', i2, c2 FROM pick
+), sought AS (SELECT seek.*, sx, sy FROM seek JOIN probe USING (activity_key, segment_key, sample_idx)
+), le AS (
+  SELECT activity_key, segment_key, which, line_idx, {jr('min(d)', 3)} AS d, arg_min(qlat, (d, point_idx)) AS lat
+  FROM (SELECT *, (uy + vy * ratio) / 111320e0 + oy AS qlat FROM {closest('sx', 'sy', 'lon', 'lat', 'lon2', 'lat2', "(SELECT * FROM sought JOIN lines USING (activity_key, component_idx) WHERE gap <= 120)", 'activity_key, segment_key, which, line_idx, point_idx')}) GROUP BY ALL
+), pe AS (SELECT activity_key, segment_key, which, min(d) AS d, arg_min(lat, (d, point_idx)) AS lat FROM (SELECT activity_key, segment_key, which, point_idx, lat, {hav('sx', 'sy', 'lon', 'lat')} AS d FROM sought JOIN pts USING (activity_key, component_idx)) GROUP BY ALL
+), found AS (
+  SELECT activity_key, segment_key, which, arg_min(lat, (d, kind, o)) AS lat FROM (SELECT activity_key, segment_key, which, d, 0 AS kind, line_idx AS o, lat FROM le UNION ALL SELECT activity_key, segment_key, which, d, 1, 0, lat FROM pe) GROUP BY ALL
+)"""
+ORACLE_SQL["coverage_metrics"] = f"""{CHAIN}, {EVIDENCE}, {PLACES.strip()}
+SELECT activity_key, segment_key, covered, coverage, longest_run, {jr('a.lat', 5)} AS first_matched_lat, {jr('b.lat', 5)} AS last_matched_lat FROM pm
+LEFT JOIN (SELECT * FROM found WHERE which = 'first') a USING (activity_key, segment_key) LEFT JOIN (SELECT * FROM found WHERE which = 'last') b USING (activity_key, segment_key)"""
 ORACLE_SQL["nearest_distance"] = f"{CHAIN} SELECT activity_key, segment_key, sample_idx, distance FROM uni"
 ORACLE_SQL["line_samples"] = f"WITH {SEGMENTS}, {SAMPLES.strip()} SELECT segment_key, sample_idx, {jr('px', 6)} AS lon, {jr('py', 6)} AS lat FROM samples"
 ORACLE_SQL["bbox_pairs"] = f"WITH {POINTS.strip()}, {SEGMENTS}, {PAIRS.strip()} SELECT * FROM pairs"

@@ -56,8 +56,7 @@ def coverage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def nearest_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s = I.trace_points(spark, sf_dir), I.segments(spark, sf_dir)
-    probe = matching.pairs(p, s).join(matching.samples(s), "segment_key").select("activity_key", "segment_key", "sample_idx", "place")
-    near = matching.nearest(probe, p, ["segment_key", "sample_idx"])
+    near = matching.nearest(matching.pairs(p, s), matching.samples(s), p)
     return near.groupBy("activity_key", "segment_key", "sample_idx").agg(F.min("distance").alias("distance")).select("activity_key", "segment_key", F.col("sample_idx").cast("long").alias("sample_idx"), "distance")
 
 
