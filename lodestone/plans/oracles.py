@@ -283,3 +283,11 @@ ORACLE_SQL["coerce_numbers"] = f"SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 0
 ORACLE_SQL["validate_rows"] = "SELECT c_custkey, concat_ws(',', CASE WHEN NOT c_acctbal >= 0 THEN 'balance' END, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') THEN 'segment' END, CASE WHEN NOT regexp_matches(c_name, '^Customer#[0-9]{9}$') THEN 'name' END) AS failed FROM customer WHERE failed <> ''"
 ORACLE_SQL["timestamp_valid"] = "SELECT o_orderkey, o_orderkey % 7 <> 0 AS ok FROM orders"
 ORACLE_SQL["redact_paths"] = "SELECT s_suppkey, 'private path omitted' AS sourcePath, 'private path omitted' AS folder, 'a/b ' || s_name AS note, 'private path omitted' AS home, '/data/' || s_name AS root, 'x/' || s_name AS profile, 'private path omitted' AS disk FROM supplier"
+
+#: Three sides of a triangle, or two: the second and third part each go behind the end where they touch it, else before the start.
+_SIDES = ", ".join(f"CASE WHEN (c + {i}) % 4 < 2 THEN [(c // 7 + {i} * (1 + c % 2)) % 3, (c // 7 + {i} * (1 + c % 2) + 1) % 3] ELSE [(c // 7 + {i} * (1 + c % 2) + 1) % 3, (c // 7 + {i} * (1 + c % 2)) % 3] END AS p{i}" for i in range(3))
+_ATTACH = "CASE WHEN {line}[-1] = {p}[1] THEN {line} || {p}[2:] WHEN {line}[-1] = {p}[2] THEN {line} || [{p}[1]] WHEN {line}[1] = {p}[2] THEN [{p}[1]] || {line} WHEN {line}[1] = {p}[1] THEN [{p}[2]] || {line} END"
+ORACLE_SQL["chain_order"] = f"""WITH s AS (SELECT c_custkey AS c, {_SIDES} FROM (SELECT c_custkey, c_custkey AS c FROM customer)
+), two AS (SELECT *, {_ATTACH.format(line='p0', p='p1')} AS l2 FROM s
+), three AS (SELECT *, CASE WHEN c % 3 = 0 THEN l2 ELSE {_ATTACH.format(line='l2', p='p2')} END AS l FROM two)
+SELECT 'c' || c AS item_key, array_to_string([round((-71e0 + 1e-3 * (c % 1000) + CASE k WHEN 1 THEN 4e-4 WHEN 2 THEN 2e-4 ELSE 0e0 END) * 10000)::BIGINT || ':' || round(CASE k WHEN 2 THEN 44.0003e0 ELSE 44e0 END * 10000)::BIGINT FOR k IN l], ' ') AS line FROM three"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, keys, names
@@ -188,6 +188,23 @@ def component_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("item_key", F.col("component_idx").cast("long").alias("component_idx"), F.size("members").cast("long").alias("members"), F.size("line").cast("long").alias("points"), "disconnected")
 
 
+@query
+def chain_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer is a source of three parts, its triangle's sides in an order and direction that follow from its key; every third lacks a side."""
+    c = F.col("c_custkey")
+    corner = lambda k: geo.point(-71.0 + 0.001 * (c % 1000) + F.when(k == 1, 0.0004).when(k == 2, 0.0002).otherwise(0.0), F.when(k == 2, 44.0003).otherwise(44.0))
+
+    def side(i: int) -> Column:
+        k = (F.floor(c / 7) + i * (1 + c % 2)) % 3
+        a, b = corner(k), corner((k + 1) % 3)
+        return F.when((c + i) % 4 < 2, F.array(a, b)).otherwise(F.array(b, a))
+
+    sides = F.array(side(0), side(1), side(2))
+    s = I.table(spark, sf_dir, "customer").select(c.cast("long").alias("ord"), F.concat(F.lit("c"), c.cast("string")).alias("item_key"), F.lit("C").alias("normalized"), F.array(F.lit("1")).alias("ids"), F.when(c % 3 == 0, F.slice(sides, 1, 2)).otherwise(sides).alias("components"))
+    told = F.transform("line", lambda p: F.concat_ws(":", F.round(p["lon"] * 10_000).cast("long").cast("string"), F.round(p["lat"] * 10_000).cast("long").cast("string")))
+    return topology.working_lines(s).select("item_key", F.array_join(told, " ").alias("line"))
+
+
 # names and reconciliation
 
 
