@@ -190,10 +190,14 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
 
 
 def _likely(text: Column, rule: Rule) -> Column:
-    """A cheap test that every text with a match of the needed length passes."""
-    if rule.group == 0 and rule.least > 1 and rule.pattern.endswith("+"):
-        head, last = re.fullmatch(r"(.*?)(\[[^\]]+\])\+", rule.pattern).groups()
-        return text.rlike(f"{head}{last}{{{rule.least - len(head)},}}")
+    """A cheap test that every text with a match of the needed length passes.
+
+    Only of literal characters before one repeated class is the length of a match known from the pattern.
+    """
+    plain = re.fullmatch(r"([A-Za-z0-9_\x20]*)(\[[^\[\]\\&]+\])\+", rule.pattern) if rule.group == 0 else None
+    if plain:
+        head, last = plain.groups()
+        return text.rlike(f"{head}{last}{{{max(rule.least - len(head), 1)},}}")
     return text.rlike(rule.pattern)
 
 

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import re
 import time
 
@@ -142,3 +143,19 @@ def test_a_text_of_very_many_secrets(spark):
     assert time.perf_counter() - began < 60
     assert spans == {i: brute(t) for i, t in rows}
     assert text[1] == "[SECRET]-" * 60_000 + "é[SECRET] end" and text[2] == "[SECRET]" + " é " * 3000 + "[SECRET]"
+
+
+def test_random_rules_against_brute_force(spark):
+    r = random.Random(9)
+    piece = lambda: r.choice(["a", "b", "ab", "[bc]", "a{1,50}", "(?:ab)?", "b{2}", "(?:a|cc)", "c?"])
+    rules = [S.Rule("x", r"a{1,50}[bc]+", 0, 20), S.Rule("y", r"ab(?:ca)?[abc]+", 0, 8), S.Rule("z", "[abc]+", 0, 3), S.Rule("w", "ab[c]+", 0, 1)]
+    rules += [S.Rule(f"r{i}", "".join(piece() for _ in range(r.randint(1, 4))) + r.choice(["[abc]+", "[bc]+", "[c]+", ""]), 0, r.randint(1, 12)) for i in range(6)]
+    rules = [x for x in rules if not re.fullmatch(x.pattern, "")]
+    rows = [(1, "a" * 40 + "b"), (2, "abbbbbbb"), (3, None), (4, "")] + [(i, "".join(r.choice("aaabbbccc ") for _ in range(r.randint(1, 60)))) for i in range(5, 45)]
+    docs, got = frame(spark, rows), {i: set() for i, _ in rows}
+    for few in (rules[:4], rules[4:]):
+        for x in S.scan(docs, few).collect():
+            got[x.doc_id] |= {(s.kind, s.start, s.end) for s in x.spans}
+    for i, text in rows:
+        assert got[i] == {(x.kind, *m.span()) for x in rules for m in re.finditer(x.pattern, text or "") if len(m[0]) >= x.least}, text
+    assert ("x", 0, 41) in got[1]
