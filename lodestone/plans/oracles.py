@@ -291,3 +291,15 @@ ORACLE_SQL["chain_order"] = f"""WITH s AS (SELECT c_custkey AS c, {_SIDES} FROM
 ), two AS (SELECT *, {_ATTACH.format(line='p0', p='p1')} AS l2 FROM s
 ), three AS (SELECT *, CASE WHEN c % 3 = 0 THEN l2 ELSE {_ATTACH.format(line='l2', p='p2')} END AS l FROM two)
 SELECT 'c' || c AS item_key, array_to_string([round((-71e0 + 1e-3 * (c % 1000) + CASE k WHEN 1 THEN 4e-4 WHEN 2 THEN 2e-4 ELSE 0e0 END) * 10000)::BIGINT || ':' || round(CASE k WHEN 2 THEN 44.0003e0 ELSE 44e0 END * 10000)::BIGINT FOR k IN l], ' ') AS line FROM three"""
+
+_INVENTORY = """WITH r AS (SELECT p_partkey + 2 AS row_no, CASE WHEN p_partkey % 50 = 7 THEN '' ELSE p_name || '-' || p_size END AS item_key, CASE WHEN p_partkey % 70 = 3 THEN '' ELSE p_name END AS name FROM part
+), w AS (SELECT *, item_key <> '' AND row_number() OVER (PARTITION BY item_key ORDER BY row_no) > 1 AS again FROM r"""
+_ITEMS = f"{_INVENTORY}), i AS (SELECT row_no, item_key, name, {norm('name')} AS normalized FROM w WHERE item_key <> '' AND name <> '' AND NOT again)"
+ORACLE_SQL["inventory_items"] = f"{_ITEMS} SELECT * FROM i"
+ORACLE_SQL["inventory_repeats"] = f"{_ITEMS} SELECT normalized, count(*) AS n, min(row_no) AS first_row FROM i GROUP BY 1 HAVING count(*) > 1"
+ORACLE_SQL["repeated_key_issues"] = "SELECT 'duplicate_part' AS rule, 'duplicate_part:' || p_name || '|' || p_type AS message FROM part GROUP BY p_name, p_type HAVING count(*) > 1"
+ORACLE_SQL["unknown_key_issues"] = "SELECT 'unknown_user' AS rule, 'unknown_user:' || user_id AS message, count(*) AS n FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY user_id"
+_DECIDED = "CASE WHEN l_orderkey % 7 = 0 THEN 'needs_review' ELSE segment_decision END"
+_OUT = "l_orderkey % 7 <> 0 AND segment_decision = 'verified_for_publication' AND trail_decision = 'verified_for_publication'"
+ORACLE_SQL["publication_summary"] = f"{CAND} SELECT " + ", ".join(f"count(*) FILTER ({_DECIDED} = '{k}') AS {k}" for k in ("verified_for_publication", "rejected", "needs_review")) + f", count(*) FILTER ({_OUT}) AS published_segments, count(DISTINCT l_orderkey) FILTER ({_OUT}) AS published_trails, {jr(f'coalesce(sum(miles) FILTER ({_OUT}), 0)', 6)} AS published_miles FROM ca"
+ORACLE_SQL["activity_span"] = "SELECT count(DISTINCT user_id) AS activities, count(*) AS points, min(ts::VARCHAR) AS earliest, max(ts::VARCHAR) AS latest FROM events"

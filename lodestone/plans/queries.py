@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, keys, names
 from ..functions.numbers import lenient_number, number_text, round_half_up
-from ..operators import cleaning, decisions, matching, publication, reconcile, serving, topology, traces
+from ..operators import cleaning, decisions, issues, matching, publication, reconcile, serving, topology, traces
 from ..operators.publication import VERIFIED
 from . import inputs as I  # noqa: E741
 
@@ -105,6 +105,12 @@ def activity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.activity_summary(I.trace_points(spark, sf_dir)).select("activities", "points")
 
 
+@query
+def activity_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activities, points, first and last time by text."""
+    return traces.activity_summary(I.trace_points(spark, sf_dir))
+
+
 @query
 def activity_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = I.trace_points(spark, sf_dir)
@@ -272,11 +278,38 @@ def duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.table(spark, sf_dir, "part").groupBy("p_name").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_key")).where("n > 1")
 
 
+def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = I.table(spark, sf_dir, "part")
+    return p.select((F.col("p_partkey") + 2).alias("row_no"), F.when(F.col("p_partkey") % 50 == 7, "").otherwise(F.concat_ws("-", F.col("p_name"), F.col("p_size").cast("string"))).alias("item_key"), F.when(F.col("p_partkey") % 70 == 3, None).otherwise(F.col("p_name")).alias("name"), F.lit("").alias("region_hint"), F.lit("").alias("notes"))
+
+
 @query
 def inventory_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = I.table(spark, sf_dir, "part")
-    raw = p.select((F.col("p_partkey") + 2).alias("row_no"), F.when(F.col("p_partkey") % 50 == 7, "").otherwise(F.concat_ws("-", F.col("p_name"), F.col("p_size").cast("string"))).alias("item_key"), F.when(F.col("p_partkey") % 70 == 3, None).otherwise(F.col("p_name")).alias("name"), F.lit("").alias("region_hint"), F.lit("").alias("notes"))
-    return cleaning.validate_inventory(raw)[1]
+    return cleaning.validate_inventory(_inventory(spark, sf_dir))[1]
+
+
+@query
+def inventory_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the inventory that hold, each with its normalised name."""
+    return cleaning.validate_inventory(_inventory(spark, sf_dir))[0].select(F.col("row_no").cast("long").alias("row_no"), "item_key", "name", "normalized")
+
+
+@query
+def inventory_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised names that several items of the inventory share."""
+    return cleaning.validate_inventory(_inventory(spark, sf_dir))[2].select("normalized", "n", F.col("first_row").cast("long").alias("first_row"))
+
+
+@query
+def repeated_key_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return issues.duplicates(I.table(spark, sf_dir, "part").select("p_name", "p_type"), ["p_name", "p_type"], "duplicate_part")
+
+
+@query
+def unknown_key_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of users that aren't among the customers of an even key."""
+    known = I.table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"))
+    return issues.unknown(I.table(spark, sf_dir, "events").select("user_id", "event_type"), known, ["user_id"], "unknown_user").groupBy("rule", "message").agg(F.count("*").alias("n"))
 
 
 # serving
@@ -424,6 +457,15 @@ def publication_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.agg(n(VERIFIED), n("rejected"), n("needs_review"), F.count_if(ok).alias("published_segments"), F.count_distinct(F.when(ok, F.col("l_orderkey"))).alias("published_trails"), round_half_up(F.sum(F.when(ok, F.col("miles"))), 4).alias("published_miles"))
 
 
+@query
+def publication_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library's own diagnostics, over candidates, their decisions and what both decisions let through; every seventh candidate lacks a decision."""
+    c = I.candidates(spark, sf_dir).withColumn("segment_key", F.concat_ws("-", "l_orderkey", "seq"))
+    own = c.where("l_orderkey % 7 <> 0").select(F.lit("segment").alias("target_type"), F.col("segment_key").alias("target_key"), F.col("segment_decision").alias("decision"))
+    rows = c.where((F.col("l_orderkey") % 7 != 0) & (F.col("segment_decision") == VERIFIED) & (F.col("trail_decision") == VERIFIED)).select(F.col("l_orderkey").alias("trail_key"), "miles")
+    return publication.diagnostics(c.select("segment_key"), own, rows)
+
+
 @query
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = I.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
