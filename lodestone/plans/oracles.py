@@ -303,3 +303,16 @@ _DECIDED = "CASE WHEN l_orderkey % 7 = 0 THEN 'needs_review' ELSE segment_decisi
 _OUT = "l_orderkey % 7 <> 0 AND segment_decision = 'verified_for_publication' AND trail_decision = 'verified_for_publication'"
 ORACLE_SQL["publication_summary"] = f"{CAND} SELECT " + ", ".join(f"count(*) FILTER ({_DECIDED} = '{k}') AS {k}" for k in ("verified_for_publication", "rejected", "needs_review")) + f", count(*) FILTER ({_OUT}) AS published_segments, count(DISTINCT l_orderkey) FILTER ({_OUT}) AS published_trails, {jr(f'coalesce(sum(miles) FILTER ({_OUT}), 0)', 6)} AS published_miles FROM ca"
 ORACLE_SQL["activity_span"] = "SELECT count(DISTINCT user_id) AS activities, count(*) AS points, min(ts::VARCHAR) AS earliest, max(ts::VARCHAR) AS latest FROM events"
+_LOG = "SELECT user_id AS target_key, CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'error' THEN 'rejected' ELSE 'needs_review' END AS decision, ts, event_id FROM events"
+_AT = "'%Y-%m-%d %H:%M:%S.%f'"
+ORACLE_SQL["decision_intervals"] = f"""WITH l AS ({_LOG}), u AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY target_key, ts ORDER BY event_id DESC) = 1
+), r AS (SELECT *, lag(decision) OVER (PARTITION BY target_key ORDER BY ts) AS p FROM u), c AS (SELECT * FROM r WHERE p IS NULL OR p <> decision)
+SELECT target_key, decision, strftime(ts, {_AT}) AS valid_from, strftime(lead(ts) OVER (PARTITION BY target_key ORDER BY ts), {_AT}) AS valid_to FROM c"""
+ORACLE_SQL["decision_as_of"] = f"""WITH l AS ({_LOG}) SELECT e.event_id, e.user_id AS target_key,
+(SELECT arg_max(l.decision, (l.ts, l.event_id)) FROM l WHERE l.target_key = e.user_id AND l.decision <> 'needs_review' AND l.ts <= e.ts) AS decision
+FROM events e WHERE event_type IN ('view', 'click')"""
+ORACLE_SQL["updated_at"] = "SELECT key, strftime(max(changed), '%Y-%m-%d') AS updated_at FROM (SELECT o_orderkey AS key, o_orderdate AS changed FROM orders UNION ALL SELECT l_orderkey, l_shipdate FROM lineitem) GROUP BY key"
+ORACLE_SQL["user_completions"] = """WITH f AS (SELECT o_custkey AS user_id, l_partkey AS segment_key, o_orderkey AS activity_key, strftime(o_orderdate, '%Y-%m-%d') AS completed_on, 'gpx_match' AS completion_method, 1 - l_discount AS match_confidence
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R'
+UNION ALL SELECT c_custkey, c_custkey % 200, NULL, '1997-06-01', CASE WHEN c_nationkey % 5 = 0 THEN 'admin' ELSE 'manual' END, NULL FROM customer WHERE c_nationkey % 5 <> 1)
+SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY user_id, segment_key ORDER BY completed_on, completion_method <> 'admin', completion_method <> 'manual', match_confidence DESC, activity_key) = 1"""

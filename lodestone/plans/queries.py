@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, keys, names
 from ..functions.numbers import lenient_number, number_text, round_half_up
-from ..operators import cleaning, decisions, issues, matching, publication, reconcile, serving, topology, traces
+from ..operators import cleaning, decisions, history, issues, matching, publication, reconcile, serving, topology, traces
 from ..operators.publication import VERIFIED
 from . import inputs as I  # noqa: E741
 
@@ -539,3 +539,40 @@ def redact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = {"sourcePath": F.concat(F.lit("data/"), F.col("s_name")), "folder": F.concat(F.lit("b\\"), F.col("s_name")), "note": F.concat(F.lit("a/b "), F.col("s_name")), "home": F.concat(F.lit("/home/"), F.col("s_name")), "root": F.concat(F.lit("/data/"), F.col("s_name")), "profile": F.concat(F.lit("x/"), F.col("s_name")), "disk": F.concat(F.lit("C:\\x\\"), F.col("s_name"))}
     m = F.create_map(*[c for k, v in value.items() for c in (F.lit(k), v)])
     return s.select("s_suppkey", cleaning.redact_paths(m).alias("m")).select("s_suppkey", *[F.col("m")[k].alias(k) for k in value])
+
+
+def _instant(c: str) -> Column:
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+@query
+def decision_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = history.intervals(I.decision_log(spark, sf_dir), ["target_key"], "ts", "decision", ["event_id"])
+    return d.select("target_key", "decision", _instant("valid_from").alias("valid_from"), _instant("valid_to").alias("valid_to"))
+
+
+@query
+def decision_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views and clicks with the decision that is in force when they happen."""
+    log = I.decision_log(spark, sf_dir)
+    seen = I.table(spark, sf_dir, "events").where("event_type in ('view', 'click')").select("event_id", F.col("user_id").alias("target_key"), "ts")
+    made = log.where("decision <> 'needs_review'").select("target_key", "ts", "decision", F.col("event_id").alias("made"))
+    return history.as_of(seen, made, ["target_key"], "ts", "decision", ["made"]).select("event_id", "target_key", "decision")
+
+
+@query
+def updated_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order changes when it is made and when a line of it ships."""
+    o = I.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("at"))
+    li = I.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_shipdate").alias("at"))
+    return history.updated_at(["key"], (o, "at"), (li, "at")).select("key", F.date_format("updated_at", "yyyy-MM-dd").alias("updated_at"))
+
+
+@query
+def user_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as activities, their lines as matches with parts, a part for each customer as entered by hand."""
+    a = I.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("activity_key"), F.col("o_custkey").alias("user_id"), F.to_date("o_orderdate").alias("completed_on"))
+    m = I.table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("activity_key"), F.col("l_partkey").alias("segment_key"), (1 - F.col("l_discount")).alias("match_confidence"))
+    c = I.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 200).alias("segment_key"), F.to_date(F.lit("1997-06-01")).alias("completed_on"), F.when(F.col("c_nationkey") % 5 == 0, "admin").when(F.col("c_nationkey") % 5 == 1, "unknown").otherwise("manual").alias("completion_method"))
+    done = history.completions(a, m, c)
+    return done.select("user_id", "segment_key", "activity_key", F.date_format("completed_on", "yyyy-MM-dd").alias("completed_on"), "completion_method", "match_confidence")
