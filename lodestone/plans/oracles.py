@@ -316,3 +316,8 @@ ORACLE_SQL["user_completions"] = """WITH f AS (SELECT o_custkey AS user_id, l_pa
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R'
 UNION ALL SELECT c_custkey, c_custkey % 200, NULL, '1997-06-01', CASE WHEN c_nationkey % 5 = 0 THEN 'admin' ELSE 'manual' END, NULL FROM customer WHERE c_nationkey % 5 <> 1)
 SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY user_id, segment_key ORDER BY completed_on, completion_method <> 'admin', completion_method <> 'manual', match_confidence DESC, activity_key) = 1"""
+ORACLE_SQL["load_plan"] = """SELECT o_orderkey AS trail_key, CASE WHEN o_orderkey % 3 = 0 THEN 'insert'
+WHEN (o_orderkey % 11 = 0 AND o_orderstatus IS DISTINCT FROM 'X') OR o_orderkey % 13 = 0 THEN 'refuse' ELSE 'update' END AS action FROM orders"""
+ORACLE_SQL["load_refusals"] = """SELECT 'trail_conflict' AS rule, 'trail_conflict:' || s_suppkey AS message FROM supplier WHERE s_suppkey % 9 = 4
+UNION ALL SELECT 'segment_conflict', 'segment_conflict:' || p_partkey FROM part WHERE p_partkey % 7 = 0
+UNION ALL SELECT 'trail_unknown', 'trail_unknown:' || p_partkey % 12 FROM part WHERE p_partkey % 12 NOT IN (SELECT s_suppkey FROM supplier)"""

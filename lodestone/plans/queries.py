@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, keys, names
 from ..functions.numbers import lenient_number, number_text, round_half_up
-from ..operators import cleaning, decisions, history, issues, matching, publication, reconcile, serving, topology, traces
+from ..operators import cleaning, decisions, history, issues, load, matching, publication, reconcile, serving, topology, traces
 from ..operators.publication import VERIFIED
 from . import inputs as I  # noqa: E741
 
@@ -576,3 +576,22 @@ def user_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = I.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 200).alias("segment_key"), F.to_date(F.lit("1997-06-01")).alias("completed_on"), F.when(F.col("c_nationkey") % 5 == 0, "admin").when(F.col("c_nationkey") % 5 == 1, "unknown").otherwise("manual").alias("completion_method"))
     done = history.completions(a, m, c)
     return done.select("user_id", "segment_key", "activity_key", F.date_format("completed_on", "yyyy-MM-dd").alias("completed_on"), "completion_method", "match_confidence")
+
+
+@query
+def load_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a load does with orders as trails: two in three are there, some under another name or region."""
+    o = I.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("trail_key"), F.col("o_orderpriority").alias("slug"), F.col("o_orderstatus").alias("name"), F.col("o_custkey").cast("string").alias("region"))
+    there = o.where("trail_key % 3 <> 0").withColumns({"name": F.when(F.col("trail_key") % 11 == 0, "X").otherwise(F.col("name")), "region": F.when(F.col("trail_key") % 13 == 0, None).otherwise(F.col("region"))})
+    return load.plan(there, o, "trail_key", load.TRAIL_IDENTITY)
+
+
+@query
+def load_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as trails and parts as segments of them; some lines run the other way, some moved, some trails are unknown."""
+    s = I.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("trail_key"), F.lit("a").alias("slug"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("region"))
+    line = lambda move: F.array(geo.point(F.lit(-71.0), 44 + F.col("p_size") * 0.01), geo.point(F.lit(-71.1) + move, 44 + F.col("p_size") * 0.01))
+    p = I.table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("production_key"), (F.col("p_partkey") % 12).cast("string").alias("trail_key"), F.col("p_name").alias("segment_name"), line(F.lit(0.0)).alias("line"), line(F.lit(0.01)).alias("moved"))
+    there = p.select("production_key", "trail_key", "segment_name", F.when(F.col("p_partkey") % 7 == 0, F.col("moved")).when(F.col("p_partkey") % 2 == 0, F.reverse("line")).otherwise(F.col("line")).alias("line"))
+    old = s.withColumn("region", F.when(F.col("trail_key").cast("int") % 9 == 4, "none").otherwise(F.col("region")))
+    return load.refusals(s, p, old, there)
