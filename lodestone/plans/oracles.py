@@ -321,3 +321,21 @@ WHEN (o_orderkey % 11 = 0 AND o_orderstatus IS DISTINCT FROM 'X') OR o_orderkey
 ORACLE_SQL["load_refusals"] = """SELECT 'trail_conflict' AS rule, 'trail_conflict:' || s_suppkey AS message FROM supplier WHERE s_suppkey % 9 = 4
 UNION ALL SELECT 'segment_conflict', 'segment_conflict:' || p_partkey FROM part WHERE p_partkey % 7 = 0
 UNION ALL SELECT 'trail_unknown', 'trail_unknown:' || p_partkey % 12 FROM part WHERE p_partkey % 12 NOT IN (SELECT s_suppkey FROM supplier)"""
+_K = "json_extract_string(props, '$.k')"
+_GONE = '"private path omitted"'
+ORACLE_SQL["redact_nested"] = f"""SELECT event_id, '{{"a":{{"deep":[[{{"p":{_GONE}}}]],"note":"a/b"}},"importFolder":{_GONE},"n":1.5,"z":[{{"k":' || {_K} || '}},{{"file":[{_GONE},"a/b","plain"]}}]}}' AS doc FROM events"""
+ORACLE_SQL["stable_documents"] = f"""SELECT event_id, sha256('{{"a":[1,1000],"b":{{"k":' || {_K} || '}}}}') AS sha256, true AS same FROM events"""
+ORACLE_SQL["json_elements"] = """SELECT event_id, pos, ['/home/u' || user_id, 'a/b', 'plain'][pos + 1] AS element, '{"id":' || event_id || ',"pos":' || pos || ',"none":null}' AS object FROM events, range(3) t(pos)"""
+_MATCHES = "WITH m AS (SELECT l_orderkey AS activity_key, CASE WHEN l_returnflag = 'R' THEN 'insufficient_coverage' WHEN l_linestatus = 'F' THEN 'candidate' ELSE 'strong_candidate' END AS c FROM lineitem)"
+ORACLE_SQL["visible_matches"] = f"""{_MATCHES}, u AS (SELECT 'matched_segments' AS shown, activity_key FROM m WHERE c <> 'insufficient_coverage'
+UNION ALL SELECT 'candidate', activity_key FROM m WHERE c = 'candidate'
+UNION ALL SELECT 'unmatched_activities', activity_key FROM m WHERE activity_key NOT IN (SELECT activity_key FROM m WHERE c <> 'insufficient_coverage'))
+SELECT shown, activity_key, count(*) AS n FROM u GROUP BY ALL"""
+ORACLE_SQL["visible_publication"] = """SELECT p_partkey::VARCHAR AS segment_key, 'verified_for_publication' AS decision FROM part
+WHERE CASE WHEN p_size % 4 = 0 THEN p_size % 8 <> 0 ELSE p_size > 30 END"""
+ORACLE_SQL["decode_rows"] = """SELECT p_partkey::VARCHAR AS id, p_brand AS region, p_size + 0.5e0 AS miles, p_size::DOUBLE AS y1, 44.25e0 AS y2, 2 AS width,
+CASE WHEN p_partkey % 3 = 1 THEN 'OSM' ELSE 'other' END AS provider, CASE WHEN p_partkey % 3 = 2 THEN p_brand ELSE p_type END AS dataset, 'a' || p_partkey || ',b' AS ids,
+p_partkey % 5 = 0 OR p_partkey % 3 = 1 AS manually_modified, CASE WHEN p_partkey % 3 = 2 THEN '2024-01-01' END AS reviewed_at FROM part WHERE p_partkey % 7 > 1"""
+ORACLE_SQL["error_messages"] = """SELECT event_id, CASE event_type WHEN 'error' THEN 'That username is already taken.' WHEN 'signup' THEN 'Username does not match the required public format.'
+ELSE 'Profile update failed. Please try again.' END AS shown FROM events"""
+ORACLE_SQL["default_names"] = """SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN NULL WHEN 1 THEN left(repeat(c_name, 9), 120) ELSE c_mktsegment END AS display_name FROM customer"""

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo, keys, names
+from ..functions import geo, keys, names, nested
 from ..functions.numbers import lenient_number, number_text, round_half_up
-from ..operators import cleaning, decisions, history, issues, load, matching, publication, reconcile, serving, topology, traces
+from ..operators import cleaning, decisions, history, issues, load, matching, publication, reconcile, serving, topology, traces, workspace
 from ..operators.publication import VERIFIED
 from . import inputs as I  # noqa: E741
 
@@ -595,3 +595,78 @@ def load_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = p.select("production_key", "trail_key", "segment_name", F.when(F.col("p_partkey") % 7 == 0, F.col("moved")).when(F.col("p_partkey") % 2 == 0, F.reverse("line")).otherwise(F.col("line")).alias("line"))
     old = s.withColumn("region", F.when(F.col("trail_key").cast("int") % 9 == 4, "none").otherwise(F.col("region")))
     return load.refusals(s, p, old, there)
+
+
+def _documents_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event's props put into a deeper document, with paths of its own."""
+    u = F.col("user_id").cast("string")
+    inner = F.concat(F.lit('{"z": ['), F.col("props"), F.lit(', {"file": ["/home/u'), u, F.lit('", "a/b", "plain"]}], "importFolder": "data/'), u, F.lit('", "a": {"note": "a/b", "deep": [[{"p": "C:\\\\\\\\x\\\\\\\\'), u, F.lit('"}]]}, "n": 1.50}'))
+    return I.table(spark, sf_dir, "events").select("event_id", inner.alias("doc"))
+
+
+@query
+def redact_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents_of_events(spark, sf_dir).select("event_id", nested.redact_json(F.col("doc")).alias("doc"))
+
+
+@query
+def stable_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the hash of their stable text, which is that of the same document with its keys in another order."""
+    d = I.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"b": '), F.col("props"), F.lit(', "a": [1.0, 1e3]}')).alias("p"), F.concat(F.lit('{"a":[1,1000],"b":'), F.col("props"), F.lit("}")).alias("q"))
+    return d.select("event_id", F.sha2(nested.stable_text(F.col("p")), 256).alias("sha256"), nested.json_equal(F.col("p"), F.col("q")).alias("same"))
+
+
+@query
+def json_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = nested.elements(_documents_of_events(spark, sf_dir), "doc", "$.z[1].file")
+    return d.select("event_id", F.col("pos").cast("long").alias("pos"), "element", nested.build_object(id=F.col("event_id"), pos=F.col("pos"), none=F.lit(None).cast("string")).alias("object"))
+
+
+def _line_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as matches of the order with a part."""
+    kind = F.when(F.col("l_returnflag") == "R", "insufficient_coverage").when(F.col("l_linestatus") == "F", "candidate").otherwise("strong_candidate")
+    return I.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("activity_key"), F.col("l_partkey").alias("segment_key"), kind.alias("classification"))
+
+
+@query
+def visible_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _line_matches(spark, sf_dir)
+    shown = [workspace.visible_matches(m, s).withColumn("shown", F.lit(s)) for s in ("matched_segments", "unmatched_activities", "candidate")]
+    return issues.every(*shown).groupBy("shown", "activity_key").agg(F.count("*").alias("n"))
+
+
+@query
+def visible_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as segments, decided on by size, and anew by a user for some."""
+    p = I.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("segment_key"), "p_size")
+    said = lambda c: p.where(c).select(F.lit("segment").alias("target_type"), F.col("segment_key").alias("target_key"), "p_size")
+    committed = said("p_size > 10").select("target_type", "target_key", F.when(F.col("p_size") > 30, VERIFIED).otherwise("rejected").alias("decision"))
+    local = said("p_size % 4 = 0").select("target_type", "target_key", F.when(F.col("p_size") % 8 == 0, "needs_review").otherwise(VERIFIED).alias("decision"))
+    return workspace.visible_publication(p.select("segment_key"), committed, local, "verified")
+
+
+@query
+def decode_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as rows of the API: some without good coordinates, some without provenance."""
+    k = F.col("p_partkey")
+    t = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    coordinates = F.when(k % 7 == 0, '[[1, 2], ["3", 4]]').when(k % 7 == 1, "[[1, 2]]").otherwise(t("[[-71, ", F.col("p_size"), "], [-71.5, 44.25, 900]]"))
+    provenance = F.when(k % 3 == 0, F.lit(None)).when(k % 3 == 1, '{"provider": "OSM", "dataset": 5, "manuallyModified": 1}').otherwise(t('{"provider": "', F.col("p_brand"), '", "dataset": "', F.col("p_brand"), '", "reviewedAt": "2024-01-01"}'))
+    none = F.lit(None).cast("string")
+    raw = I.table(spark, sf_dir, "part").select(k.cast("string").alias("id"), F.col("p_name").alias("slug"), none.alias("trail_id"), F.col("p_type").alias("trail_name"), F.col("p_name").alias("segment_name"), F.col("p_brand").alias("trail_region"), t(" ", F.col("p_size"), ".5 ").alias("miles"), coordinates.alias("coordinates"), provenance.alias("provenance"), t('["a', k, '", ', k, ', "b"]').alias("source_feature_ids"), F.col("p_type").alias("source_label"), none.alias("source_ref"), F.when(k % 5 == 0, F.lit(True)).alias("geometry_manually_modified"), none.alias("reviewed_at"))
+    d = workspace.decode_rows(raw)
+    return d.select("id", "region", "miles", F.col("coordinates")[0][1].alias("y1"), F.col("coordinates")[1][1].alias("y2"), F.size(F.col("coordinates")[1]).cast("long").alias("width"), "provider", "dataset", F.array_join("source_feature_ids", ",").alias("ids"), "manually_modified", "reviewed_at")
+
+
+@query
+def error_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = I.table(spark, sf_dir, "events")
+    text = F.when(F.col("event_type") == "error", "Duplicate KEY value").when(F.col("event_type") == "signup", "violates profiles_username_format_chk").otherwise(F.col("event_type"))
+    return e.select("event_id", workspace.safe_error(text).alias("shown"))
+
+
+@query
+def default_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = I.table(spark, sf_dir, "customer")
+    full = F.when(F.col("c_nationkey") % 3 == 0, " ").when(F.col("c_nationkey") % 3 == 1, F.concat(F.lit("  "), F.repeat("c_name", 9)))
+    return c.select("c_custkey", workspace.default_name(full, F.col("c_mktsegment")).alias("display_name"))
