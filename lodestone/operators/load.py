@@ -1,8 +1,6 @@
 """Load of a publication run: planned against what is there, refused on conflict, switched in by one rename.
 
-A root folder holds ``versions/<n>-<id>/{trails,segments,runs}`` (Parquet) and ``manifests/<n>`` (the name of a
-version). Readers take the highest manifest. A run writes its version first and then renames its manifest into place,
-which fails if another run took the number; a run that is lost before that leaves a folder that no manifest names.
+The tables are trails, segments and the ledger of runs.
 """
 
 from __future__ import annotations
@@ -10,11 +8,12 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import line_fingerprint
 from .issues import assert_clean, duplicates, every, issues, unknown
+from .versions import Versions
 
 _RUN_COLUMNS = "publication_run_id string, publication_artifact_fingerprint string"
 TRAILS = f"trail_key string, trail_id string, slug string, name string, region string, reviewed_at string, {_RUN_COLUMNS}"
@@ -77,49 +76,10 @@ def merge(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return existing.join(incoming.select(key), key, "left_anti").unionByName(incoming)
 
 
-class Publication:
+class Publication(Versions):
     """Tables of published trails and segments, and the ledger of runs, below ``root``, which all executors share."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        self._path = lambda *parts: hadoop.Path("/".join((root, *parts)))
-        self._fs = self._path().getFileSystem(spark._jsc.hadoopConfiguration())
-        self._context = hadoop.FileContext.getFileContext(self._path().toUri(), spark._jsc.hadoopConfiguration()) if "://" in root else hadoop.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
-
-    def manifests(self) -> list[int]:
-        folder = self._path("manifests")
-        if not self._fs.exists(folder):
-            return []
-        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(folder) if s.getPath().getName().isdigit())
-
-    def version(self) -> tuple[int, str | None]:
-        """Number and folder of the version that stands; (0, None) before the first load."""
-        numbers = self.manifests()
-        if not numbers:
-            return 0, None
-        text = self.spark.read.text(f"{self.root}/manifests/{numbers[-1]:012d}").first()[0]
-        return numbers[-1], text
-
-    def read(self, table: str, version: str | None = None) -> DataFrame:
-        """A table of a version, by default the one that stands; empty before the first load."""
-        version = version or self.version()[1]
-        if version is None:
-            return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/versions/{version}/{table}")
-
-    def _write(self, version: str, tables: dict[str, DataFrame]) -> None:
-        for name, df in tables.items():
-            df.to(self.spark.createDataFrame([], SCHEMAS[name]).schema).write.parquet(f"{self.root}/versions/{version}/{name}")
-
-    def _switch(self, number: int, version: str) -> None:
-        """Name the version in manifest ``number``; FileAlreadyExistsException if another run has it."""
-        draft, place = self._path("drafts", uuid.uuid4().hex), self._path("manifests", f"{number:012d}")
-        self._fs.mkdirs(self._path("manifests"))
-        out = self._fs.create(draft, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        self._context.rename(draft, place, self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    schemas = SCHEMAS
 
     def load(self, trails: DataFrame, segments: DataFrame, run: Run) -> str:
         """Load trails and segments of a run; returns ``loaded``, or ``unchanged`` if the ledger has the run as it is.
@@ -144,21 +104,7 @@ class Publication:
         assert_clean(refusals(trails, segments, old_trails, old_segments))
         marked = lambda df: df.withColumns({"publication_run_id": F.lit(run_id), "publication_artifact_fingerprint": F.lit(run.fingerprint)})
         runs = self.spark.createDataFrame([row], RUNS)
-        new = f"{number + 1:012d}-{uuid.uuid4().hex[:8]}"
-        self._write(new, {"trails": merge(old_trails, marked(trails), "trail_key"), "segments": merge(old_segments, marked(segments), "production_key"), "runs": merge(ledger, runs, "artifact_fingerprint").coalesce(1)})
-        self._switch(number + 1, new)
+        new = self.fresh(number + 1)
+        self.write(new, {"trails": merge(old_trails, marked(trails), "trail_key"), "segments": merge(old_segments, marked(segments), "production_key"), "runs": merge(ledger, runs, "artifact_fingerprint").coalesce(1)})
+        self.switch(number + 1, new)
         return "loaded"
-
-    def vacuum(self, keep: int = 2) -> int:
-        """Delete versions but the last ``keep`` that manifests name, and leftovers of lost runs; returns their number.
-
-        Not while a load runs: its folder has no manifest yet.
-        """
-        numbers = self.manifests()
-        named = {self.spark.read.text(f"{self.root}/manifests/{n:012d}").first()[0] for n in numbers[-keep:]}
-        gone = [s.getPath() for s in self._fs.listStatus(self._path("versions")) if s.getPath().getName() not in named]
-        for path in gone:
-            self._fs.delete(path, True)
-        for n in numbers[:-keep]:
-            self._fs.delete(self._path("manifests", f"{n:012d}"), False)
-        return len(gone)

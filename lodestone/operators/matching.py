@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import boxes_near, distance, interpolate, line_length
-from ..functions.keys import match_key
+from ..functions.keys import MATCH_VERSION, SEGMENT_VERSION, match_key
 from ..functions.numbers import round_half_up
 from .graph import checkpoint
 from .nearest import nearest
@@ -195,3 +195,31 @@ def artifact_issues(matches: DataFrame, config: MatchConfig = MatchConfig()) ->
         ("strong_below_thresholds", (F.col("classification") == "strong_candidate") & ~(is_strong(config) & F.col("strong_component").isNotNull()), about("strong below thresholds")),
     ]
     return every(issues(matches, rules), duplicates(matches, ["activity_key", "segment_key"], "duplicate_pair"))
+
+
+def reference_issues(matches: DataFrame, activities: DataFrame, segments: DataFrame, version: str | None = None) -> DataFrame:
+    """Checks of matches against what they refer to, and of the approval of the segments.
+
+    Activities are (activity_key); segments are (segment_key, segment_decision, start_decision, end_decision,
+    construction_version); ``version`` is that of the table of matches. A decision that isn't there counts as not accepted.
+    """
+    from .issues import duplicates, every, issues, unknown
+
+    about = lambda rule: F.concat(F.lit(f"{rule}:"), F.coalesce("segment_key", F.lit("")))
+    lacks = lambda c, rule: (rule, ~F.col(c).eqNullSafe(F.lit("accepted")), about(rule))
+    approval = [
+        lacks("segment_decision", "segment_not_accepted"),
+        lacks("start_decision", "start_junction_not_accepted"),
+        lacks("end_decision", "end_junction_not_accepted"),
+        ("construction_version", ~F.col("construction_version").eqNullSafe(F.lit(SEGMENT_VERSION)), about("construction_version")),
+    ]
+    stale = matches.sparkSession.range(1).where(~F.lit(version).eqNullSafe(F.lit(MATCH_VERSION))).select(F.lit("match_version").alias("rule"), F.lit("match_version").alias("message"))
+    return every(
+        issues(segments, approval),
+        duplicates(activities, ["activity_key"], "duplicate_activity"),
+        duplicates(segments, ["segment_key"], "duplicate_segment"),
+        unknown(matches, activities, ["activity_key"], "unknown_activity"),
+        unknown(matches, segments, ["segment_key"], "unknown_segment"),
+        duplicates(matches, ["activity_key", "segment_key"], "duplicate_pair"),
+        stale,
+    )

@@ -339,3 +339,15 @@ p_partkey % 5 = 0 OR p_partkey % 3 = 1 AS manually_modified, CASE WHEN p_partkey
 ORACLE_SQL["error_messages"] = """SELECT event_id, CASE event_type WHEN 'error' THEN 'That username is already taken.' WHEN 'signup' THEN 'Username does not match the required public format.'
 ELSE 'Profile update failed. Please try again.' END AS shown FROM events"""
 ORACLE_SQL["default_names"] = """SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN NULL WHEN 1 THEN left(repeat(c_name, 9), 120) ELSE c_mktsegment END AS display_name FROM customer"""
+ORACLE_SQL["stage_changes"] = """WITH u AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)
+SELECT 'u' || user_id AS key, CASE WHEN user_id % 13 = 5 THEN 'added' ELSE 'changed' END AS change FROM u WHERE user_id % 13 = 5 OR user_id % 11 = 3 AND n > 3
+UNION ALL SELECT 's' || n_nationkey, CASE WHEN n_nationkey = 3 THEN 'added' ELSE 'changed' END FROM nation WHERE n_nationkey IN (3, 4, 9)"""
+ORACLE_SQL["incremental_matches"] = f"{FULL} SELECT activity_key, segment_key, match_key, classification, samples, covered, coverage{ORACLE_SQL['classify_matches'].rpartition('blocked')[2]}"
+_PARTS = "SELECT p_partkey, p_size FROM part WHERE p_partkey % 5 <> 0"
+ORACLE_SQL["match_references"] = f"""WITH s AS ({_PARTS}), i AS (SELECT 'segment_not_accepted' AS rule, p_partkey::VARCHAR AS k FROM s WHERE p_size % 7 = 0
+UNION ALL SELECT 'start_junction_not_accepted', p_partkey::VARCHAR FROM s WHERE p_size % 11 = 0 UNION ALL SELECT 'end_junction_not_accepted', p_partkey::VARCHAR FROM s WHERE p_size % 13 = 0
+UNION ALL SELECT 'construction_version', p_partkey::VARCHAR FROM s WHERE p_size >= 45
+UNION ALL SELECT 'unknown_activity', l_orderkey::VARCHAR FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)
+UNION ALL SELECT 'unknown_segment', l_partkey::VARCHAR FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM s)
+UNION ALL SELECT 'duplicate_pair', l_orderkey || '|' || l_partkey FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(*) > 1)
+SELECT rule, rule || ':' || k AS message, count(*) AS n FROM i GROUP BY ALL"""

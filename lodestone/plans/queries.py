@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, keys, names, nested
 from ..functions.numbers import lenient_number, number_text, round_half_up
-from ..operators import cleaning, decisions, history, issues, load, matching, publication, reconcile, serving, topology, traces, workspace
+from ..operators import cleaning, decisions, history, issues, load, matching, publication, reconcile, serving, stages, topology, traces, workspace
+from ..operators.graph import checkpoint
 from ..operators.publication import VERIFIED
 from . import inputs as I  # noqa: E741
 
@@ -670,3 +671,41 @@ def default_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = I.table(spark, sf_dir, "customer")
     full = F.when(F.col("c_nationkey") % 3 == 0, " ").when(F.col("c_nationkey") % 3 == 1, F.concat(F.lit("  "), F.repeat("c_name", 9)))
     return c.select("c_custkey", workspace.default_name(full, F.col("c_mktsegment")).alias("display_name"))
+
+
+def _before(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Points and segments of an earlier day: some users are missing, some have fewer points, a nation is missing and some lie elsewhere."""
+    user = F.substring("activity_key", 2, 20).cast("long")
+    p = I.trace_points(spark, sf_dir).where((user % 13 != 5) & ~((user % 11 == 3) & (F.col("point_idx") > 3)))
+    s = I.segments(spark, sf_dir).where("segment_key <> 's3'")
+    away = F.transform("line", lambda p: geo.point(p["lon"] + 0.002, p["lat"]))
+    return p, s.withColumn("line", F.when(F.col("segment_key").isin("s4", "s9"), away).otherwise(F.col("line")))
+
+
+@query
+def stage_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, s = _before(spark, sf_dir)
+    a = stages.changes(stages.activity_prints(p), stages.activity_prints(I.trace_points(spark, sf_dir)), "activity_key")
+    b = stages.changes(stages.segment_prints(s), stages.segment_prints(I.segments(spark, sf_dir)), "segment_key")
+    return a.withColumnRenamed("activity_key", "key").unionByName(b.withColumnRenamed("segment_key", "key"))
+
+
+@query
+def incremental_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches of now from those of an earlier day and what changed since."""
+    old_p, old_s = _before(spark, sf_dir)
+    p, s = I.trace_points(spark, sf_dir), I.segments(spark, sf_dir)
+    a = checkpoint(stages.changes(stages.activity_prints(old_p), stages.activity_prints(p), "activity_key"))
+    b = checkpoint(stages.changes(stages.segment_prints(old_s), stages.segment_prints(s), "segment_key"))
+    m = stages.rematch(p, s, checkpoint(matching.match(old_p, old_s)), a, b)
+    return m.select("activity_key", "segment_key", "match_key", "classification", "samples", "covered", "coverage")
+
+
+@query
+def match_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as matches of every second order with parts, whose decisions come from their size; issues by rule."""
+    a = I.table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("activity_key"))
+    said = lambda n: F.when(F.col("p_size") % n != 0, "accepted")
+    s = I.table(spark, sf_dir, "part").where("p_partkey % 5 <> 0").select(F.col("p_partkey").cast("string").alias("segment_key"), said(7).alias("segment_decision"), said(11).alias("start_decision"), said(13).alias("end_decision"), F.when(F.col("p_size") < 45, keys.SEGMENT_VERSION).alias("construction_version"))
+    m = I.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("activity_key"), F.col("l_partkey").cast("string").alias("segment_key"))
+    return matching.reference_issues(m, a, s, keys.MATCH_VERSION).groupBy("rule", "message").agg(F.count("*").alias("n"))

@@ -87,7 +87,7 @@ def test_demo_runs_and_runs_without_fingerprint_are_refused(spark, store):
 
 
 def test_a_lost_run_leaves_no_trace_and_is_taken_up(spark, store, monkeypatch):
-    monkeypatch.setattr(Publication, "_switch", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    monkeypatch.setattr(Publication, "switch", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
     with pytest.raises(RuntimeError, match="lost"):
         load(spark, store, [trail("t3")], [], Run("f3", "v1"))
     assert keys(store.read("trails"), "trail_key") == ["t1", "t2"]
@@ -100,9 +100,9 @@ def test_a_lost_run_leaves_no_trace_and_is_taken_up(spark, store, monkeypatch):
 
 def test_of_two_runs_at_once_one_wins(spark, store):
     number, version = store.version()
-    store._switch(number + 1, version)
+    store.switch(number + 1, version)
     with pytest.raises(Exception, match="exist"):
-        store._switch(number + 1, version)
+        store.switch(number + 1, version)
 
 
 def test_plan_tells_nulls_apart(spark):
