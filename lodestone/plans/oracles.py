@@ -351,3 +351,7 @@ UNION ALL SELECT 'unknown_activity', l_orderkey::VARCHAR FROM lineitem WHERE l_o
 UNION ALL SELECT 'unknown_segment', l_partkey::VARCHAR FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM s)
 UNION ALL SELECT 'duplicate_pair', l_orderkey || '|' || l_partkey FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(*) > 1)
 SELECT rule, rule || ':' || k AS message, count(*) AS n FROM i GROUP BY ALL"""
+_NAMED = "CASE WHEN p_partkey % 5 <> 0 THEN p_name END"
+ORACLE_SQL["paged_features"] = f"SELECT p_partkey + 1 AS source_index, p_partkey::VARCHAR AS id, {_NAMED} AS trail_name, p_size::DOUBLE AS gis_miles, p_size::DOUBLE AS x1, 45.5e0 AS y2 FROM part WHERE p_partkey % 17 <> 0 AND p_size BETWEEN 9 AND 30"
+ORACLE_SQL["staging_summary"] = f"""SELECT count(*) FILTER (ok) AS features, count(n) FILTER (ok) AS named, count(*) FILTER (ok AND n IS NULL) AS unnamed, count(DISTINCT n) FILTER (ok) AS unique_names,
+sum(p_size) FILTER (ok)::DOUBLE AS gis_miles, count(*) FILTER (NOT ok) AS skipped FROM (SELECT p_size, {_NAMED} AS n, p_partkey % 17 <> 0 AS ok FROM part)"""

@@ -12,6 +12,7 @@ from ..functions.numbers import lenient_number, number_text, round_half_up
 from ..operators import cleaning, decisions, history, issues, load, matching, publication, reconcile, serving, stages, topology, traces, workspace
 from ..operators.graph import checkpoint
 from ..operators.publication import VERIFIED
+from ..sources import pages
 from . import inputs as I  # noqa: E741
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -709,3 +710,26 @@ def match_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = I.table(spark, sf_dir, "part").where("p_partkey % 5 <> 0").select(F.col("p_partkey").cast("string").alias("segment_key"), said(7).alias("segment_decision"), said(11).alias("start_decision"), said(13).alias("end_decision"), F.when(F.col("p_size") < 45, keys.SEGMENT_VERSION).alias("construction_version"))
     m = I.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("activity_key"), F.col("l_partkey").cast("string").alias("segment_key"))
     return matching.reference_issues(m, a, s, keys.MATCH_VERSION).groupBy("rule", "message").agg(F.count("*").alias("n"))
+
+
+def _pages(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """Parts as features, in pages of ``size`` bodies; every 17th is a point."""
+    t = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    k, x = F.col("p_partkey"), F.col("p_size")
+    shape = F.when(k % 17 == 0, '{"type": "Point", "coordinates": [1, 2]}').otherwise(t('{"type": "LineString", "coordinates": [[', x, ", 44], [", x + 1, ", 45.5]]}"))
+    body = t('{"id": ', k, ', "properties": {"objectid": ', k, ', "trail_name": "', F.when(k % 5 == 0, " ").otherwise(F.col("p_name")), '", "gis_miles": ', x, '}, "geometry": ', shape, "}")
+    p = I.table(spark, sf_dir, "part").select(F.expr(f"p_partkey div {size} * {size}").alias("page_offset"), F.struct(k.alias("k"), body.alias("f")).alias("x"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda y: y["f"]), ",")
+    return p.groupBy("page_offset").agg(t('{"features": [', listed, '], "exceededTransferLimit": true}').alias("body"))
+
+
+@query
+def paged_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, _, _ = pages.paged_features(_pages(spark, sf_dir, 48), 48, (10.0, 40.0, 30.5, 50.0))
+    return f.select(F.col("source_index").cast("long").alias("source_index"), "id", "trail_name", "gis_miles", "x1", "y2")
+
+
+@query
+def staging_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, s, _ = pages.paged_features(_pages(spark, sf_dir, 48), 48)
+    return pages.staging_summary(f, s)

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.geo import LINE, bbox
 from ..functions.keys import activity_key
 from ..functions.names import first_text, safe_filename
 from ..functions.numbers import lenient_number
 
+#: Features of a collection; properties and coordinates stay JSON text.
+FEATURES = "array<struct<id:string,properties:string,geometry:struct<type:string,coordinates:string>>>"
 INVENTORY = "item_key string, name string, region_hint string, notes string"
 GPX = "struct<metadata:struct<name:string>,trk:array<struct<name:string,trkseg:array<struct<trkpt:array<struct<_lon:string,_lat:string,ele:string,time:string>>>>>>>"
 
@@ -36,8 +35,12 @@ def inventory_csv(spark: SparkSession, path: str) -> DataFrame:
 def geojson_features(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(features with components and box, skipped with the reason): lines with two numeric points or more in every part."""
     text = spark.read.text(path, wholetext=True)
-    head = "struct<features:array<struct<id:string,properties:string,geometry:struct<type:string,coordinates:string>>>>"
-    f = text.select(F.posexplode(F.from_json("value", head)["features"]).alias("source_index", "f"))
+    found = text.select(F.posexplode(F.from_json("value", f"struct<features:{FEATURES}>")["features"]).alias("source_index", "f"))
+    return decode_features(found.withColumn("source_index", F.col("source_index") + 1))
+
+
+def decode_features(f: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``geojson_features`` of rows (source_index, f), f being an element of FEATURES."""
     one, many = F.from_json(F.col("f.geometry.coordinates"), "array<array<double>>"), F.from_json(F.col("f.geometry.coordinates"), "array<array<array<double>>>")
     kind = F.col("f.geometry.type")
     parts = F.when(kind == "LineString", F.array(one)).when(kind == "MultiLineString", many)
@@ -45,7 +48,7 @@ def geojson_features(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     prop = lambda n: F.coalesce(F.get_json_object(p, f"$.{n}"), F.get_json_object(p, f"$.{n.upper()}"))
     sound = F.coalesce((F.size("parts") > 0) & F.forall("parts", lambda c: (F.size(c) >= 2) & F.forall(c, lambda q: (F.size(q) >= 2) & q[0].isNotNull() & q[1].isNotNull())), F.lit(False))
     reason = F.when(~F.coalesce(kind.isin("LineString", "MultiLineString"), F.lit(False)), "Unsupported geometry").when(~sound, "Invalid coordinates")
-    rows = f.select((F.col("source_index") + 1).alias("source_index"), first_text(prop("objectid"), F.col("f.id")).alias("id"), first_text(prop("trail_name")).alias("trail_name"), lenient_number(prop("segment_length")).alias("segment_length"), lenient_number(prop("gis_miles")).alias("gis_miles"), F.col("f.properties").alias("properties"), parts.alias("parts"), F.col("f"), kind.alias("kind")).withColumn("reason", reason)
+    rows = f.select("source_index", first_text(prop("objectid"), F.col("f.id")).alias("id"), first_text(prop("trail_name")).alias("trail_name"), lenient_number(prop("segment_length")).alias("segment_length"), lenient_number(prop("gis_miles")).alias("gis_miles"), F.col("f.properties").alias("properties"), parts.alias("parts"), F.col("f"), kind.alias("kind")).withColumn("reason", reason)
     line = F.transform("parts", lambda c: F.transform(c, lambda q: F.struct(q[0].alias("lon"), q[1].alias("lat"))))
     good = rows.where("reason is null").withColumn("components", line).withColumn("box", bbox(F.flatten("components")))
     return good.select("source_index", "id", "trail_name", "segment_length", "gis_miles", "properties", "components", "box.x1", "box.y1", "box.x2", "box.y2"), rows.where("reason is not null").select("source_index", "id", "kind", "reason")
@@ -116,40 +119,4 @@ def stage(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
     return df.select(want)
 
 
-class PagedSource(DataSource):
-    """Pages of a remote list, one partition for each: options path (a folder of page-N.json), pages.
-
-    A page is a JSON array of objects with id and name; a missing page is empty. Register with
-    spark.dataSource.register(PagedSource).
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged"
-
-    def schema(self) -> str:
-        return "page int, id string, name string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Pages(self.options)
-
-
-class _Pages(DataSourceReader):
-    def __init__(self, options) -> None:
-        self.path, self.pages = options["path"], int(options.get("pages", "1"))
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(i) for i in range(self.pages)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import json
-        import os
-
-        name = f"{self.path}/page-{partition.value}.json"
-        if os.path.exists(name):
-            with open(name) as f:
-                for x in json.load(f):
-                    yield partition.value, str(x["id"]), x.get("name")
-
-
-__all__ = ["INVENTORY", "LINE", "PagedSource", "activity_folder", "geojson_features", "gpx_activities", "inventory_csv", "json_activities", "stage", "trace_points"]
+__all__ = ["INVENTORY", "LINE", "activity_folder", "decode_features", "geojson_features", "gpx_activities", "inventory_csv", "json_activities", "stage", "trace_points"]
