@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, read
+from .common import checkpoint, connected_components, read, write_shared
 
 #: Cosine from which vectors link; blocks of the product code and words in each, which make WORDS ** BLOCKS filters.
 COSINE, BLOCKS, WORDS = 0.93, 2, 256
@@ -203,34 +203,37 @@ def links(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, word
     """(classes, counts, edges) of the vectors that link.
 
     A class goes to every filter whose cap (of ``cap`` or cap_for) holds its rotated vector, and to its ``least``
-    nearest; vectors of equal label and dimension meet in a filter, and the cosine of what meets is verified in
-    double precision. A pair counts at the first filter that both share, so no pair is counted twice and none is
+    nearest. These lists are decoded once, written with the vectors to the shared folder and carried in the rows, so
+    that counting and comparing read them. Vectors of equal label and dimension meet in a filter, and the cosine of
+    what meets is verified in double precision. A pair counts at the first filter that both share, so no pair is counted twice and none is
     sent anywhere: a task returns for each class how many rows it links to, and of the links a spanning forest.
     A filter with more than ``bucket`` classes is dealt out in blocks, and two blocks are compared at a time; the
     rows of such a filter are repeated as often as it has blocks. Filters lie sorted one after the other in a
     partition, and a task holds a few Arrow batches at once.
     """
-    rows = checkpoint(classes(vectors))
+    wide = pa.int32() if words**blocks <= 1 << 31 else pa.int64()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            e = batch.column(2).to_pylist()
-            for dims in sorted({len(v) for v in e}):
-                at = np.array([i for i, v in enumerate(e) if len(v) == dims])
+            flat, size = batch.column(2).flatten().to_numpy(), batch.column(2).value_lengths().to_numpy()
+            start = np.cumsum(size) - size
+            for dims in np.unique(size).tolist():
+                at = np.flatnonzero(size == dims)
                 for k in range(0, len(at), STEP):
                     some = at[k : k + STEP]
-                    raw = np.array([e[i] for i in some], float)
+                    raw = flat[start[some, None] + np.arange(dims)]
                     keys = filters(unit_rows(raw), blocks, words, cap, least)
-                    rep = np.repeat(np.arange(len(some)), [len(f) for f in keys])
-                    unit = [v.tobytes() for v in (raw.astype(np.float32) if np.array_equal(raw.astype(np.float32).astype(float), raw) else raw)]
-                    pick = pa.array(some[rep])
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pick), batch.column(1).take(pick), batch.column(3).take(pick), pa.array(np.full(len(rep), dims, np.int32)), pa.array(np.concatenate(keys).astype(np.int64)), pa.array([unit[i] for i in rep], pa.binary())],
-                        ["class", "label", "n", "dims", "key", "vector"],
-                    )
-
-    kind = vectors.schema["label"].dataType.simpleString()
-    caps = rows.select("class", "label", "e", "n").mapInArrow(spread, f"class long, label {kind}, n long, dims int, key long, vector binary")
+                    ends = np.cumsum([0] + [len(f) for f in keys]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)).cast(wide))
+                    single = raw.astype(np.float32)
+                    unit = pa.array([v.tobytes() for v in (single if np.array_equal(single.astype(float), raw) else raw)], pa.binary())
+                    own = [batch.column(c).take(pa.array(some)) for c in (0, 1, 3, 4)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(some), dims, np.int32)), lists, unit], ["class", "label", "n", "least", "dims", "keys", "vector"])
+
+    kind, id_ = (vectors.schema[c].dataType.simpleString() for c in ("label", "vec_id"))
+    listed = f"class long, label {kind}, n long, least {id_}, dims int, keys array<{'int' if wide == pa.int32() else 'bigint'}>, vector binary"
+    rows = write_shared(classes(vectors).select("class", "label", "e", "n", "least").mapInArrow(spread, listed))
+    caps = rows.withColumn("key", F.explode("keys"))
     hot = checkpoint(caps.groupBy("label", "dims", "key").agg(F.count("*").alias("size")).where(F.col("size") > bucket))
     few = hot.limit(100_001).count() <= 100_000  # rows of four numbers each
     dealt = caps.join(F.broadcast(hot) if few else hot, ["label", "dims", "key"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("size") / bucket), F.lit(1)).cast("int"))
@@ -238,7 +241,7 @@ def links(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, word
     # part p meets q in the pair (p, q) with p <= q
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(F.col("part"), q).alias("p"), F.greatest(F.col("part"), q).alias("q")))
     run = ["dims", "key", "p", "q"]
-    dealt = dealt.withColumn("pair", F.explode(pair)).select("label", "dims", "key", "pair.p", "pair.q", "part", "class", "n", "vector")
+    dealt = dealt.withColumn("pair", F.explode(pair)).select("label", "dims", "key", "pair.p", "pair.q", "part", "class", "n", "keys", "vector")
     sorted_ = dealt.repartition("label", *run).sortWithinPartitions("label", *run, "class")
 
     def compare(table: pa.Table) -> pa.RecordBatch | None:
@@ -253,8 +256,10 @@ def links(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, word
         i, j = close_pairs(x, bounds(table), part, p, q, cosine)
         if not len(i):
             return None
-        some = np.unique(np.concatenate([i, j]))
-        lists = dict(zip(some.tolist(), filters(x[some], blocks, words, cap, least), strict=True))
+        own = table["keys"].combine_chunks()
+        size, flat = own.value_lengths().to_numpy(), own.flatten().to_numpy()
+        end = np.cumsum(size)
+        lists = {r: flat[end[r] - size[r] : end[r]] for r in np.unique(np.concatenate([i, j])).tolist()}
         first = at_first_filter(i, j, key[i], lists)
         i, j = i[first], j[first]
         names, of = np.unique(ids, return_inverse=True)
