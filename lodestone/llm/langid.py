@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, held_out, read
+from .common import checkpoint, held_out, read, write_shared
 from .linear import Row, fit_hinge
 
 BITS = 15
@@ -99,7 +99,8 @@ def fit_languages(docs: DataFrame, families: Mapping[str, str] = FAMILIES, fit_r
     Every value of lang is learned. The SVMs are fitted on the rows of least doc_id hash of each language, at most
     ``fit_rows`` a language and about ``all_rows`` in all: with many languages each gives fewer, ten at least.
     Languages that ``families`` doesn't name form one family; a family of over ``family`` languages is parted by
-    likeness, so that the pairs to fit grow in proportion to the languages. Rows that repeat a doc_id count once a
+    likeness, so that the pairs to fit grow in proportion to the languages. The sample is written to the shared folder,
+    each SVM is fitted in a task of its own, and weights alone come to the driver. Rows that repeat a doc_id count once a
     language. Without labelled rows every prediction is und.
     """
     may = docs.where(F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -117,30 +118,64 @@ def fit_languages(docs: DataFrame, families: Mapping[str, str] = FAMILIES, fit_r
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.astype(np.uint16).tobytes() for i, _ in x], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in x], pa.binary())], ["doc_id", "lang", "ids", "v"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = few.select("doc_id", "lang", "text").mapInArrow(extract, f"doc_id {kind}, lang string, ids binary, v binary").toPandas().sort_values(["doc_id", "lang"])
-    x: list[Row] = [(np.frombuffer(i, np.uint16).astype(np.int64), np.frombuffer(v, np.float32).astype(float)) for i, v in zip(sample.ids, sample.v, strict=True)]
-    lang = sample.lang.to_numpy()
+    sample = write_shared(few.select("doc_id", "lang", "text").mapInArrow(extract, f"doc_id {kind}, lang string, ids binary, v binary"))
     known: dict[str, list[str]] = defaultdict(list)
-    for a in sorted(set(lang)):
+    for a in sorted(r.lang for r in sample.select("lang").distinct().collect()):
         known[families.get(a, "other")].append(a)
-    centres: dict[str, np.ndarray] = {}
-    for f in (f for f, names in known.items() if len(names) > family):
-        for a in known[f]:
-            centre = np.zeros(DIMS)
-            for k in np.flatnonzero(lang == a):
-                centre[x[k][0]] += x[k][1]
-            centres[a] = (centre / (np.sqrt(centre @ centre) or 1.0)).astype(np.float32)
-    names = part_families(known, centres, family)
-    family_of = {a: f for f, all_ in names.items() for a in all_}
-    of = np.array([family_of[a] for a in lang], object)
+    crowded = [a for names in known.values() if len(names) > family for a in names]
+    names = part_families(known, language_centres(sample.where(F.col("lang").isin(crowded))) if crowded else {}, family)
     order = sorted(names)
-    family_w = np.array([fit_hinge(x, np.where(of == f, 1.0, -1.0), DIMS, c=4.0) if len(order) > 1 else np.append(np.zeros(DIMS), 1.0) for f in order]).reshape(len(order), DIMS + 1)
+    # fits by number: the families against all others, if there are two or more, then the pairs of each family
+    duels = [(f, i, j) for f in order for i, j in combinations(range(len(names[f])), 2)]
+    one_family = len(order) == 1
+    signs = [] if one_family else [(k, a, 1.0 if f == g else -1.0) for k, f in enumerate(order) for g in order for a in names[g]]
+    for k, (f, i, j) in enumerate(duels, len(order)):
+        signs += [(k, names[f][i], 1.0), (k, names[f][j], -1.0)]
+    w = fit_all(sample, signs)
+    family_w = np.array([np.append(np.zeros(DIMS), 1.0) if one_family else w[k] for k in range(len(order))], np.float32).reshape(len(order), DIMS + 1)
     pairs: dict[str, list[tuple[int, int, np.ndarray]]] = {f: [] for f in order}
-    for f in order:
-        for (i, a), (j, b) in combinations(enumerate(names[f]), 2):
-            own = np.flatnonzero((lang == a) | (lang == b))
-            pairs[f].append((i, j, fit_hinge([x[k] for k in own], np.where(lang[own] == a, 1.0, -1.0), DIMS, c=4.0)))
-    return LanguageModel(order, dict(names), family_w.astype(np.float32), {f: [(i, j, w.astype(np.float32)) for i, j, w in p] for f, p in pairs.items()})
+    for k, (f, i, j) in enumerate(duels, len(order)):
+        pairs[f].append((i, j, w[k]))
+    return LanguageModel(order, dict(names), family_w, pairs)
+
+
+def _rows(table: pa.Table) -> list[Row]:
+    """The feature rows of a table, as views of its buffers."""
+    ids, v = table["ids"].combine_chunks(), table["v"].combine_chunks()
+    return [(np.frombuffer(i.as_buffer(), np.uint16), np.frombuffer(x.as_buffer(), np.float32)) for i, x in zip(ids, v, strict=True)]
+
+
+def language_centres(sample: DataFrame) -> dict[str, np.ndarray]:
+    """The mean direction of each language's rows (lang, doc_id, ids, v): 2^15 numbers a language come to the driver, no rows."""
+
+    def centre(table: pa.Table) -> pa.Table:
+        total = np.zeros(DIMS)
+        for ids, v in _rows(table.sort_by("doc_id")):
+            total[ids] += v
+        return pa.table({"lang": table["lang"].slice(0, 1), "centre": [(total / (np.sqrt(total @ total) or 1.0)).astype(np.float32).tobytes()]})
+
+    got = sample.groupBy("lang").applyInArrow(centre, "lang string, centre binary").collect()
+    return {r.lang: np.frombuffer(r.centre, np.float32) for r in got}
+
+
+def fit_all(sample: DataFrame, signs: list[tuple[int, str, float]]) -> dict[int, np.ndarray]:
+    """Weights of each fit in ``signs`` (fit, lang, sign): every fit is a task that holds the bounded rows of its languages.
+
+    ``signs`` has a row for each fit and language of it, and only weights come to the driver.
+    """
+    if not signs:
+        return {}
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+        w = fit_hinge(_rows(table), table["sign"].to_numpy(), DIMS, c=4.0)
+        return pa.table({"fit": table["fit"].slice(0, 1), "w": [w.astype(np.float32).tobytes()]})
+
+    of = sample.sparkSession.createDataFrame(signs, "fit int, lang string, sign double")
+    # a number of partitions of its own, as adaptive execution would put fits together by their bytes
+    tasks = sample.join(F.broadcast(of), "lang").repartition(min(signs[-1][0] + 1, 2000), "fit")
+    got = tasks.groupBy("fit").applyInArrow(fit, "fit int, w binary").collect()
+    return {r.fit: np.frombuffer(r.w, np.float32) for r in got}
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
