@@ -355,3 +355,8 @@ _NAMED = "CASE WHEN p_partkey % 5 <> 0 THEN p_name END"
 ORACLE_SQL["paged_features"] = f"SELECT p_partkey + 1 AS source_index, p_partkey::VARCHAR AS id, {_NAMED} AS trail_name, p_size::DOUBLE AS gis_miles, p_size::DOUBLE AS x1, 45.5e0 AS y2 FROM part WHERE p_partkey % 17 <> 0 AND p_size BETWEEN 9 AND 30"
 ORACLE_SQL["staging_summary"] = f"""SELECT count(*) FILTER (ok) AS features, count(n) FILTER (ok) AS named, count(*) FILTER (ok AND n IS NULL) AS unnamed, count(DISTINCT n) FILTER (ok) AS unique_names,
 sum(p_size) FILTER (ok)::DOUBLE AS gis_miles, count(*) FILTER (NOT ok) AS skipped FROM (SELECT p_size, {_NAMED} AS n, p_partkey % 17 <> 0 AS ok FROM part)"""
+#: The damage to published segments that remainders 0, 1, ... by 64 stand for, by the rule that finds it.
+_BROKEN = """data_status verification_status completed trail_trail_name trail_region candidate_provider candidate_ids candidate_miles candidate_line
+production_key_unstable provenance_item_key provenance_start_key provenance_end_key provenance_version provenance_lineage source_metres
+source_modification decision_differs trail_decision_differs upstream_start_not_accepted upstream_end_target""".split()
+ORACLE_SQL["network_issues"] = "SELECT 'segment_' || rule AS rule, 'segment_' || rule || ':' || p_partkey AS message FROM part JOIN (VALUES " + ", ".join(f"({k}, '{r}')" for k, r in enumerate(_BROKEN)) + ") d(k, rule) ON p_partkey % 64 = k"

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, keys, names, nested
 from ..functions.numbers import lenient_number, number_text, round_half_up
-from ..operators import cleaning, decisions, history, issues, load, matching, publication, reconcile, serving, stages, topology, traces, workspace
+from ..operators import cleaning, decisions, history, issues, load, matching, network, publication, reconcile, serving, stages, topology, traces, workspace
 from ..operators.graph import checkpoint
 from ..operators.publication import VERIFIED
 from ..sources import pages
@@ -733,3 +734,82 @@ def paged_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def staging_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, s, _ = pages.paged_features(_pages(spark, sf_dir, 48), 48)
     return pages.staging_summary(f, s)
+
+
+def damage() -> list[tuple[str, str, Column]]:
+    """(rule that must fire, column, damaged value): number k of the list hits segments whose key has remainder k by 64."""
+    p = F.col("provenance")
+    inside = lambda part, field, to: ("provenance", p.withField(part, p[part].withField(field, to)))
+    return [
+        ("segment_data_status", "data_status", F.lit("demo")),
+        ("segment_verification_status", "verification_status", F.lit("raw_source")),
+        ("segment_completed", "completed", F.lit(True)),
+        ("segment_trail_trail_name", "trail_name", F.lit("another")),
+        ("segment_trail_region", "region", F.lit("Sandwich Range")),
+        ("segment_candidate_provider", "provider", F.lit("another")),
+        ("segment_candidate_ids", "ids", F.array(F.lit("0"))),
+        ("segment_candidate_miles", "miles", F.col("miles") + 0.5),
+        ("segment_candidate_line", "line", F.reverse("line")),
+        ("segment_production_key_unstable", "production_key", F.concat("production_key", F.lit("0"))),
+        ("segment_provenance_item_key", "provenance", p.withField("item_key", F.lit("another"))),
+        ("segment_provenance_start_key", "provenance", p.withField("start_key", F.lit("another"))),
+        ("segment_provenance_end_key", "provenance", p.withField("end_key", F.lit(None).cast("string"))),
+        ("segment_provenance_version", "provenance", p.withField("version", F.lit("old"))),
+        ("segment_provenance_lineage", "provenance", p.withField("lineage", F.lit("{}"))),
+        ("segment_source_metres", *inside("source", "metres", p["source"]["metres"] + 1)),
+        ("segment_source_modification", *inside("source", "modification", F.lit("moved"))),
+        ("segment_decision_differs", *inside("decision", "notes", F.lit("changed"))),
+        ("segment_trail_decision_differs", *inside("trail_decision", "notes", F.lit("changed"))),
+        ("segment_upstream_start_not_accepted", *inside("upstream", "start", p["upstream"]["start"].withField("decision", F.lit("rejected")))),
+        ("segment_upstream_end_target", *inside("upstream", "end", p["upstream"]["end"].withField("target_key", F.lit("another")))),
+    ]
+
+
+def clean_network(spark: SparkSession, sf_dir: str) -> network.Network:
+    """Parts as verified segments, four to a trail, with nothing wrong; the segments are cut from their lineage."""
+    artifact = F.struct(F.lit("2024-01-01T00:00:00Z").alias("generated_at"), F.lit(True).alias("demo_only"), F.lit(keys.SEGMENT_VERSION).alias("algorithm_version"))
+    p = I.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("segment_key"),
+        F.concat(F.lit("item"), F.floor(F.col("p_partkey") / 4)).alias("item_key"),
+        F.lit("ridge").alias("normalized"),
+        F.lit("Ridge").alias("display_name"),
+        F.lit("survey").alias("provider"),
+        F.array(F.col("p_partkey").cast("string"), F.lit("s")).alias("ids"),
+        F.concat(F.lit("a"), F.col("p_partkey")).alias("start_key"),
+        F.concat(F.lit("b"), F.col("p_partkey")).alias("end_key"),
+        F.array(geo.point(F.lit(-71.0), 44 + F.col("p_size") * 0.01), geo.point(-71.1 - F.col("p_partkey") * 1e-7, 44 + F.col("p_size") * 0.01)).alias("line"),
+        (F.col("p_size") * 0.25).alias("miles"),
+        (F.col("p_size") * 0.25 * 1609.344).alias("metres"),
+        F.to_json(F.struct(F.col("p_brand").alias("brand"))).alias("lineage"),
+        F.lit("none").alias("modification"),
+    )
+    p = p.withColumn("candidate_trail_key", keys.candidate_trail_key(F.col("item_key"), F.col("normalized"))).withColumn("trail_key", keys.trail_key(F.col("candidate_trail_key")))
+    built = ("segment_key", "display_name", "item_key", "normalized", "provider", "ids", "start_key", "end_key", "line", "miles", "metres", "lineage", "modification")
+    p = p.withColumns({"artifact": artifact, "source": F.struct(*built), "version": F.lit(keys.SEGMENT_VERSION), "region": F.lit("Other")})
+    p = checkpoint(p)
+    decision = lambda kind, key: F.struct(F.lit(kind).alias("target_type"), F.col(key).alias("target_key"), F.lit(VERIFIED).alias("decision"), F.lit("2024-02-01T00:00:00Z").alias("review_timestamp"), F.lit(None).cast("string").alias("notes"))
+    trail = p.groupBy("candidate_trail_key", "trail_key", "item_key", "normalized", "display_name", "provider", "region").agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"), F.sort_array(F.collect_list("segment_key")).alias("segment_keys"), F.sum("miles").alias("miles"))
+    accepted = lambda kind, key, name: F.struct(F.lit(kind).alias("target_type"), F.col(key).alias("target_key"), F.lit("accepted").alias("decision")).alias(name)
+    own = F.struct("segment_key", "candidate_trail_key", "item_key", "start_key", "end_key", "version", "artifact", "source", "lineage", decision("segment", "segment_key").alias("decision"), decision("trail", "candidate_trail_key").alias("trail_decision"), F.struct(accepted("segment", "segment_key", "segment"), accepted("junction", "start_key", "start"), accepted("junction", "end_key", "end")).alias("upstream"))
+    status = [F.lit("verified").alias("data_status"), F.lit("human_verified").alias("verification_status")]
+    header = spark.range(1).select(F.lit(network.NETWORK_VERSION).alias("algorithm_version"), F.lit(keys.TRAIL_KEY_VERSION).alias("trail_key_version"), F.lit(keys.SEGMENT_KEY_VERSION).alias("segment_key_version"), F.lit(True).alias("demo_only"), artifact.alias("source"), artifact.alias("decision_source"))
+    return network.Network(
+        header,
+        trail.drop("trail_key"),
+        p.drop("trail_key", "region"),
+        trail.select("candidate_trail_key", "display_name", "region"),
+        p.select(decision("segment", "segment_key").alias("d")).unionByName(trail.select(decision("trail", "candidate_trail_key").alias("d"))).select("d.*"),
+        trail.select(keys.stable_uuid(F.col("trail_key")).alias("trail_id"), "trail_key", F.concat(F.lit("ridge-"), "trail_key").alias("slug"), F.col("display_name").alias("name"), "region", "normalized", *status, "ids", "miles", F.struct("candidate_trail_key", "item_key", "provider", "segment_keys", decision("trail", "candidate_trail_key").alias("decision")).alias("provenance")),
+        checkpoint(p.select(F.col("segment_key").alias("segment_id"), publication.segment_key(F.col("trail_key"), F.col("line")).alias("production_key"), F.concat(F.lit("ridge-"), "segment_key").alias("slug"), keys.stable_uuid(F.col("trail_key")).alias("trail_id"), "trail_key", F.col("display_name").alias("trail_name"), "region", *status, F.lit(False).alias("completed"), "provider", "ids", "line", "miles", own.alias("provenance"))),
+    )
+
+
+@query
+def network_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as published segments, a third of them damaged in one place each."""
+    n = clean_network(spark, sf_dir)
+    changed: dict[str, Column] = {}
+    for k, (_, column, to) in enumerate(damage()):
+        changed[column] = changed.get(column, F).when(F.col("segment_id").cast("bigint") % 64 == k, to)
+    # one choice a column, so that no damage nests in another
+    return network.network_issues(replace(n, segments=n.segments.withColumns({c: x.otherwise(F.col(c)) for c, x in changed.items()})))
