@@ -97,13 +97,15 @@ def referenced_groups(groups: DataFrame, found: DataFrame) -> DataFrame:
 def accepted_sources(decisions: DataFrame, items: DataFrame, found: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted sources, issues) of decisions (item_key, selected, selected_ids, decision).
 
-    An accepted decision must name an item, one of its candidates, its group, and exactly the group's ids.
+    An accepted decision must name an item, one of its candidates, its group, and exactly the group's ids. Where
+    ``found`` carries the ids that a candidate was found with, they must be the group's too.
     """
     same = lambda a, b: F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+    candidate_ids = F.col("ids") if "ids" in found.columns else F.lit(None).cast("array<string>")
     d = (
         decisions.where("decision = 'accepted'")
         .join(items.select("item_key", F.lit(True).alias("has_item")), "item_key", "left")
-        .join(found.select("item_key", F.col("normalized").alias("selected"), F.lit(True).alias("has_candidate")), ["item_key", "selected"], "left")
+        .join(found.select("item_key", F.col("normalized").alias("selected"), F.lit(True).alias("has_candidate"), candidate_ids.alias("candidate_ids")), ["item_key", "selected"], "left")
         .join(groups.select(F.col("normalized").alias("selected"), "display_name", "ids"), "selected", "left")
     )
     about = F.col("item_key").cast("string")
@@ -112,6 +114,7 @@ def accepted_sources(decisions: DataFrame, items: DataFrame, found: DataFrame, g
         .when(F.coalesce(F.trim("selected"), F.lit("")) == "", F.concat(F.lit("candidate name required:"), about))
         .when(F.col("has_candidate").isNull(), F.concat(F.lit("candidate not found:"), about))
         .when(F.col("ids").isNull(), F.concat(F.lit("group not found:"), about))
+        .when(F.col("candidate_ids").isNotNull() & ~same(F.col("candidate_ids"), F.col("ids")), F.concat(F.lit("candidate and group ids disagree:"), about))
         .when(~same(F.col("ids"), F.col("selected_ids")), F.concat(F.lit("selected ids must match exactly:"), about))
     )
     d = d.withColumn("wrong", wrong)

@@ -360,3 +360,5 @@ _BROKEN = """data_status verification_status completed trail_trail_name trail_re
 production_key_unstable provenance_item_key provenance_start_key provenance_end_key provenance_version provenance_lineage source_metres
 source_modification decision_differs trail_decision_differs upstream_start_not_accepted upstream_end_target""".split()
 ORACLE_SQL["network_issues"] = "SELECT 'segment_' || rule AS rule, 'segment_' || rule || ':' || p_partkey AS message FROM part JOIN (VALUES " + ", ".join(f"({k}, '{r}')" for k, r in enumerate(_BROKEN)) + ") d(k, rule) ON p_partkey % 64 = k"
+ORACLE_SQL["guarded_decisions"] = """SELECT o_orderkey, 'a' || o_orderkey AS "activityKey", CASE WHEN o_orderkey % 3 = 0 THEN 'accepted' ELSE 'needs_review' END AS decision, CASE WHEN o_orderkey % 5 = 1 THEN 'seen' END AS notes
+FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 13 <> 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 11 <> 0)"""

@@ -813,3 +813,15 @@ def network_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         changed[column] = changed.get(column, F).when(F.col("segment_id").cast("bigint") % 64 == k, to)
     # one choice a column, so that no damage nests in another
     return network.network_issues(replace(n, segments=n.segments.withColumns({c: x.otherwise(F.col(c)) for c, x in changed.items()})))
+
+
+@query
+def guarded_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as stored match decisions; by the key's remainder one is unreadable, has a number for a text, a null note or an unknown decision."""
+    k, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    note = F.when(k % 5 == 0, ',"notes":null').when(k % 5 == 1, ',"notes":"seen"').otherwise("")
+    key = F.when(k % 7 == 0, text).otherwise(F.concat(F.lit('"a'), text, F.lit('"')))
+    decision = F.when(k % 3 == 0, "accepted").when(k % 11 == 0, "verified_for_publication").otherwise("needs_review")
+    one = F.concat(F.lit('{"activityKey":'), key, F.lit(',"segmentKey":"s","matchKey":"m","reviewTimestamp":"t","activityMatchingAlgorithmVersion":"v","segmentConstructionAlgorithmVersion":"v","decision":"'), decision, F.lit('"'), note, F.lit("}"))
+    raw = I.table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("[1,"), one, F.when(k % 13 == 0, "").otherwise("]")).alias("raw"))
+    return decisions.guarded(raw, "match").select("o_orderkey", "activityKey", "decision", "notes")

@@ -1,9 +1,11 @@
 """Gate, roll-up, validation and load of what is published, rule by rule."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import decisions, issues, publication
+from lodestone.operators import decisions, issues, publication, reconcile
 
 POINT = "array<struct<lon:double,lat:double>>"
 CANDIDATE = f"segment_key string, item_key string, normalized string, miles double, line {POINT}, ids array<string>"
@@ -131,3 +133,63 @@ def test_lineage(spark, change, expected):
     one = lambda r: spark.createDataFrame([tuple(r.values())], kinds)
     assert rules(decisions.lineage_issues(one(row), one(row | change), "v1")) == expected
     assert "unsupported_version" in rules(decisions.lineage_issues(one(row), one(row), "v2"))
+
+
+GOOD = {
+    "reconciliation": {"inventoryItemKey": "i", "selectedSourceFeatureIds": ["1", "2"], "decision": "accepted", "reviewTimestamp": "t"},
+    "segment": {"targetType": "junction", "targetKey": "j", "decision": "rejected", "reviewTimestamp": "t"},
+    "match": {"activityKey": "a", "segmentKey": "s", "matchKey": "m", "decision": "needs_review", "reviewTimestamp": "t", "activityMatchingAlgorithmVersion": "v", "segmentConstructionAlgorithmVersion": "v"},
+    "publication": {"targetType": "trail", "targetKey": "t", "decision": V, "reviewTimestamp": "t"},
+}
+
+
+@pytest.mark.parametrize("kind", GOOD)
+def test_stored_decisions_are_guarded_by_kind(spark, kind):
+    good = GOOD[kind]
+    texts = [f for f in good if isinstance(good[f], str)]
+    bad = [*[{f: v for f, v in good.items() if f != gone} for gone in good], *[good | {f: 7} for f in texts], *[good | {f: None} for f in good], good | {"decision": "maybe"}]
+    if kind != "publication":
+        bad += [good | {"notes": None}, good | {"notes": 3}]
+    if "targetType" in good:
+        bad.append(good | {"targetType": "region"})
+    if kind == "reconciliation":
+        bad += [good | {"selectedSourceFeatureIds": ["1", 2]}, good | {"selectedSourceFeatureIds": "1"}, good | {"selectedCandidateNormalizedName": 1}]
+    more = [good | {"notes": "n"}] + ([good | {"selectedSourceFeatureIds": []}] if kind == "reconciliation" else [])
+    raw = spark.createDataFrame([(k, json.dumps(v)) for k, v in enumerate([[good, *more], bad, good, [1, "x", None, []]])] + [(9, "[{"), (10, None)], "n int, raw string")
+    got = decisions.guarded(raw, kind).collect()
+    assert [r.n for r in got] == [0] * (1 + len(more))
+    assert all(r.decision == good["decision"] for r in got)
+
+
+@pytest.mark.parametrize(
+    "change, expected",
+    [
+        ({}, []),
+        ({"algorithm_version": "p0"}, ["export_version"]),
+        ({"source": ("b", False, "v1")}, ["source_timestamp"]),
+        ({"source": ("a", False, "v0")}, ["source_version"]),
+        ({"source": ("a", None, "v1")}, ["demo_identity"]),
+        ({"source": None}, ["demo_identity", "source_timestamp", "source_version"]),
+        ({"segment_version": None}, ["segment_version"]),
+        ({"segment_generated_at": "b"}, ["segment_source"]),
+    ],
+)
+def test_lineage_of_a_publication(spark, change, expected):
+    row = {"algorithm_version": "p1", "source": ("a", False, "v1"), "segment_version": "v1", "segment_generated_at": "a"} | change
+    export = spark.createDataFrame([tuple(row.values())], "algorithm_version string, source struct<generated_at:string,demo_only:boolean,algorithm_version:string>, segment_version string, segment_generated_at string")
+    artifact = spark.createDataFrame([("a", False, "v1")], "generated_at string, demo_only boolean, algorithm_version string")
+    metadata = spark.createDataFrame([("t",)], "candidate_trail_key string")
+    check = lambda m: rules(decisions.publication_lineage_issues(artifact, artifact, export, m, "p1"))
+    assert check(metadata) == expected
+    assert check(metadata.limit(0)) == sorted([*expected, "metadata_absent"])
+
+
+def test_ids_of_candidate_and_group_must_agree(spark):
+    items = spark.createDataFrame([("i1",)], "item_key string")
+    groups = spark.createDataFrame([("north ridge", "North Ridge", ["1", "2"])], "normalized string, display_name string, ids array<string>")
+    d = spark.createDataFrame([("i1", "north ridge", ["1", "2"], "accepted")], "item_key string, selected string, selected_ids array<string>, decision string")
+    found = lambda ids: spark.createDataFrame([("i1", "north ridge", ids)], "item_key string, normalized string, ids array<string>")
+    good, wrong = reconcile.accepted_sources(d, items, found(["2", "1"]), groups)
+    assert good.count() == 1 and wrong.count() == 0
+    good, wrong = reconcile.accepted_sources(d, items, found(["1"]), groups)
+    assert good.count() == 0 and [r.message for r in wrong.collect()] == ["candidate and group ids disagree:i1"]
