@@ -1,4 +1,4 @@
-"""Every rule on a published network is seen firing, each on a row damaged in one place, and none on a clean network."""
+"""Rules on a published network fire on rows damaged in one place, and none fires on a clean network; not every rule has a case."""
 
 from dataclasses import replace
 
