@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import boxes_near, distance, interpolate, line_length
+from ..functions.geo import boxes_near, distance, interpolate, line_length, point
 from ..functions.keys import MATCH_VERSION, SEGMENT_VERSION, match_key
 from ..functions.numbers import round_half_up
 from .graph import checkpoint
-from .nearest import nearest
+from .nearest import measured
 from .spatial import box_join
 from .traces import gap_stats
 
@@ -75,35 +78,58 @@ def samples(segments: DataFrame, interval: float = 20.0) -> DataFrame:
     return both.withColumn("sample_idx", F.row_number().over(v) - 1).select("segment_key", "sample_idx", "place")
 
 
-def evidence(near: DataFrame, keys: list[str], config: MatchConfig = MatchConfig()) -> DataFrame:
-    """Metrics of each group of ``keys`` from its samples' distances (sample_idx, distance).
-
-    A group is a segment's samples, one in 20 m, in one array: as long as the segment's own line, never as a trace.
-    One aggregation, no windows: order statistics and runs are read from the array.
-    """
-    d, ranked = F.col("s.distance"), F.col("ranked")
-    far = lambda x: x > config.point_tolerance
-    step = lambda acc, x: F.when(far(x), F.struct((acc["now"] + 1).alias("now"), F.greatest(acc["best"], acc["now"] + 1).alias("best"))).otherwise(F.struct(F.lit(0).alias("now"), acc["best"].alias("best")))
-    g = near.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("sample_idx", "distance"))).alias("s"))
-    g = g.select(*keys, d.alias("d"), F.array_sort(d).alias("ranked"), F.size("s").cast("long").alias("samples"))
-    g = g.withColumn("covered", F.size(F.filter("d", lambda x: ~far(x))).cast("long")).withColumn("longest_run", F.aggregate("d", F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), step)["best"].cast("long"))
-    at = lambda n: F.element_at(ranked, n.cast("int"))
-    half = F.floor((F.col("samples") + 1) / 2)
-    return g.select(
+def metrics(g: DataFrame, keys: list[str], config: MatchConfig = MatchConfig()) -> DataFrame:
+    """Metrics of each row from its array ``d`` of distances in the samples' order: order statistics and runs of a batch of rows at once, in the task."""
+    g = g.select(*keys, "d")
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                got = _figures(b.column(n).flatten().to_numpy(), b.column(n).value_lengths().to_numpy().astype(np.int64), config.point_tolerance)
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], *map(pa.array, got.values())], [*keys, *got])
+
+    shape = g.select(*keys).schema
+    for c in ("samples", "covered", "longest_run"):
+        shape = shape.add(c, "long")
+    for c in ("low", "high", "p95", "most", "start_distance", "end_distance"):
+        shape = shape.add(c, "double")
+    m = g.mapInArrow(run, shape)
+    return m.select(
         *keys,
         "samples",
         "covered",
         round_half_up(F.col("covered") / F.col("samples"), 4).alias("coverage"),
-        round_half_up((at(half) + at(F.col("samples") + 1 - half)) / 2, 3).alias("median_distance"),
-        round_half_up(at(F.greatest(F.lit(1), F.ceil(F.col("samples") * 0.95))), 3).alias("p95_distance"),
-        round_half_up(F.element_at(ranked, -1), 3).alias("max_distance"),
-        F.element_at("d", 1).alias("start_distance"),
-        F.element_at("d", -1).alias("end_distance"),
+        round_half_up((F.col("low") + F.col("high")) / 2, 3).alias("median_distance"),
+        round_half_up(F.col("p95"), 3).alias("p95_distance"),
+        round_half_up(F.col("most"), 3).alias("max_distance"),
+        "start_distance",
+        "end_distance",
         "longest_run",
         round_half_up(F.col("longest_run") / F.col("samples"), 4).alias("gap_ratio"),
     )
 
 
+def _figures(d: np.ndarray, samples: np.ndarray, tolerance: float) -> dict[str, np.ndarray]:
+    """Of rows of so many distances each, which follow each other in ``d`` (none is empty)."""
+    end = np.cumsum(samples)
+    at, row, idx = end - samples, np.repeat(np.arange(len(samples)), samples), np.arange(len(d))
+    far, ranked = d > tolerance, d[np.lexsort((d, row))]
+    half = (samples + 1) // 2
+    run = idx - np.maximum(np.maximum.accumulate(np.where(far, -1, idx)), at[row] - 1)
+    return {
+        "samples": samples,
+        "covered": np.add.reduceat(~far, at, dtype=np.int64),
+        "longest_run": np.maximum.reduceat(run, at),
+        "low": ranked[at + half - 1],
+        "high": ranked[end - half],
+        "p95": ranked[at + np.maximum(1, np.ceil(samples * 0.95)).astype(np.int64) - 1],
+        "most": ranked[end - 1],
+        "start_distance": d[at],
+        "end_distance": d[end - 1],
+    }
+
+
 def is_strong(config: MatchConfig, p: str = "") -> Column:
     c = lambda n: F.col(f"{p}{n}")
     return (c("coverage") >= config.strong_coverage) & (c("start_distance") <= config.endpoint_tolerance) & (c("end_distance") <= config.endpoint_tolerance) & (c("median_distance") <= config.strong_median) & (c("p95_distance") <= config.strong_p95) & (c("gap_ratio") <= config.gap_ratio)
@@ -124,19 +150,36 @@ def classification(config: MatchConfig) -> Column:
     )
 
 
+def found(points: DataFrame, segments: DataFrame, config: MatchConfig = MatchConfig(), pair: DataFrame | None = None) -> DataFrame:
+    """Rows of ``measured``, written once as several branches read them."""
+    pair = pairs(points, segments, config) if pair is None else pair
+    return checkpoint(measured(pair, samples(segments, config.sample_interval), points, config.point_tolerance, config.longest_edge))
+
+
+def least(near: DataFrame) -> DataFrame:
+    """activity_key, segment_key, i, distance: of each sample the smallest distance of all rows of its pair."""
+    one = near.select("activity_key", "segment_key", F.explode(F.arrays_zip("i", "least")).alias("x"))
+    return one.groupBy("activity_key", "segment_key", "x.i").agg((F.min("x.least") / 1000.0).alias("distance"))
+
+
 def component_evidence(points: DataFrame, segments: DataFrame, config: MatchConfig = MatchConfig(), pair: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(evidence by pair and component, evidence by pair): coverage, endpoint distances, median, p95, largest, gap ratio.
 
     Distances are found once by component; those of the pair are the smallest of its components.
     """
-    pair = pairs(points, segments, config) if pair is None else pair
-    near = checkpoint(nearest(pair, samples(segments, config.sample_interval), points, config.longest_edge))  # three branches read it
-    by_component = evidence(near, ["activity_key", "segment_key", "component_idx"], config)
-    union = near.groupBy("activity_key", "segment_key", "sample_idx").agg(F.min("distance").alias("distance"))
-    # the nearest place of the first and of the last sample that is covered
-    place = lambda i: F.min(F.struct(i.alias("i"), "distance", "component_idx", "at"))["at"]
-    first_last = near.where(F.col("distance") <= config.point_tolerance).groupBy("activity_key", "segment_key").agg(place(F.col("sample_idx")).alias("first_matched"), place(-F.col("sample_idx")).alias("last_matched"))
-    by_pair = evidence(union, ["activity_key", "segment_key"], config).join(first_last, ["activity_key", "segment_key"], "left")
+    near = found(points, segments, config, pair)
+    both, metres = ["activity_key", "segment_key"], lambda c: F.transform(c, lambda x: x / 1000.0)
+    one = near.select(*both, "block", "blocks", F.explode(F.arrays_zip("component_idx", "mm")).alias("c")).select(*both, "block", "blocks", "c.component_idx", "c.mm")
+    # only segments of several blocks need their rows put together
+    key = [*both, "component_idx"]
+    pieces = one.where("blocks > 1").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("block", "mm"))).alias("x")).select(*key, F.flatten("x.mm").alias("mm"))
+    by_component = metrics(one.where("blocks = 1").select(*key, "mm").unionByName(pieces).select(*key, metres("mm").alias("d")), key, config)
+    at = lambda c: F.when(c.isNotNull(), point(c["lon"], c["lat"]))
+    shared = near.where("not alone")
+    lines = least(shared).groupBy(*both).agg(F.sort_array(F.collect_list(F.struct("i", "distance"))).alias("x")).select(*both, F.col("x.distance").alias("d"))
+    lines = lines.join(shared.groupBy(*both).agg(at(F.min("first")).alias("first_matched"), at(F.min("last")).alias("last_matched")), both)
+    whole = near.where("alone").select(*both, metres("least").alias("d"), at(F.col("first")).alias("first_matched"), at(F.col("last")).alias("last_matched"))
+    by_pair = metrics(whole.unionByName(lines), [*both, "first_matched", "last_matched"], config)
     return by_component, by_pair
 
 

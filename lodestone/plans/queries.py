@@ -59,8 +59,9 @@ def coverage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def nearest_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s = I.trace_points(spark, sf_dir), I.segments(spark, sf_dir)
-    near = matching.nearest(matching.pairs(p, s), matching.samples(s), p)
-    return near.groupBy("activity_key", "segment_key", "sample_idx").agg(F.min("distance").alias("distance")).select("activity_key", "segment_key", F.col("sample_idx").cast("long").alias("sample_idx"), "distance")
+    near = matching.found(p, s)
+    alone = near.where("alone").select("activity_key", "segment_key", F.explode(F.arrays_zip("i", "least")).alias("x")).select("activity_key", "segment_key", "x.i", (F.col("x.least") / 1000.0).alias("distance"))
+    return alone.unionByName(matching.least(near.where("not alone"))).withColumnRenamed("i", "sample_idx")
 
 
 @query

@@ -87,3 +87,18 @@ def test_accepted_sources_name_what_is_wrong(spark):
     good, wrong = reconcile.accepted_sources(d, items, found, groups)
     assert [(r.item_key, r.normalized, r.display_name) for r in good.collect()] == [("i1", "north ridge", "North Ridge")]
     assert sorted(r.message for r in wrong.collect()) == ["candidate name required:i1", "candidate not found:i2", "group not found:i1", "item not found:i9", "selected ids must match exactly:i2"]
+
+
+def test_figures_of_many_rows_at_once(spark):
+    rng = random.Random(3)
+    rows = [(k, [float(rng.choice([1.0, 24.999, 25.0, 25.001, 90.5])) for _ in range(rng.choice([1, 2, 3, 20, 41]))]) for k in range(300)]
+    got = {r.k: r for r in matching.metrics(spark.createDataFrame(rows, "k int, d array<double>"), ["k"]).collect()}
+    assert len(got) == 300
+    for k, d in rows:
+        r, ranked, runs, now = got[k], sorted(d), [0], 0
+        for x in d:
+            now = now + 1 if x > 25.0 else 0
+            runs.append(now)
+        half = (len(d) + 1) // 2
+        assert (r.samples, r.covered, r.longest_run, r.start_distance, r.end_distance, r.max_distance) == (len(d), sum(x <= 25.0 for x in d), max(runs), d[0], d[-1], ranked[-1])
+        assert abs(r.median_distance - (ranked[half - 1] + ranked[len(d) - half]) / 2) < 6e-4 and r.p95_distance == ranked[max(1, -int(-len(d) * 0.95 // 1)) - 1]

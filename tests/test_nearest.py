@@ -87,3 +87,29 @@ def test_a_long_trace_is_measured_in_few_places(spark):
     finally:
         N._on_edge = measure
     assert sum(far) <= 50 * 3 * 16 and (abs(won["value"] - 33.4) < 0.1).all()
+
+
+def test_rows_of_blocks_hold_what_single_samples_find(spark):
+    """Every kind of row: bundles, several blocks, components of several parts; a row a block and bundle, not one a sample and component."""
+    rng = random.Random(7)
+    data = walk(rng, "long", 0, 90) + [p for k in range(12) for p in walk(rng, "many", k, 5)] + walk(rng, "few", 0, 4) + walk(rng, "few", 1, 4, 0.001, True)
+    points = spark.createDataFrame(data, POINTS)
+    samples = spark.createDataFrame([(f"s{k}", i, (-71.0 + 0.0004 * i, 44.0 + 0.0002 * k)) for k in range(4) for i in range(4 + 9 * k)], "segment_key string, sample_idx int, place struct<lon:double,lat:double>")
+    pair = spark.createDataFrame([(a, f"s{k}") for a in ("long", "many", "few") for k in range(4)], "activity_key string, segment_key string")
+    one = N.nearest(pair, samples, points, part=16, block=8).collect()
+    made = N.measured(pair, samples, points, 25.0, part=16, block=8, most_probes=3, most_points=20).collect()
+    got = {(r.activity_key, r.segment_key, c, i): m / 1000 for r in made for c, mm in zip(r.component_idx, r.mm, strict=True) for i, m in zip(r.i, mm, strict=True)}
+    assert got == {(r.activity_key, r.segment_key, r.component_idx, r.sample_idx): r.distance for r in one}
+    assert all(list(r.least) == [min(x) for x in zip(*r.mm, strict=True)] for r in made) and len(made) < len(got) / 8
+    assert {r.alone for r in made} == {True, False} and {(r.activity_key, r.segment_key) for r in made if r.alone} == {("few", "s0")}
+    for name, sign in (("first", 1), ("last", -1)):
+        want, best = {}, {}
+        for r in one:
+            if r.distance <= 25.0:
+                key, x = (r.activity_key, r.segment_key), (sign * r.sample_idx, round(r.distance * 1000), r.component_idx, r["at"].lon, r["at"].lat)
+                want[key] = min(want.get(key, x), x)
+        for r in made:
+            if r[name] is not None:
+                key = (r.activity_key, r.segment_key)
+                best[key] = min(best.get(key, tuple(r[name])), tuple(r[name]))
+        assert want and best.keys() == want.keys() and all(best[k][:3] == w[:3] and best[k][3:] == pytest.approx(w[3:], abs=1e-9) for k, w in want.items())
