@@ -183,12 +183,12 @@ def component_evidence(points: DataFrame, segments: DataFrame, config: MatchConf
     return by_component, by_pair
 
 
-def match(points: DataFrame, segments: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
-    """One classified row per activity and segment whose boxes are near, with the evidence.
+def match(points: DataFrame, segments: DataFrame, config: MatchConfig = MatchConfig(), pair: DataFrame | None = None) -> DataFrame:
+    """One classified row per activity and segment whose boxes are near, or of those of ``pair``, with the evidence.
 
     Points are (activity_key, component_idx, point_idx, lon, lat), segments (segment_key, line).
     """
-    by_component, by_pair = component_evidence(points, segments, config)
+    by_component, by_pair = component_evidence(points, segments, config, pair)
     c = by_component.withColumn("strong", is_strong(config))
     both_ends = (F.col("start_distance") <= config.endpoint_tolerance) & (F.col("end_distance") <= config.endpoint_tolerance)
     comp = c.groupBy("activity_key", "segment_key").agg(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import MATCH_VERSION, line_text
 from .graph import checkpoint
-from .matching import MatchConfig, match
+from .matching import MatchConfig, match, pairs
 from .versions import Versions
 
 _PRINT = "print string"
@@ -45,9 +45,9 @@ def rematch(points: DataFrame, segments: DataFrame, matches: DataFrame, activity
     """
     a, s = activity_changes.select("activity_key"), segment_changes.select("segment_key")
     kept = matches.join(a, "activity_key", "left_anti").join(s, "segment_key", "left_anti")
-    of_activities = match(points.join(a, "activity_key", "left_semi"), segments, config)
-    of_segments = match(points.join(a, "activity_key", "left_anti"), segments.join(s, "segment_key", "left_semi"), config)
-    return kept.unionByName(of_activities).unionByName(of_segments)
+    near = pairs(points, segments, config).join(a.withColumn("_a", F.lit(True)), "activity_key", "left").join(s.withColumn("_s", F.lit(True)), "segment_key", "left")
+    anew = near.where("_a or _s").select("activity_key", "segment_key")
+    return kept.unionByName(match(points, segments, config, anew))
 
 
 def _schema(df: DataFrame) -> str:

@@ -42,3 +42,16 @@ def test_changes(spark):
     t = "k string, print string"
     got = stages.changes(spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], t), spark.createDataFrame([("b", "1"), ("c", "2"), ("d", "1")], t), "k")
     assert {r.k: r.change for r in got.collect()} == {"a": "removed", "c": "changed", "d": "added"}
+
+
+def test_what_changed_is_matched_in_one_pass_over_its_pairs_alone(spark, world, monkeypatch):
+    points, segments = world
+    seen, whole = [], matching.match(points, segments)
+    keep = lambda p, s, config, pair=None: seen.append(pair) or whole.limit(0)
+    monkeypatch.setattr(stages, "match", keep)
+    a, s = (spark.createDataFrame([(k, "changed")], f"{c} string, change string") for c, k in (("activity_key", "u10"), ("segment_key", "s1")))
+    stages.rematch(points, segments, whole.limit(0), a, s)
+    (pair,) = seen
+    want = {(r.activity_key, r.segment_key) for r in matching.pairs(points, segments).where("activity_key = 'u10' or segment_key = 's1'").collect()}
+    got = [tuple(r) for r in pair.collect()]
+    assert want and set(got) == want and len(got) == len(want)
