@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH, distance
-from .graph import checkpoint
+from .graph import checkpoint, discard, written
 from .spatial import box_join
 
 #: Clusters of up to so many places are compared inside their row; larger ones by the corners of their hulls, in parts of HULL_ROWS.
@@ -44,24 +44,31 @@ def first_fit(items: DataFrame, edges: DataFrame) -> DataFrame:
     An item without earlier neighbours begins a cluster; any other takes the first cluster of its neighbours, that is
     the least beginning that a path of edges leads to. Rounds: every item points to the neighbour with the least
     beginning known; beginnings are passed along all pointers by doubling, so a chain of n items takes log n steps;
-    rounds end when no neighbour knows a lesser one. No step gathers a group in a task.
+    rounds end when no neighbour knows a lesser one. No step gathers a group in a task, and a step's table goes once the
+    next one is written.
     """
-    edges = checkpoint(edges)
+    spark = items.sparkSession
+    edges, edges_path = written(edges)
     far = edges.groupBy("x").agg(F.min("y").alias("p"))
-    state = checkpoint(items.select("ord").join(far, items.ord == far.x, "left").select("ord", F.coalesce("p", "ord").alias("p"), F.when(F.col("p").isNull(), F.col("ord")).alias("c")))
+    state, path = written(items.select("ord").join(far, items.ord == far.x, "left").select("ord", F.coalesce("p", "ord").alias("p"), F.when(F.col("p").isNull(), F.col("ord")).alias("c")))
     while True:
         jumped = state
         while True:
             via = jumped.select(F.col("ord").alias("q"), F.col("p").alias("pp"), F.col("c").alias("pc"))
             step = jumped.join(via, F.col("p") == F.col("q")).select("ord", F.col("pp").alias("p"), F.least("c", "pc").alias("c"), (F.col("pp") != F.col("p")).alias("moved"))
-            step = checkpoint(step)
+            step, after = written(step)
+            discard(spark, path)
+            path = after
             jumped = step.drop("moved")
             if step.where("moved").isEmpty():
                 break
         known = jumped.select("ord", "c")
         best = edges.join(known.select(F.col("ord").alias("y"), "c"), "y").groupBy("x").agg(F.min(F.struct("c", "y")).alias("m"))
-        state = checkpoint(known.join(best, known.ord == best.x, "left").select("ord", F.coalesce("m.y", "ord").alias("p"), F.least("c", "m.c").alias("c"), (F.col("m.c") < F.col("c")).alias("better")))
+        state, after = written(known.join(best, known.ord == best.x, "left").select("ord", F.coalesce("m.y", "ord").alias("p"), F.least("c", "m.c").alias("c"), (F.col("m.c") < F.col("c")).alias("better")))
+        discard(spark, path)
+        path = after
         if state.where("better").isEmpty():
+            discard(spark, edges_path)
             return state.select("ord", F.col("c").alias("first"))
         state = state.drop("better")
 
@@ -103,7 +110,7 @@ def spreads(placed: DataFrame) -> DataFrame:
     The two farthest places are corners of the hull, so parts of a large cluster send on only their corners.
     """
     sizes = checkpoint(placed.groupBy("cluster").agg(F.count("*").alias("n")))
-    p = placed.join(sizes, "cluster")
+    p, kind = placed.join(sizes, "cluster"), placed.schema["cluster"].dataType.simpleString()
     spots = F.collect_list(F.struct("lon", "lat"))
     pairs = F.flatten(F.transform("s", lambda a: F.transform("s", lambda b: distance(a, b))))
     small = p.where(F.col("n") <= SMALL).groupBy("cluster").agg(spots.alias("s")).select("cluster", F.array_max(pairs).alias("spread"))
@@ -116,5 +123,5 @@ def spreads(placed: DataFrame) -> DataFrame:
         return pd.DataFrame({"cluster": [group.cluster.iloc[0]], "spread": [_diameter(g.lon.to_numpy(), g.lat.to_numpy())]})
 
     large = p.where(F.col("n") > SMALL).withColumn("part", F.pmod(F.xxhash64("ord"), F.ceil(F.col("n") / HULL_ROWS)))
-    hulls = large.select("cluster", "part", "lon", "lat").groupBy("cluster", "part").applyInPandas(corners, "cluster string, lon double, lat double")
-    return small.unionByName(hulls.groupBy("cluster").applyInPandas(widest, "cluster string, spread double"))
+    hulls = large.select("cluster", "part", "lon", "lat").groupBy("cluster", "part").applyInPandas(corners, f"cluster {kind}, lon double, lat double")
+    return small.unionByName(hulls.groupBy("cluster").applyInPandas(widest, f"cluster {kind}, spread double"))

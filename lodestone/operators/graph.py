@@ -26,10 +26,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     A table read again has its true size, so small ones are broadcast; a checkpoint would carry the estimate of the
     plan before it, which joins multiply round by round.
     """
+    return written(df)[0]
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as ``checkpoint`` gives it, and the path of its table, for ``discard``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``written`` that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def connected_components(edges: DataFrame, rounds: int = 200) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 import time
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import firstfit as P
 from lodestone.operators import topology as T
+from lodestone.operators.graph import shared_folder
 from lodestone.operators.topology import metres
 
 SCHEMA = "ord array<long>, place struct<lon:double,lat:double>, reason string, many int"
@@ -74,6 +77,15 @@ def test_a_long_chain_takes_few_rounds(spark):
     assert time.time() - began < 150
 
 
+def test_tables_of_the_rounds_are_deleted(spark):
+    folder = Path(urlparse(shared_folder(spark)).path)
+    before = set(folder.iterdir())
+    items = spark.range(2000).select(F.col("id").alias("ord"))
+    first = P.first_fit(items, items.where("ord > 0").select(F.col("ord").alias("x"), (F.col("ord") - 1).alias("y")))
+    assert {tuple(r) for r in first.select("first").distinct().collect()} == {(0,)} and first.count() == 2000
+    assert len(set(folder.iterdir()) - before) == 1
+
+
 def test_hulls_keep_the_farthest_pair():
     rng = np.random.default_rng(4)
     for k in range(200):
