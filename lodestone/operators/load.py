@@ -38,7 +38,9 @@ class Run:
 
 def _same(name: str, old: Column) -> Column:
     if name == "line":
-        return line_fingerprint(F.col(name)).eqNullSafe(line_fingerprint(old))
+        # lines that are equal as they are, in either direction, need no texts
+        equal = F.col(name).eqNullSafe(old) | F.coalesce(F.col(name) == F.reverse(old), F.lit(False))
+        return F.when(equal, True).otherwise(line_fingerprint(F.col(name)).eqNullSafe(line_fingerprint(old)))
     return F.col(name).eqNullSafe(old)
 
 

@@ -109,3 +109,13 @@ def test_plan_tells_nulls_apart(spark):
     old = spark.createDataFrame([("a", None), ("b", "x")], "k string, v string")
     new = spark.createDataFrame([("a", None), ("b", None), ("c", "x")], "k string, v string")
     assert {r.k: r.action for r in plan(old, new, "k", ("v",)).collect()} == {"a": "update", "b": "refuse", "c": "insert"}
+
+
+def test_lines_agree_as_they_are_reversed_and_rounded(spark):
+    """Only lines that differ as they are get texts; what agrees stays the same."""
+    a, b, near, far = (-71.0, 44.0), (-71.1, 44.1), (-71.1 + 1e-9, 44.1), (-71.1, 44.2)
+    t = "k string, line array<struct<lon:double,lat:double>>"
+    old = spark.createDataFrame([("same", [a, b]), ("turned", [a, b]), ("rounded", [a, b]), ("turned and rounded", [a, b]), ("moved", [a, b]), ("both missing", None), ("missing", None)], t)
+    new = spark.createDataFrame([("same", [a, b]), ("turned", [b, a]), ("rounded", [a, near]), ("turned and rounded", [near, a]), ("moved", [a, far]), ("both missing", None), ("missing", [a, b])], t)
+    made = plan(old, new, "k", ("line",))
+    assert {r.k for r in made.where("action = 'refuse'").collect()} == {"moved", "missing"} and made.count() == 7
