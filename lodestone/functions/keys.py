@@ -23,7 +23,7 @@ def stable_key(prefix: str, *parts: Column | str) -> Column:
 
 def json_text(c: Column) -> Column:
     """A string as JSON writes it; null is null."""
-    return F.when(c.isNull(), F.lit("null")).otherwise(F.regexp_extract(F.to_json(F.struct(c.cast("string").alias("v"))), r"^\{\"v\":(.*)\}$", 1))
+    return F.regexp_extract(F.to_json(F.struct(c.cast("string").alias("v")), {"ignoreNullFields": "false"}), r"^\{\"v\":(.*)\}$", 1)
 
 
 def json_key(prefix: str, *parts: Column | str) -> Column:

@@ -16,8 +16,8 @@ def round_half_up(c: Column, places: int = 6) -> Column:
 def number_text(c: Column, places: int = 7) -> Column:
     """A number rounded to ``places`` as the shortest decimal text: no trailing zeros, no exponent, 0 for -0."""
     fixed = F.format_string(f"%.{places}f", round_half_up(c, places))
-    short = F.regexp_replace(F.regexp_replace(fixed, "(\\.\\d*?)0+$", "$1"), "\\.$", "")
-    return F.when(short == "-0", F.lit("0")).otherwise(short)
+    # each step is named once: inside a lambda Spark works a repeated one out again
+    return F.regexp_replace(F.regexp_replace(fixed, "(\\.\\d*[1-9])0+$|\\.0*$", "$1"), "^-0$", "0")
 
 
 def lenient_number(c: Column) -> Column:

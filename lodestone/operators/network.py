@@ -57,7 +57,7 @@ def _blank(c: Column) -> Column:
 
 def _same_set(a: Column, b: Column) -> Column:
     """Equal with repeats but for the order; a missing array equals none."""
-    return F.coalesce(F.array_sort(a) == F.array_sort(b), F.lit(False))
+    return F.coalesce(F.sort_array(a) == F.sort_array(b), F.lit(False))
 
 
 def _near(tolerance: float = 1e-6):
@@ -141,18 +141,22 @@ def header_issues(n: Network) -> DataFrame:
 
 
 def key_issues(n: Network) -> DataFrame:
-    """Keys that are blank or shared by several rows."""
-    keys = [
-        (n.candidate_trails, "candidate_trail_key", "candidate_trail"),
-        (n.candidate_segments, "segment_key", "candidate_segment"),
-        (n.metadata, "candidate_trail_key", "metadata"),
-        *[(n.trails, c, "trail") for c in ("trail_id", "trail_key", "slug")],
-        *[(n.segments, c, "segment") for c in ("segment_id", "production_key", "slug")],
+    """Keys that are blank or shared by several rows; a table is read once for its blanks and once for all its keys."""
+    tables = [
+        (n.candidate_trails, ["candidate_trail_key"], "candidate_trail"),
+        (n.candidate_segments, ["segment_key"], "candidate_segment"),
+        (n.metadata, ["candidate_trail_key"], "metadata"),
+        (n.trails, ["trail_id", "trail_key", "slug"], "trail"),
+        (n.segments, ["segment_id", "production_key", "slug"], "segment"),
     ]
     out = []
-    for df, c, name in keys:
-        rule = f"{name}_missing_{c}"
-        out += [df.where(_blank(F.col(c))).select(F.lit(rule).alias("rule"), F.lit(f"{rule}:").alias("message")), duplicates(df.where(~_blank(F.col(c))), [c], f"{name}_duplicate_{c}")]
+    for df, keys, name in tables:
+        blank = _Rules(name, F.lit(""))
+        for c in keys:
+            blank.wrong(f"missing_{c}", _blank(F.col(c)))
+        one = F.explode(F.array(*[F.struct(F.lit(f"{name}_duplicate_{c}").alias("rule"), F.col(c).cast("string").alias("key")) for c in keys])).alias("x")
+        shared = df.select(one).select("x.*").where(~_blank(F.col("key"))).groupBy("rule", "key").count().where("count > 1")
+        out += [issues(df, blank), shared.select("rule", F.concat("rule", F.lit(":"), "key").alias("message"))]
     return every(*out, duplicates(n.decisions, ["target_type", "target_key"], "decision_duplicate"))
 
 

@@ -769,7 +769,9 @@ def damage() -> list[tuple[str, str, Column]]:
 def clean_network(spark: SparkSession, sf_dir: str) -> network.Network:
     """Parts as verified segments, four to a trail, with nothing wrong; the segments are cut from their lineage."""
     artifact = F.struct(F.lit("2024-01-01T00:00:00Z").alias("generated_at"), F.lit(True).alias("demo_only"), F.lit(keys.SEGMENT_VERSION).alias("algorithm_version"))
-    p = I.table(spark, sf_dir, "part").select(
+    # a small file that one task would read grows to wide rows with keys to be hashed: its rows are dealt out first
+    dealt = I.table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    p = dealt.select(
         F.col("p_partkey").cast("string").alias("segment_key"),
         F.concat(F.lit("item"), F.floor(F.col("p_partkey") / 4)).alias("item_key"),
         F.lit("ridge").alias("normalized"),
@@ -789,7 +791,7 @@ def clean_network(spark: SparkSession, sf_dir: str) -> network.Network:
     p = p.withColumns({"artifact": artifact, "source": F.struct(*built), "version": F.lit(keys.SEGMENT_VERSION), "region": F.lit("Other")})
     p = checkpoint(p)
     decision = lambda kind, key: F.struct(F.lit(kind).alias("target_type"), F.col(key).alias("target_key"), F.lit(VERIFIED).alias("decision"), F.lit("2024-02-01T00:00:00Z").alias("review_timestamp"), F.lit(None).cast("string").alias("notes"))
-    trail = p.groupBy("candidate_trail_key", "trail_key", "item_key", "normalized", "display_name", "provider", "region").agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"), F.sort_array(F.collect_list("segment_key")).alias("segment_keys"), F.sum("miles").alias("miles"))
+    trail = checkpoint(p.groupBy("candidate_trail_key", "trail_key", "item_key", "normalized", "display_name", "provider", "region").agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"), F.sort_array(F.collect_list("segment_key")).alias("segment_keys"), F.sum("miles").alias("miles")))
     accepted = lambda kind, key, name: F.struct(F.lit(kind).alias("target_type"), F.col(key).alias("target_key"), F.lit("accepted").alias("decision")).alias(name)
     own = F.struct("segment_key", "candidate_trail_key", "item_key", "start_key", "end_key", "version", "artifact", "source", "lineage", decision("segment", "segment_key").alias("decision"), decision("trail", "candidate_trail_key").alias("trail_decision"), F.struct(accepted("segment", "segment_key", "segment"), accepted("junction", "start_key", "start"), accepted("junction", "end_key", "end")).alias("upstream"))
     status = [F.lit("verified").alias("data_status"), F.lit("human_verified").alias("verification_status")]

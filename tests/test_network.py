@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions import geo
+from lodestone.functions import geo, keys
 from lodestone.operators import network as N
 from lodestone.plans.queries import clean_network
 
@@ -44,6 +44,22 @@ def test_nothing_is_wrong_with_a_clean_network(clean):
     assert found(N.network_issues(clean)) == set()
 
 
+def test_keys_are_read_once_for_blanks_and_once_for_repeats(clean):
+    assert N.key_issues(clean)._jdf.queryExecution().optimizedPlan().toString().count("InMemoryRelation") == 11
+
+
+def test_rows_of_a_small_file_are_dealt_out(spark):
+    """The given parts lie in one file that one task reads; what is made of them doesn't."""
+    assert len(clean_network(spark, SMALL).candidate_segments.inputFiles()) > 1
+
+
+def test_text_of_a_place_is_worked_out_once(spark):
+    df = spark.createDataFrame([([(-0.00000004, 10.0), (1.5, -71.1234567)],), (None,)], f"line {geo.LINE}").select(keys.json_text(keys.line_text(F.col("line"))).alias("t"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("format_string") == 2 and plan.count("to_json") == 1
+    assert {r.t for r in df.collect()} == {'"0,10;1.5,-71.1234567"', "null"}
+
+
 def test_an_empty_network_has_no_issue(clean):
     empty = N.Network(*[getattr(clean, f).limit(0) for f in N.Network.__dataclass_fields__])
     assert found(N.network_issues(empty)) == set()
