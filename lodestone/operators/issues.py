@@ -23,8 +23,19 @@ def duplicates(df: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:
 
 
 def unknown(df: DataFrame, known: DataFrame, on: Sequence[str], rule: str) -> DataFrame:
-    """rule, message for rows of ``df`` whose keys ``known`` doesn't have."""
-    return df.join(known.select(*on).distinct(), list(on), "left_anti").select(F.lit(rule).alias("rule"), F.concat(F.lit(f"{rule}:"), F.concat_ws("|", *[F.col(k).cast("string") for k in on])).alias("message"))
+    """rule, message for rows of ``df`` whose keys ``known`` doesn't have. An anti join would go below a ``dealt`` table's shuffle."""
+    flagged = df.join(known.select(*on).distinct().withColumn("_known", F.lit(True)), list(on), "left").where(F.col("_known").isNull())
+    return flagged.select(F.lit(rule).alias("rule"), F.concat(F.lit(f"{rule}:"), F.concat_ws("|", *[F.col(k).cast("string") for k in on])).alias("message"))
+
+
+def dealt(df: DataFrame, *keys: Sequence[str], rows: int = 1 << 20) -> list[DataFrame]:
+    """``df`` by each of ``keys``, about ``rows`` rows to a task however many there are; a smaller table stays as it is.
+
+    Left alone, Spark puts tasks together by compressed bytes, and keys compress so well that a task gets many millions.
+    """
+    n = df.count() // rows
+    tasks = max(n + 1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return [df.repartition(tasks, *k) if n else df for k in keys]
 
 
 def every(*parts: DataFrame) -> DataFrame:

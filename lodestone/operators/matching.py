@@ -246,7 +246,7 @@ def reference_issues(matches: DataFrame, activities: DataFrame, segments: DataFr
     Activities are (activity_key); segments are (segment_key, segment_decision, start_decision, end_decision,
     construction_version); ``version`` is that of the table of matches. A decision that isn't there counts as not accepted.
     """
-    from .issues import duplicates, every, issues, unknown
+    from .issues import dealt, duplicates, every, issues, unknown
 
     about = lambda rule: F.concat(F.lit(f"{rule}:"), F.coalesce("segment_key", F.lit("")))
     lacks = lambda c, rule: (rule, ~F.col(c).eqNullSafe(F.lit("accepted")), about(rule))
@@ -257,12 +257,14 @@ def reference_issues(matches: DataFrame, activities: DataFrame, segments: DataFr
         ("construction_version", ~F.col("construction_version").eqNullSafe(F.lit(SEGMENT_VERSION)), about("construction_version")),
     ]
     stale = matches.sparkSession.range(1).where(~F.lit(version).eqNullSafe(F.lit(MATCH_VERSION))).select(F.lit("match_version").alias("rule"), F.lit("match_version").alias("message"))
+    of_activity, of_segment, of_pair = dealt(matches, ["activity_key"], ["segment_key"], ["activity_key", "segment_key"])
+    (activities,), (segments,) = dealt(activities, ["activity_key"]), dealt(segments, ["segment_key"])
     return every(
         issues(segments, approval),
         duplicates(activities, ["activity_key"], "duplicate_activity"),
         duplicates(segments, ["segment_key"], "duplicate_segment"),
-        unknown(matches, activities, ["activity_key"], "unknown_activity"),
-        unknown(matches, segments, ["segment_key"], "unknown_segment"),
-        duplicates(matches, ["activity_key", "segment_key"], "duplicate_pair"),
+        unknown(of_activity, activities, ["activity_key"], "unknown_activity"),
+        unknown(of_segment, segments, ["segment_key"], "unknown_segment"),
+        duplicates(of_pair, ["activity_key", "segment_key"], "duplicate_pair"),
         stale,
     )

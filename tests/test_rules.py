@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.keys import MATCH_VERSION, SEGMENT_VERSION
 from lodestone.operators import matching, topology
+from lodestone.operators.issues import dealt, unknown
 
 SEGMENT = "segment_key string, segment_decision string, start_decision string, end_decision string, construction_version string"
 OK = ("accepted", "accepted", "accepted", SEGMENT_VERSION)
@@ -25,6 +26,21 @@ def test_matches_against_what_they_refer_to(spark, matches, activities, segments
     assert sorted(r.message for r in matching.reference_issues(*tables, version).collect()) == want
 
 
+def test_large_tables_are_dealt_by_rows_and_stay_so_below_a_join(spark):
+    df = spark.range(100).selectExpr("id % 7 AS k")
+    (by_key,), (whole,) = dealt(df, ["k"], rows=10), dealt(df, ["k"])
+    assert by_key.rdd.getNumPartitions() == 11 and whole is df
+    found = unknown(by_key, spark.range(5).withColumnRenamed("id", "k"), ["k"], "r")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("RepartitionByExpression")
+    assert sorted(r.message for r in found.collect()) == ["r:5"] * 14 + ["r:6"] * 14
+
+
+def test_unknown_keys_may_be_null(spark):
+    df = spark.createDataFrame([("a", 1), (None, 1), ("b", None)], "x string, y int")
+    assert sorted(r.message for r in unknown(df, spark.createDataFrame([("a", 1), ("b", None)], "x string, y int"), ["x", "y"], "r").collect()) == ["r:1", "r:b"]
+
+
 @pytest.fixture(scope="module")
 def built(spark):
     line = lambda *p: [[(float(x), float(y)) for x, y in p]]
