@@ -2,55 +2,119 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH, distance
 from .graph import checkpoint, discard, written
-from .spatial import box_join
+from .spatial import place_join
 
 #: Clusters of up to so many places are compared inside their row; larger ones by the corners of their hulls, in parts of HULL_ROWS.
 SMALL, HULL_ROWS = 16, 4096
+#: Items whose numbers agree but for so many bits are looked at in one task, in buffers of about so many rows.
+BLOCK_BITS, BUFFER = 14, 1 << 18
 
 
-def earlier_neighbours(items: DataFrame, tolerance: Column, widest: float, cell: float) -> DataFrame:
+def earlier_neighbours(items: DataFrame, tolerance: Column, cell: float) -> DataFrame:
     """(x, y): for each item and each near place the last earlier item y there, the item's own place included.
 
     ``items`` are (ord, kind, lon, lat); only items of one kind meet. Of the earlier items at one place the last one
     has the first cluster of them all, as it saw what they saw; so equal places cost their number, not its square.
+    Places of one item each need no more than their order.
     """
-    at = ["kind", "lon", "lat"]
-    same = items.select(F.col("ord").alias("x"), F.lag("ord").over(Window.partitionBy(*at).orderBy("ord")).alias("y")).where("y is not null")
-    places = checkpoint(items.groupBy(*at).agg(F.min("ord").alias("place")))
-    box = lambda: F.struct(F.col("lon").alias("x1"), F.col("lat").alias("y1"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
-    p = lambda n: F.struct(F.col("lon").alias("lon"), F.col("lat").alias("lat")).alias(n)
-    a = places.select("kind", F.col("place").alias("a"), p("pa"), box().alias("lbox"))
-    b = places.select("kind", F.col("place").alias("b"), p("pb"), box().alias("rbox"))
-    near = box_join(a, b, widest, cell, ["kind"]).where((F.col("a") != F.col("b")) & (distance(F.col("pa"), F.col("pb")) <= tolerance)).select("a", "b")
-    near = checkpoint(near)
-    named = items.join(places, at).select("ord", "place")
+    w = Window.partitionBy("kind", "lon", "lat").orderBy("ord")
+    seen = items.select("ord", "kind", "lon", "lat", F.lag("ord").over(w).alias("y"), F.lead("ord").over(w).isNull().alias("last"), F.first("ord").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("place"))
+    seen = checkpoint(seen)
+    same = seen.where("y is not null").select(F.col("ord").alias("x"), "y")
+    places = seen.where("y is null")
+    side = lambda name, s: places.select("kind", F.col("ord").alias(name), F.col("lon").alias(f"{s}lon"), F.col("lat").alias(f"{s}lat"), F.col("last").alias(f"{s}one"))
+    near = place_join(side("a", "l"), side("b", "r"), tolerance, cell, ["kind"]).where("a <> b").withColumn("one", F.col("lone") & F.col("rone"))
+    near = checkpoint(near.where("a > b or not one").select("a", "b", "one"))
+    found = same.unionByName(near.where("one").select(F.col("a").alias("x"), F.col("b").alias("y")))
+    near = near.where("not one")
+    if near.isEmpty():
+        return found
+    named = seen.select("ord", "place")
     seeks = near.join(named, near.a == named.place).select("a", "b", "ord", F.lit(None).cast(items.schema["ord"].dataType).alias("y"))
     gives = near.join(named, near.b == named.place).select("a", "b", "ord", F.col("ord").alias("y"))
-    w = Window.partitionBy("a", "b").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    met = seeks.unionByName(gives).withColumn("before", F.last("y", ignorenulls=True).over(w)).where("y is null and before is not null").select(F.col("ord").alias("x"), F.col("before").alias("y"))
-    return same.unionByName(met)
+    before = F.last("y", ignorenulls=True).over(Window.partitionBy("a", "b").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    met = seeks.unionByName(gives).withColumn("before", before).where("y is null and before is not null").select(F.col("ord").alias("x"), F.col("before").alias("y"))
+    return found.unionByName(met)
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, y, c) of a partition's rows (x, y), all of an item together and items in order; an item has a row without y, too.
+
+    About BUFFER rows are looked at at once. An item is settled, with its beginning c and no y, if all that its paths lead
+    to is among them; another has the least beginning known, or none, and rows with those y that are not settled here.
+    """
+
+    def settle(x: np.ndarray, y: pa.Array) -> pa.RecordBatch:
+        own, item = np.unique(x, return_inverse=True)
+        to, edge = y.fill_null(0).to_numpy(zero_copy_only=False), y.is_valid().to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(own, to), len(own) - 1)
+        at = np.where(own[at] == to, at, -1)
+        begins = np.ones(len(own), bool)
+        begins[item[edge]] = False
+        none = np.iinfo(np.int64).max
+        c, open_ = np.where(begins, own, none).tolist(), [False] * len(own)
+        for i, k in zip(item[edge].tolist(), at[edge].tolist(), strict=True):
+            if k < 0:
+                open_[i] = True
+            else:
+                open_[i] = open_[i] or open_[k]
+                if c[k] < c[i]:
+                    c[i] = c[k]
+        c, left = np.array(c, np.int64), np.array(open_, bool)
+        keep = edge & ((at < 0) | left[at])
+        xs, ys = np.concatenate([own, x[keep]]), np.concatenate([np.zeros(len(own), np.int64), to[keep]])
+        cs, row = np.concatenate([c, np.full(keep.sum(), none)]), np.arange(len(xs)) < len(own)
+        open_rows = np.concatenate([left, np.ones(keep.sum(), bool)])
+        return pa.RecordBatch.from_arrays([pa.array(xs), pa.array(ys, mask=row), pa.array(cs, mask=cs == none), pa.array(~open_rows)], ["x", "y", "c", "settled"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < BUFFER:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        x = rows["x"].to_numpy()
+        cut = int(np.searchsorted(x, x[-1]))  # the last item may go on in the next batch
+        if cut:
+            yield settle(x[:cut], rows["y"].slice(0, cut).combine_chunks())
+        held = rows.slice(cut).to_batches()
+    if sum(b.num_rows for b in held):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        yield settle(rows["x"].to_numpy(), rows["y"].combine_chunks())
 
 
 def first_fit(items: DataFrame, edges: DataFrame) -> DataFrame:
-    """(ord, first): the first item of each item's cluster; ``edges`` (x, y) lead to earlier items.
+    """(ord, first): the first item of each item's cluster; ``edges`` (x, y) lead to earlier items, all numbered by longs.
 
     An item without earlier neighbours begins a cluster; any other takes the first cluster of its neighbours, that is
-    the least beginning that a path of edges leads to. Rounds: every item points to the neighbour with the least
-    beginning known; beginnings are passed along all pointers by doubling, so a chain of n items takes log n steps;
-    rounds end when no neighbour knows a lesser one. No step gathers a group in a task, and a step's table goes once the
-    next one is written.
+    the least beginning that a path of edges leads to. Items whose paths stay among items of like numbers are settled in
+    one pass. The others go through rounds: every item points to the neighbour with the least beginning known;
+    beginnings are passed along all pointers by doubling, so a chain of n items takes log n steps; rounds end when no
+    neighbour knows a lesser one. No step gathers a group in a task, and a step's table goes once the next one is written.
     """
     spark = items.sparkSession
-    edges, edges_path = written(edges)
-    far = edges.groupBy("x").agg(F.min("y").alias("p"))
-    state, path = written(items.select("ord").join(far, items.ord == far.x, "left").select("ord", F.coalesce("p", "ord").alias("p"), F.when(F.col("p").isNull(), F.col("ord")).alias("c")))
+    links = edges.select("x", "y").unionByName(items.select(F.col("ord").alias("x"), F.lit(None).cast("long").alias("y")))
+    links = links.repartition(F.shiftright("x", BLOCK_BITS)).sortWithinPartitions("x")
+    links = checkpoint(links.mapInArrow(_settle, "x long, y long, c long, settled boolean"))
+    settled = links.where("settled").select(F.col("x").alias("ord"), F.col("c").alias("first"))
+    left = links.where("not settled and y is null").select(F.col("x").alias("ord"), "c")
+    if left.isEmpty():
+        return settled
+    known = links.where("settled").select(F.col("x").alias("y"), F.col("c").alias("k"))
+    edges, edges_path = written(links.where("y is not null").select("x", "y").join(known, "y", "left"))
+    least = edges.groupBy("x").agg(F.min(F.when(F.col("k").isNull(), F.col("y"))).alias("p"), F.min("k").alias("k"))
+    edges = edges.where("k is null").select("x", "y")
+    state, path = written(left.join(least, left.ord == least.x, "left").select("ord", F.coalesce("p", "ord").alias("p"), F.least("c", "k").alias("c")))
     while True:
         jumped = state
         while True:
@@ -69,7 +133,7 @@ def first_fit(items: DataFrame, edges: DataFrame) -> DataFrame:
         path = after
         if state.where("better").isEmpty():
             discard(spark, edges_path)
-            return state.select("ord", F.col("c").alias("first"))
+            return settled.unionByName(state.select("ord", F.col("c").alias("first")))
         state = state.drop("better")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import DEGREE
+from ..functions.geo import DEGREE, EARTH, distance
 
 
 def with_cells(df: DataFrame, box: Column, cell: float, margin: float = 0.0, dx: Column | None = None) -> DataFrame:
@@ -37,3 +37,48 @@ def box_join(left: DataFrame, right: DataFrame, metres: float, cell: float, on:
     first_x = F.floor(F.greatest(F.col("lbox.x1") - lx, F.col("rbox.x1") - rx) / cell)
     first_y = F.floor(F.greatest(F.col("lbox.y1") - dy, F.col("rbox.y1")) / cell)
     return a.join(b, [*on, "cx", "cy"]).where((F.col("cx") == first_x) & (F.col("cy") == first_y)).drop("cx", "cy")
+
+
+def _least_cos(lo: Column, hi: Column) -> Column:
+    """The least size of the cosine between two latitudes, at most 180 degrees apart; 0 where a pole is between them."""
+    pole = F.floor((lo + 90) / 180) != F.floor((hi + 90) / 180)
+    return F.when(pole, F.lit(0.0)).otherwise(F.least(F.abs(F.cos(F.radians(lo))), F.abs(F.cos(F.radians(hi)))))
+
+
+def _width(row: Column, cell: float) -> Column:
+    """Degrees of longitude of a row's cells: about as wide as the row is high, and two turns at most."""
+    return F.least(cell / F.greatest(_least_cos(row * cell, (row + 1) * cell), F.lit(1e-12)), F.lit(720.0))
+
+
+def _east(c: str) -> Column:
+    return F.pmod(F.col(c) + 180, F.lit(360.0))
+
+
+def _reach(metres: Column) -> Column:
+    return F.degrees(metres / EARTH) * (1 + 1e-9) + 1e-12
+
+
+def surroundings(left: DataFrame, metres: Column, cell: float) -> DataFrame:
+    """``left`` once for each cell (cx, cy) that may hold a place within ``metres`` of (llon, llat): a bounded number at any latitude."""
+    dy = _reach(metres)
+    slope = F.sin(metres / (2 * EARTH)) / F.greatest(_least_cos(F.col("llat") - dy, F.col("llat") + dy), F.lit(1e-12))
+    dx = F.degrees(2 * F.asin(F.least(slope, F.lit(1.0)))) * (1 + 1e-9) + 1e-12
+    a = left.withColumn("cy", F.explode(F.sequence(F.floor((F.col("llat") - dy) / cell), F.floor((F.col("llat") + dy) / cell))))
+    a = a.withColumns({"_w": _width(F.col("cy"), cell), "_lo": _east("llon") - dx, "_hi": _east("llon") + dx})
+    span = lambda lo, hi: F.sequence(F.floor(lo / F.col("_w")), F.floor(hi / F.col("_w")))
+    inside = span(F.greatest("_lo", F.lit(0.0)), F.least("_hi", F.lit(360.0)))
+    over = [F.when(F.col("_lo") < 0, span(F.col("_lo") + 360, F.lit(360.0))).otherwise(inside), F.when(F.col("_hi") > 360, span(F.lit(0.0), F.col("_hi") - 360)).otherwise(inside)]
+    cells = F.when((F.col("_lo") < 0) | (F.col("_hi") > 360), F.array_distinct(F.concat(inside, *over))).otherwise(inside)  # over the date line too
+    return a.withColumn("cx", F.explode(cells)).drop("_w", "_lo", "_hi")
+
+
+def place_join(left: DataFrame, right: DataFrame, metres: Column, cell: float, on: Sequence[str] = ()) -> DataFrame:
+    """Pairs of rows, equal in the columns ``on``, whose places (llon, llat and rlon, rlat) are within ``metres`` of ``left``, each pair once.
+
+    A place on the right stands in one cell, one on the left in all of its surroundings. Places about a pole and on both
+    sides of the date line meet. Latitudes beyond a pole count as given: those farther apart than ``metres`` don't meet.
+    """
+    b = right.withColumn("cy", F.floor(F.col("rlat") / cell)).withColumn("cx", F.floor(_east("rlon") / _width(F.col("cy"), cell)))
+    p = lambda s: F.struct(F.col(f"{s}lon").alias("lon"), F.col(f"{s}lat").alias("lat"))
+    met = surroundings(left, metres, cell).join(b, [*on, "cx", "cy"]).where(F.abs(F.col("llat") - F.col("rlat")) <= _reach(metres))
+    return met.where(distance(p("l"), p("r")) <= metres).drop("cx", "cy")

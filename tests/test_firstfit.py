@@ -6,6 +6,7 @@ from pathlib import Path
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,66 @@ def test_tables_of_the_rounds_are_deleted(spark):
     assert len(set(folder.iterdir()) - before) == 1
 
 
+def test_places_about_a_pole_and_on_both_sides_of_the_date_line(spark):
+    rng = random.Random(5)
+    places = [(rng.uniform(-180, 180), 90 - rng.choice([0.0002, 0.001, 0.004]) * rng.random()) for _ in range(60)]
+    places += [(rng.choice([-179.9995, 179.9995]) + rng.uniform(-0.0005, 0.0005), 10 + rng.uniform(0, 0.004)) for _ in range(60)]
+    rows = [([i], p, "trail_endpoint") for i, p in enumerate(rng.sample(places, len(places)))]
+    assert got(spark, rows, 40.0, 40.0) == plain(rows, 40.0, 40.0)
+
+
+def test_places_beyond_a_pole_cost_no_more_than_others(spark):
+    """A hundred lines of places at latitudes to 900: before, each place went to 60,000 cells."""
+    d = spark.range(50_000).select(F.array("id").alias("ord"), (F.col("id") % 100).alias("line"), F.floor(F.col("id") / 100).alias("k"))
+    d = d.select("ord", F.struct((-71.0 + 0.0004 * F.col("k") + 0.002 * F.floor(F.col("k") / 5)).alias("lon"), (9.0 * F.col("line") + 1.0).alias("lat")).alias("place"), F.lit("trail_endpoint").alias("reason"), "line")
+    began = time.time()
+    c = T.clusters(d, T.Tolerances(junction_dedup=60.0, intersection=60.0)).groupBy("line").agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("c")).collect()
+    assert {r.line: (r.n, r.c) for r in c} == {i: (500, 100 if metres({"lon": 0, "lat": 9.0 * i + 1}, {"lon": 0.0024, "lat": 9.0 * i + 1}) > 60 else 1) for i in range(100)}
+    assert time.time() - began < 100
+
+
+def _beginnings(rows):
+    """(x, y or None) of edges to earlier items: the least beginning that each item's paths lead to."""
+    c = {}
+    for x, y in sorted(rows, key=lambda r: (r[0], r[1] is not None)):
+        c.setdefault(x, None)
+        if y is not None:
+            c[x] = c[y] if c[x] is None else min(c[x], c[y])
+        elif not any(a == x and b is not None for a, b in rows):
+            c[x] = x
+    return c
+
+
+@pytest.mark.parametrize("buffer", [1, 7, 1 << 18])
+def test_items_are_settled_whatever_is_looked_at_at_once(monkeypatch, buffer):
+    monkeypatch.setattr(P, "BUFFER", buffer)
+    rng = random.Random(9)
+    rows = [(x, None) for x in range(100, 160)] + [(x, rng.randrange(max(100, x - 9), x)) for x in range(101, 160) for _ in range(rng.randrange(3))]
+    rows += [(x, rng.randrange(100)) for x in (103, 130)]  # of another task
+    rows.sort(key=lambda r: r[0])
+    batches = [pa.RecordBatch.from_pylist([{"x": x, "y": y} for x, y in rows[i : i + 5]], schema=pa.schema([("x", pa.int64()), ("y", pa.int64())])) for i in range(0, len(rows), 5)]
+    out = [r for b in P._settle(iter(batches)) for r in b.to_pylist()]
+    want = _beginnings(rows + [(y, None) for _, y in rows if y is not None and y < 100])
+    c = {r["x"]: r["c"] for r in out if r["settled"]}
+    assert all(c[x] == want[x] for x in c) and len(c) > (0 if buffer < 9 else 5)
+    left = [(r["x"], r["y"]) for r in out if not r["settled"]]
+    assert {x for x, y in left if y is None} == set(range(100, 160)) - set(c)
+    ends = {x: {r["c"] for r in out if r["x"] == x and r["c"] is not None} for x, _ in left}
+    for x, y in sorted(left, key=lambda r: r[0]):  # what is left leads to the same beginnings
+        if y is not None:
+            ends[x] |= ends[y] if y in ends else {c.get(y, y)}
+    assert all(min(e) == want[x] for x, e in ends.items())
+
+
+def test_rounds_over_items_of_many_blocks(spark):
+    rng = random.Random(3)
+    ids = sorted(rng.sample(range(1 << 40), 300)) + [(1 << 41) + i for i in range(300)]
+    rows = [(x, None) for x in ids] + [(ids[i], ids[rng.randrange(max(0, i - 40), i)]) for i in range(1, 600) for _ in range(rng.randrange(3))]
+    items = spark.createDataFrame([(x,) for x in ids], "ord long")
+    edges = spark.createDataFrame([r for r in rows if r[1] is not None], "x long, y long")
+    assert {r.ord: r["first"] for r in P.first_fit(items, edges).collect()} == _beginnings(rows)
+
+
 def test_hulls_keep_the_farthest_pair():
     rng = np.random.default_rng(4)
     for k in range(200):
