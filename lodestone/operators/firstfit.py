@@ -5,23 +5,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH, distance
+from ..functions.geo import EARTH, LINE, distance
 from .graph import checkpoint, discard, written
-from .spatial import place_join
+from .spatial import place_pairs
 
-#: Clusters of up to so many places are compared inside their row; larger ones by the corners of their hulls, in parts of HULL_ROWS.
-SMALL, HULL_ROWS = 16, 4096
+#: Clusters of up to so many places are compared inside their row; larger ones by the corners of their hulls, in parts of numbers that agree but for so many bits.
+SMALL, HULL_BITS = 16, 12
 #: Items whose numbers agree but for so many bits are looked at in one task, in buffers of about so many rows.
 BLOCK_BITS, BUFFER = 14, 1 << 18
 
 
-def earlier_neighbours(items: DataFrame, tolerance: Column, cell: float) -> DataFrame:
-    """(x, y): for each item and each near place the last earlier item y there, the item's own place included.
+def earlier_neighbours(items: DataFrame, tolerance: Column, cell: float) -> tuple[DataFrame, list[str]]:
+    """(x, y): for each item and each near place the last earlier item y there, its own place included; and the paths of the tables read.
 
     ``items`` are (ord, kind, lon, lat); only items of one kind meet. Of the earlier items at one place the last one
     has the first cluster of them all, as it saw what they saw; so equal places cost their number, not its square.
@@ -29,22 +28,22 @@ def earlier_neighbours(items: DataFrame, tolerance: Column, cell: float) -> Data
     """
     w = Window.partitionBy("kind", "lon", "lat").orderBy("ord")
     seen = items.select("ord", "kind", "lon", "lat", F.lag("ord").over(w).alias("y"), F.lead("ord").over(w).isNull().alias("last"), F.first("ord").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("place"))
-    seen = checkpoint(seen)
+    seen, seen_path = written(seen)
     same = seen.where("y is not null").select(F.col("ord").alias("x"), "y")
-    places = seen.where("y is null")
-    side = lambda name, s: places.select("kind", F.col("ord").alias(name), F.col("lon").alias(f"{s}lon"), F.col("lat").alias(f"{s}lat"), F.col("last").alias(f"{s}one"))
-    near = place_join(side("a", "l"), side("b", "r"), tolerance, cell, ["kind"]).where("a <> b").withColumn("one", F.col("lone") & F.col("rone"))
-    near = checkpoint(near.where("a > b or not one").select("a", "b", "one"))
-    found = same.unionByName(near.where("one").select(F.col("a").alias("x"), F.col("b").alias("y")))
+    places = seen.where("y is null").select("kind", F.col("ord").alias("id"), "lon", "lat", "last")
+    near = place_pairs(places, tolerance, cell, ["kind"]).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), (F.col("l_last") & F.col("r_last")).alias("one"))
+    near, near_path = written(near)
+    found = same.unionByName(near.where("one").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")))
     near = near.where("not one")
     if near.isEmpty():
-        return found
+        return found, [seen_path, near_path]
+    near = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     named = seen.select("ord", "place")
     seeks = near.join(named, near.a == named.place).select("a", "b", "ord", F.lit(None).cast(items.schema["ord"].dataType).alias("y"))
     gives = near.join(named, near.b == named.place).select("a", "b", "ord", F.col("ord").alias("y"))
     before = F.last("y", ignorenulls=True).over(Window.partitionBy("a", "b").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
     met = seeks.unionByName(gives).withColumn("before", before).where("y is null and before is not null").select(F.col("ord").alias("x"), F.col("before").alias("y"))
-    return found.unionByName(met)
+    return found.unionByName(met), [seen_path, near_path]
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,24 +167,31 @@ def _diameter(lon: np.ndarray, lat: np.ndarray) -> float:
     return most
 
 
+def _corners(groups: pa.Array) -> pa.Array:
+    """The corners of the hull of each group of places; null of null."""
+    return pa.array([None if g is None else [{"lon": x, "lat": y} for x, y in zip(*(v[_hull(*g)].tolist() for v in g), strict=True)] for g in _groups(groups)], groups.type)
+
+
+def _widest(groups: pa.Array) -> pa.Array:
+    """The greatest distance between two places of each group; null of null."""
+    return pa.array([None if g is None else _diameter(*(v[_hull(*g)] for v in g)) for g in _groups(groups)], pa.float64())
+
+
+def _groups(groups: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    flat, ends = groups.flatten(), np.cumsum(groups.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(int)
+    lon, lat = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("lon", "lat"))
+    for ok, lo, hi in zip(groups.is_valid().to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        yield (lon[lo:hi], lat[lo:hi]) if ok else None
+
+
 def spreads(placed: DataFrame) -> DataFrame:
     """(cluster, spread): the greatest distance between two of a cluster's places (cluster, ord, lon, lat).
 
-    The two farthest places are corners of the hull, so parts of a large cluster send on only their corners.
+    The two farthest places are corners of the hull, so a cluster's places of like numbers, 2^HULL_BITS at most, send on
+    only their corners if they are many.
     """
-    sizes = checkpoint(placed.groupBy("cluster").agg(F.count("*").alias("n")))
-    p, kind = placed.join(sizes, "cluster"), placed.schema["cluster"].dataType.simpleString()
-    spots = F.collect_list(F.struct("lon", "lat"))
+    corners, widest, many = F.arrow_udf(_corners, LINE), F.arrow_udf(_widest, "double"), F.when(F.size("s") > SMALL, F.col("s"))
     pairs = F.flatten(F.transform("s", lambda a: F.transform("s", lambda b: distance(a, b))))
-    small = p.where(F.col("n") <= SMALL).groupBy("cluster").agg(spots.alias("s")).select("cluster", F.array_max(pairs).alias("spread"))
-
-    def corners(group: pd.DataFrame) -> pd.DataFrame:
-        return group.iloc[_hull(group.lon.to_numpy(), group.lat.to_numpy())][["cluster", "lon", "lat"]]
-
-    def widest(group: pd.DataFrame) -> pd.DataFrame:
-        g = corners(group)
-        return pd.DataFrame({"cluster": [group.cluster.iloc[0]], "spread": [_diameter(g.lon.to_numpy(), g.lat.to_numpy())]})
-
-    large = p.where(F.col("n") > SMALL).withColumn("part", F.pmod(F.xxhash64("ord"), F.ceil(F.col("n") / HULL_ROWS)))
-    hulls = large.select("cluster", "part", "lon", "lat").groupBy("cluster", "part").applyInPandas(corners, f"cluster {kind}, lon double, lat double")
-    return small.unionByName(hulls.groupBy("cluster").applyInPandas(widest, f"cluster {kind}, spread double"))
+    parts = placed.groupBy("cluster", F.shiftright("ord", HULL_BITS).alias("part")).agg(F.collect_list(F.struct("lon", "lat")).alias("s"))
+    whole = parts.select("cluster", F.coalesce(corners(many), "s").alias("s")).groupBy("cluster").agg(F.flatten(F.collect_list("s")).alias("s"))
+    return whole.select("cluster", F.coalesce(widest(many), F.array_max(pairs)).alias("spread"))

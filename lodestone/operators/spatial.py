@@ -58,27 +58,32 @@ def _reach(metres: Column) -> Column:
     return F.degrees(metres / EARTH) * (1 + 1e-9) + 1e-12
 
 
-def surroundings(left: DataFrame, metres: Column, cell: float) -> DataFrame:
-    """``left`` once for each cell (cx, cy) that may hold a place within ``metres`` of (llon, llat): a bounded number at any latitude."""
+def onward_cells(places: DataFrame, metres: Column, cell: float) -> DataFrame:
+    """``places`` once for their ``own`` cell (cx, cy) and each later one that may hold a place within ``metres``: a bounded number at any latitude."""
     dy = _reach(metres)
-    slope = F.sin(metres / (2 * EARTH)) / F.greatest(_least_cos(F.col("llat") - dy, F.col("llat") + dy), F.lit(1e-12))
+    slope = F.sin(metres / (2 * EARTH)) / F.greatest(_least_cos(F.col("lat") - dy, F.col("lat") + dy), F.lit(1e-12))
     dx = F.degrees(2 * F.asin(F.least(slope, F.lit(1.0)))) * (1 + 1e-9) + 1e-12
-    a = left.withColumn("cy", F.explode(F.sequence(F.floor((F.col("llat") - dy) / cell), F.floor((F.col("llat") + dy) / cell))))
-    a = a.withColumns({"_w": _width(F.col("cy"), cell), "_lo": _east("llon") - dx, "_hi": _east("llon") + dx})
+    row = F.floor(F.col("lat") / cell)
+    a = places.withColumn("cy", F.explode(F.sequence(row, F.floor((F.col("lat") + dy) / cell))))
+    a = a.withColumns({"_w": _width(F.col("cy"), cell), "_lo": _east("lon") - dx, "_hi": _east("lon") + dx})
     span = lambda lo, hi: F.sequence(F.floor(lo / F.col("_w")), F.floor(hi / F.col("_w")))
     inside = span(F.greatest("_lo", F.lit(0.0)), F.least("_hi", F.lit(360.0)))
     over = [F.when(F.col("_lo") < 0, span(F.col("_lo") + 360, F.lit(360.0))).otherwise(inside), F.when(F.col("_hi") > 360, span(F.lit(0.0), F.col("_hi") - 360)).otherwise(inside)]
     cells = F.when((F.col("_lo") < 0) | (F.col("_hi") > 360), F.array_distinct(F.concat(inside, *over))).otherwise(inside)  # over the date line too
-    return a.withColumn("cx", F.explode(cells)).drop("_w", "_lo", "_hi")
+    own = F.floor(_east("lon") / F.col("_w"))
+    a = a.withColumn("cx", F.explode(cells)).where((F.col("cy") > row) | (F.col("cx") >= own))
+    return a.withColumn("own", (F.col("cy") == row) & (F.col("cx") == own)).drop("_w", "_lo", "_hi")
 
 
-def place_join(left: DataFrame, right: DataFrame, metres: Column, cell: float, on: Sequence[str] = ()) -> DataFrame:
-    """Pairs of rows, equal in the columns ``on``, whose places (llon, llat and rlon, rlat) are within ``metres`` of ``left``, each pair once.
+def place_pairs(places: DataFrame, metres: Column, cell: float, on: Sequence[str] = ()) -> DataFrame:
+    """Pairs of different places (id, lon, lat) within ``metres``, equal in the columns ``on``, each in one order: columns l_... and r_...
 
-    A place on the right stands in one cell, one on the left in all of its surroundings. Places about a pole and on both
-    sides of the date line meet. Latitudes beyond a pole count as given: those farther apart than ``metres`` don't meet.
+    A place stands in one cell and looks into those that come after it. Places about a pole and on both sides of the
+    date line meet. Latitudes beyond a pole count as given: those farther apart than ``metres`` don't meet.
     """
-    b = right.withColumn("cy", F.floor(F.col("rlat") / cell)).withColumn("cx", F.floor(_east("rlon") / _width(F.col("cy"), cell)))
-    p = lambda s: F.struct(F.col(f"{s}lon").alias("lon"), F.col(f"{s}lat").alias("lat"))
-    met = surroundings(left, metres, cell).join(b, [*on, "cx", "cy"]).where(F.abs(F.col("llat") - F.col("rlat")) <= _reach(metres))
-    return met.where(distance(p("l"), p("r")) <= metres).drop("cx", "cy")
+    named = lambda d, s: d.withColumnsRenamed({c: f"{s}_{c}" for c in places.columns if c not in on})
+    a = named(onward_cells(places, metres, cell), "l")
+    b = named(places.withColumn("cy", F.floor(F.col("lat") / cell)).withColumn("cx", F.floor(_east("lon") / _width(F.col("cy"), cell))), "r")
+    p = lambda s: F.struct(F.col(f"{s}_lon").alias("lon"), F.col(f"{s}_lat").alias("lat"))
+    met = a.join(b, [*on, "cx", "cy"]).where((F.abs(F.col("l_lat") - F.col("r_lat")) <= _reach(metres)) & (~F.col("own") | (F.col("l_id") < F.col("r_id"))))
+    return met.where(distance(p("l"), p("r")) <= metres).drop("cx", "cy", "own")
