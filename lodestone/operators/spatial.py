@@ -13,8 +13,15 @@ from ..functions.geo import DEGREE, EARTH, distance
 def with_cells(df: DataFrame, box: Column, cell: float, margin: float = 0.0, dx: Column | None = None) -> DataFrame:
     """``df`` once for each grid cell (cx, cy) that the box, grown by ``margin`` degrees (``dx`` along the longitude), touches."""
     gx = dx if dx is not None else F.lit(margin)
-    span = lambda lo, hi, g: F.sequence(F.floor((lo - g) / cell), F.floor((hi + g) / cell))
-    return df.withColumn("cx", F.explode(span(box["x1"], box["x2"], gx))).withColumn("cy", F.explode(span(box["y1"], box["y2"], F.lit(margin))))
+    span = lambda lo, hi, g, width: F.sequence(F.floor((lo - g) / width), F.floor((hi + g) / width))
+    rows = df.withColumn("cy", F.explode(span(box["y1"], box["y2"], F.lit(margin), cell)))
+    return rows.withColumn("cx", F.explode(span(box["x1"], box["x2"], gx, _row_width(F.col("cy"), cell))))
+
+
+def _row_width(row: Column, cell: float) -> Column:
+    """Degrees of longitude of the cells of a row: ``cell``, doubled as often as degrees shrink by half towards a pole, two turns at most."""
+    far = F.least(F.greatest(F.abs(row * cell), F.abs((row + 1) * cell)), F.lit(90.0))
+    return F.least(cell * F.pow(F.lit(2.0), F.floor(F.log2(1 / F.greatest(F.cos(F.radians(far)), F.lit(1e-12))))), F.lit(720.0))
 
 
 def own_margin(box: Column, metres: float) -> Column:
@@ -34,8 +41,8 @@ def box_join(left: DataFrame, right: DataFrame, metres: float, cell: float, on:
     lx, rx = own_margin(F.col("lbox"), metres), own_margin(F.col("rbox"), metres)
     a = with_cells(left, F.col("lbox"), cell, dy, lx)
     b = with_cells(right, F.col("rbox"), cell, dx=rx)
-    first_x = F.floor(F.greatest(F.col("lbox.x1") - lx, F.col("rbox.x1") - rx) / cell)
     first_y = F.floor(F.greatest(F.col("lbox.y1") - dy, F.col("rbox.y1")) / cell)
+    first_x = F.floor(F.greatest(F.col("lbox.x1") - lx, F.col("rbox.x1") - rx) / _row_width(first_y, cell))
     return a.join(b, [*on, "cx", "cy"]).where((F.col("cx") == first_x) & (F.col("cy") == first_y)).drop("cx", "cy")
 
 

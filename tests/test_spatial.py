@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.geo import boxes_near
-from lodestone.operators.spatial import box_join, onward_cells, place_pairs
+from lodestone.operators.spatial import box_join, onward_cells, own_margin, place_pairs, with_cells
 from lodestone.operators.topology import metres as haversine
 
 BOX = "i int, box struct<x1:double,y1:double,x2:double,y2:double>"
@@ -31,6 +31,13 @@ def test_pairs_at_any_latitude_are_those_of_the_exact_test(spark, low, high):
     assert 0 < len(want) <= len(list(product(range(60), repeat=2)))
 
 
+def test_a_box_near_a_pole_touches_few_cells(spark):
+    boxes = [(i, (10.0, y, 10.0005, y + 0.0002)) for i, y in enumerate((44.0, 89.0, 89.9, 89.99, 89.999, 89.9997, -89.9999, 90.0, 95.0))]
+    d = spark.createDataFrame(boxes, BOX)
+    n = with_cells(d, F.col("box"), 0.002, 100 / 111_320, own_margin(F.col("box"), 100.0)).groupBy("i").count().collect()
+    assert len(n) == len(boxes) and max(r["count"] for r in n) <= 24  # 200,000 at the pole before
+
+
 @pytest.mark.parametrize("limit, cell", [(60.0, 0.002), (200.0, 0.0007), (3.0, 0.002)])
 def test_places_meet_at_the_poles_at_the_date_line_and_in_few_cells(spark, limit, cell):
     rng, at = np.random.default_rng(7), []
